@@ -28,5 +28,32 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard, op4_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan as s
+
+    found = s.scan_versions(table(spark, sf_dir, "documents"), path_col="doc_id", text_col="text")
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter(spans, lambda x: x["kind"].isin("assign", "access", "hex"))
+    digest = F.sha2(s.joined(base).cast("binary"), 256).alias("base_sha256")
+    return found.select(F.col("path").alias("doc_id"), count("assign"), count("access"), count("hex"), digest, s.joined(spans).alias("spans"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, best, needed) of every document that overlaps a benchmark item."""
+    from . import decontamination
+
+    found = decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
+QUERIES = {f.__name__: f for f in (op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination)}
+
+
+def _oracles() -> dict[str, str]:
+    from . import decontamination
+
+    return {"op5_decontamination": decontamination.ORACLE}
+
+
+ORACLE_SQL: dict[str, str] = _oracles()
