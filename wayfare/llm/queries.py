@@ -47,7 +47,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=False)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination, op9_packing, pipeline)}
 
 
 def _oracles() -> dict[str, str]:
