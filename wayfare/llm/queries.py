@@ -47,6 +47,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_files
+
+    manifest = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_documents(manifest)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination, op9_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination, op6_token_files, op9_packing, pipeline)}
 
 
 def _oracles() -> dict[str, str]:
