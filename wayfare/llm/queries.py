@@ -12,6 +12,16 @@ def _fold_of(column: str, parts: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), _fold_of("doc_id", 5) != 0)
+    held = F.coalesce(_fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    scored = quality.score(documents, model).select(F.col("id").alias("doc_id"), "score").select("doc_id", held, "score")
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -70,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination, op6_token_files, op9_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination, op6_token_files, op9_packing, pipeline)}
 
 
 def _oracles() -> dict[str, str]:
