@@ -66,6 +66,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    found = warc.read(warc.normalise(warc.write(table(spark, sf_dir, "pages"))))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,13 +87,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination, op6_token_files, op9_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination, op6_token_files, op7_warc, op9_packing, pipeline)}
 
 
 def _oracles() -> dict[str, str]:
     from . import decontamination
 
-    return {"op5_decontamination": decontamination.ORACLE}
+    op7 = """
+        with p as (select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n from pages),
+        g as (select h, min(page_id) as f from p where n >= 100 group by h)
+        select page_id, n as payload_bytes, sha256(p.h) as payload_digest,
+            case when f is null or f = page_id then 'response' else 'revisit' end as record_type, case when f <> page_id then f end as refers_to
+        from p left join g on p.h = g.h and n >= 100"""
+    return {"op7_warc": op7, "op5_decontamination": decontamination.ORACLE}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
