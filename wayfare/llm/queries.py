@@ -87,13 +87,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=False)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats
+
+    return repeats.repeated(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("removed")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination, op6_token_files, op7_warc, op8_embedding_dedup, op9_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination, op6_token_files, op7_warc, op8_embedding_dedup, op9_packing, op10_repeats, pipeline)}
 
 
 def _oracles() -> dict[str, str]:
