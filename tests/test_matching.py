@@ -1,0 +1,101 @@
+import pytest
+from conftest import rows
+from test_graph import graph_of
+
+from wayfare.operators import matching as mt
+
+
+def library(spark, *titles):
+    ids = [f"n{i}" for i in range(len(titles))]
+    return graph_of(spark, ids, [], dict(zip(ids, titles)))
+
+
+def texts(spark, *own):
+    return spark.createDataFrame([(str(i), t) for i, t in enumerate(own)], "qid string, text string")
+
+
+def words(spark, *own):
+    return spark.createDataFrame([("q", i, w) for i, w in enumerate(own)], "qid string, position int, keyword string")
+
+
+def test_exact(spark):
+    seeds, lost = mt.exact_match(library(spark, "x", "Donald Trump"), words(spark, "donald   trump", "Unknown Person", "DONALD TRUMP"))
+    assert rows(seeds) == [("q", "n1", 0)] and rows(lost) == [("q", 1, "Unknown Person")]
+
+
+def test_mentions_show_the_first_title_and_find_the_last(spark):
+    graph = library(spark, "Example", "EXAMPLE")
+    assert rows(mt.title_mentions(graph, texts(spark, "example"))) == [("0", "Example", "n1", 0, 7)]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("NASA and NASA Student Launch", ["NASA", "NASA Student Launch"]), ("Pressing Press, press.", ["Press", "Press"]), ("press_x xpress", []), ("is A, B there?", ["A, B"]),
+        ("", []), ("x²press", []), ("the (Press)", ["Press"]),
+    ],
+)
+def test_local_keywords(spark, text, want):
+    graph = library(spark, "NASA", "NASA Student Launch", "Press", "A, B")
+    got = sorted(mt.local_keywords(graph, texts(spark, text)).collect(), key=lambda r: r["position"])
+    assert [r["keyword"] for r in got] == want
+
+
+def test_heuristic_only_where_nothing_is_mentioned(spark):
+    asked = spark.createDataFrame([("1", "Who is Press?"), ("2", "Who is Donald Trump?")], "qid string, question string")
+    assert rows(mt.keywords_or_heuristic(library(spark, "Press"), asked)) == [("1", 0, "Press"), ("2", 0, "Donald"), ("2", 1, "Trump")]
+
+
+def matched(spark, graph, *own, **options):
+    return {r["position"]: r for r in mt.approximate_match(graph, words(spark, *own), **options).collect()}
+
+
+def test_approximate(spark):
+    graph = library(spark, "Census Australia", "Alpha", "Alphi", "Chrisley Knows Best, USA", "Far Away")
+    got = matched(spark, graph, "Censuz Australia", "Alphu", "zzzzzz")
+    assert (got[0]["method"], got[0]["node_id"]) == ("approximate", "n0")
+    assert (got[1]["method"], got[1]["accepted"]) == ("unresolved", False)
+    assert got[2]["accepted"] is False
+
+
+def test_compound(spark):
+    graph = library(spark, "Chrisley Knows Best, USA", "Far Away")
+    got = matched(spark, graph, "Chrisley Knows Best", "USA", "far away")
+    assert set(got) == {0, 2}
+    assert (got[0]["method"], got[0]["node_id"], got[0]["keyword"]) == ("approximate-compound", "n0", "Chrisley Knows Best, USA")
+    assert got[2]["method"] == "exact"
+
+
+def test_margin_is_inclusive_and_short_keywords(spark):
+    graph = library(spark, "abcdefghij", "abcdefghxy")
+    got = matched(spark, graph, "abcdefghik", threshold=0.9, margin=0.1)
+    assert got[0]["score"] == pytest.approx(0.9)
+    assert mt.best_titles(graph, spark.createDataFrame([("q!",)], "key string")).count() == 1
+    with pytest.raises(ValueError):
+        mt.approximate_match(graph, words(spark, "a"), threshold=2)
+    with pytest.raises(ValueError):
+        mt.approximate_match(graph, words(spark, "a"), candidate_limit=0)
+
+
+def test_candidates_agree_with_brute_force(spark):
+    titles = ["red bolt", "red belt", "blue bolt", "bold red", "gear", "gearing", "ring"]
+    graph = library(spark, *titles)
+    keys = ["red bolts", "geering", "bluebolt"]
+
+    def grams(t):
+        p = f"  {t}  "
+        return {p[i : i + 3] for i in range(len(p) - 2)}
+
+    for limit in (2, 50):
+        got = rows(mt.trigram_candidates(graph, spark.createDataFrame([(k,) for k in keys], "key string"), limit), "key", "norm", "place")
+        want = []
+        for k in keys:
+            near = sorted((t for t in titles if grams(t) & grams(k)), key=lambda t: (-len(grams(t) & grams(k)) / len(grams(t) | grams(k)), t))[:limit]
+            want += [(k, t, i + 1) for i, t in enumerate(near)]
+        assert got == sorted(want, key=lambda t: [(x is None, str(x)) for x in t])
+
+
+def test_mentioned_and_padded(spark):
+    graph = library(spark, "page 1", "page 10", "Page")
+    assert rows(mt.mentioned_nodes(graph, texts(spark, "page 10, page 1, page 10")), "node_id", "position") == [("n0", 1), ("n1", 0)]
+    assert rows(mt.padded_titles(graph.nodes, texts(spark, "see page 10 now")), "id") == [("n1",), ("n2",)]
