@@ -23,6 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import long_texts
+from .workers import tidy
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -151,6 +154,7 @@ class Packer:
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
+@tidy()
 def _packed(batches, tokens_of: Callable, limits: Limits, id_type: pa.DataType | None, with_ids: bool):
     packer, serial, base, rows = Packer(limits), 0, TaskContext.get().partitionId() << 36, []
     kind: list = []
@@ -198,10 +202,11 @@ def pack_texts(documents: DataFrame, tokenizer: str, *, end_id: int, id_col: str
         from .tokenizing import encoder
 
         ends, texts = np.array([end_id], "<u4"), batch.column(1)
-        for at in range(0, len(texts), 64):
-            for document, ids in zip(batch.column(0)[at : at + 64].to_pylist(), encoder(tokenizer).encode(texts[at : at + 64].to_pylist())):
+        for at in range(0, len(texts), 256):
+            for document, ids in zip(batch.column(0)[at : at + 256].to_pylist(), encoder(tokenizer).encode(texts[at : at + 256].to_pylist())):
                 yield document, np.concatenate([ids, ends]), None
 
+    long_texts(documents.sparkSession)
     plain = documents.select(F.col(id_col), F.col(text_col))
     return plain.mapInArrow(lambda b: _packed(b, tokens_of, limits, None, with_ids), _schema(documents, id_col, with_ids))
 

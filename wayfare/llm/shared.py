@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,11 +29,23 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def long_texts(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's default: whole documents are wide rows."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def materialise(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    free: lets Spark's cleaner remove the shuffle files that the table no longer needs.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

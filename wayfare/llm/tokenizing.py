@@ -4,104 +4,157 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
 
+class _Memo:
+    """Piece to place; the ids of all pieces lie end to end."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.doubtful: set[int] = set()
+        self.flat, self.starts, self.used = np.zeros(1 << 18, "<u4"), np.zeros(1 << 16, np.int64), 0
+
+    def keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n, count = len(self.known), len(pieces)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), "<u4")])
+        if n + count + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts) + count, np.int64)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[n + 1 : n + count + 1] = self.used + ends
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(n, n + count)))
+        # the space before an empty piece, or one that begins with white space, may be an odd one
+        self.doubtful.update(n + i for i, x in enumerate(pieces) if not x or x[0].isspace())
+
+    def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces at these places, end to end, and where each ends."""
+        begin = self.starts[at]
+        size = self.starts[at + 1] - begin
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Encoder:
     """Ids of whole texts, the same as encode_batch(texts, add_special_tokens=False) gives.
 
     A byte-level pattern never joins characters across a space but for the space itself, which leads the piece after
     it; only a space between white space, or at the end after white space, is grouped with what stands before. Texts
-    without that are cut before every space, and each different piece is encoded by the library once per worker.
-    Other texts go to the library whole. A tokenizer that drops white space is cut at every space.
+    without that are cut before every space, and each different piece is encoded by the library once while the memo
+    holds it. Other texts go to the library whole. A tokenizer that drops white space is cut at every space. Any other
+    tokenizer encodes whole texts.
     """
 
     ODD = re.compile(r"\s (?:\s|\Z)")
-    #: Pieces kept by a worker, about 200 bytes each, and the longest that is kept.
-    MEMO, LONGEST = 1_200_000, 64
+    SAFE = re.compile(r"[\t\n\r\x20-\x5e\x60-\x7e\xa0-\u012f\u0131-\u024f]*\Z")
+    TAIL = re.compile(r"[^\w\s]+(?=\s|\Z)")
+    #: Pieces in each of the memo's two generations (about 200 bytes a piece); texts with longer pieces go whole.
+    GENERATION, LONGEST = 400_000, 4096
+    #: Leads the key of a text's first piece, which no space leads.
+    FIRST = "\0"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for x in (self.library, self.marked):
+            x.no_truncation()
+            x.no_padding()
         self.library.encode_special_tokens = True
-        self.library.no_truncation()
-        self.library.no_padding()
         pre = self.library.pre_tokenizer
-        byte_level = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and self.library.normalizer is None
         ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
         self.drops_space = ids("a b\tc") == ids("a") + ids("b") + ids("c") and ids(" ") == []
-        self.memoised = byte_level or self.drops_space
+        self.lowers = self.drops_space and ids("A É a, B.\nb!! x's.") == ids("a é") + ids("a") + ids(",") + ids("b") + ids(".") + ids("b") + ids("!!") + ids("x's") + ids(".")
+        self.byte_level = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and self.library.normalizer is None
         special = [x for x in self.library.get_added_tokens_decoder().items() if x[1].special and not (x[1].lstrip or x[1].rstrip)]
         self.mark_id, self.mark = (special[-1][0], special[-1][1].content) if special else (-1, "")
-        self.marked = Tokenizer.from_file(path)
-        self.marked.no_truncation()
-        self.marked.no_padding()
+        #: Tokens that begin (byte level) or end (with a suffix) a piece of letters.
+        self.edge = np.zeros(self.library.get_vocab_size(), bool)
+        for token, at in self.library.get_vocab().items():
+            self.edge[at] = token.endswith("</w>") if self.drops_space else token.startswith("Ġ")
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 20, "<u4"), np.zeros(self.MEMO * 2 + 1, np.int64), 0
-
-    def add(self, pieces: list[str]) -> None:
-        """Encodes many pieces in one call, with a special token between them, at which the library cuts first."""
-        plain = [x for x in pieces if self.mark not in x] if self.mark else []
-        rest = [x for x in pieces if self.mark in x] if self.mark else pieces
-        for at in range(0, len(plain), 5_000):
-            part = plain[at : at + 5_000]
-            ids = np.array(self.marked.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) - np.arange(len(part))
-            self.keep(part, ids[ids != self.mark_id], ends)
-        for at in range(0, len(rest), 5_000):
-            part = rest[at : at + 5_000]
-            found = [x.ids for x in self.library.encode_batch_fast(part, add_special_tokens=False)]
-            self.keep(part, np.array([y for x in found for y in x], "<u4"), np.cumsum([len(x) for x in found]))
+        self.memo, self.before = _Memo(), _Memo()
 
-    def keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        n, count = len(self.known), len(pieces)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), "<u4")])
-        while n + count + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[n + 1 : n + count + 1] = self.used + ends
-        self.used += len(ids)
-        self.known.update(zip(pieces, range(n, n + count)))
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _raw(self, key: str) -> str:
+        return key if self.drops_space else key[1:] if key.startswith(self.FIRST) else " " + key
 
-    def pieces(self, text: str) -> list[str]:
-        found = text.split(" ")
+    def _plain(self, key: str) -> bool:
+        """Whether the key can stand in a text of such keys, its tokens told by their edges."""
         if self.drops_space:
-            return found
-        return found[:1] + [" " + x for x in found[1:]]
+            return key.isalpha()
+        return bool(key) and not (key[0].isspace() or key[-1].isspace() or key[0] == self.FIRST)
+
+    def add(self, keys: list[str]) -> None:
+        old = [x for x in keys if x in self.before.known]
+        if old:
+            at = np.fromiter(map(self.before.known.__getitem__, old), np.int64, len(old))
+            self.memo.keep(old, *self.before.ids_of(at))
+        new = [x for x in keys if x not in self.before.known] if old else keys
+        plain, rest = [], []
+        for x in new:
+            (plain if self._plain(x) else rest).append(x)
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            text = " ".join(part) if self.drops_space else " " + " ".join(part)
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) == len(part):
+                self.memo.keep(part, ids, edges + 1 if self.drops_space else np.append(edges[1:], len(ids)))
+            else:
+                rest += part
+        for at in range(0, len(rest), 1000):
+            part = rest[at : at + 1000]
+            found = self.whole([self._raw(x) for x in part])
+            self.memo.keep(part, np.concatenate(found), np.cumsum([len(x) for x in found]))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids for each text; a null is an empty text."""
-        out: list[np.ndarray] = []
-        for text in texts:
-            text = text or ""
-            if not self.memoised or not self.drops_space and self.ODD.search(text):
-                out.append(self.whole(text))
+        texts = [x or "" for x in texts]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        rows, sizes, keys = [], [], []
+        for row, text in enumerate(texts):
+            if self.lowers and self.SAFE.match(text):
+                found = self.TAIL.sub(r" \g<0>", text.lower()).split()
+            elif self.drops_space or self.byte_level and self.FIRST not in text:
+                found = text.split(" ")
+                if not self.drops_space:
+                    found[0] = self.FIRST + found[0]
+            else:
                 continue
-            found = self.pieces(text)
-            new = [x for x in set(found) if x not in self.known]
-            if new:
-                if max(map(len, new)) > self.LONGEST * 64:
-                    out.append(self.whole(text))
-                    continue
-                if len(self.known) + len(new) > self.MEMO:
-                    self.clear()
-                    new = list(set(found))
-                self.add(new)
-            at = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
-            begin = self.starts[at]
-            size = self.starts[at + 1] - begin
-            ends = np.cumsum(size)
-            out.append(self.flat[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)])
+            if len(max(found, key=len, default="")) <= self.LONGEST:
+                rows.append(row), sizes.append(len(found))
+                keys += found
+        at = np.fromiter(map(self.memo.known.get, keys, repeat(-1)), np.int64, len(keys))
+        if (missing := np.flatnonzero(at < 0)).size:
+            lost = [keys[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(lost))
+            if len(self.memo.known) + len(new) > self.GENERATION:
+                self.memo, self.before = _Memo(), self.memo
+                new = list(dict.fromkeys(keys))
+                missing, lost = np.arange(len(keys)), keys
+            self.add(new)
+            at[missing] = np.fromiter(map(self.memo.known.__getitem__, lost), np.int64, len(lost))
+        ids, ends = self.memo.ids_of(at)
+        last = np.append(0, ends)[np.append(0, np.cumsum(np.array(sizes, np.int64)))]
+        for n, row in enumerate(rows):
+            out[row] = ids[last[n] : last[n + 1]]
+        if self.byte_level and self.memo.doubtful:
+            odd = np.flatnonzero(np.isin(at, np.fromiter(self.memo.doubtful, np.int64)))
+            for n in set(np.searchsorted(np.cumsum(sizes), odd, side="right").tolist()):
+                if self.ODD.search(texts[rows[n]]):
+                    out[rows[n]] = None
+        if others := [n for n, x in enumerate(out) if x is None]:
+            for n, x in zip(others, self.whole([texts[n] for n in others])):
+                out[n] = x
         return out
 
 
@@ -111,5 +164,6 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The worker's own encoder of that file."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
