@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, few, materialise, pair_blocks
+from .shared import components, few, long_texts, materialise, pair_blocks
+from .workers import small, tidy
 
 _WORD = re.compile(r"\w+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], "<u8")
@@ -39,7 +40,7 @@ class _Words(dict):
     """Word to 64-bit hash, computed once a worker; emptied when large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return found
@@ -74,10 +75,11 @@ def _digest(found: np.ndarray, text: str | None) -> bytes:
     return xxhash.xxh128_digest(found.tobytes() if len(found) else b"\0" + (text or "").encode("utf-8", "surrogatepass"))
 
 
+@tidy(_HASHES.clear)
 def _digested(batches, n: int, bands: int, rows: int):
     """(id, digest, bands): a digest of the set, and one hash for each band; no bands where the set is empty."""
     seeds = _mixed(np.arange(1, bands * rows + 1, dtype="<u8") * _ODD[0])
-    for batch in batches:
+    for batch in small(batches):
         digests, banded = [], []
         for text in batch["text"].to_pylist():
             found = shingles(text, n)
@@ -94,8 +96,9 @@ def _digested(batches, n: int, bands: int, rows: int):
         yield pa.RecordBatch.from_arrays([batch["id"], pa.array(digests, pa.binary()), values], ["id", "digest", "bands"])
 
 
+@tidy(_HASHES.clear)
 def _sets(batches, n: int):
-    for batch in batches:
+    for batch in small(batches):
         texts = batch["text"].to_pylist()
         found = [shingles(t, n) for t in texts]
         digests = pa.array(map(_digest, found, texts), pa.binary())
@@ -181,6 +184,7 @@ def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     included. component_id: the smallest id that links reach. Near copies are verified block by block of their bucket
     and only counted, so no table of all pairs arises; pairs that meet in several buckets count in the first only.
     """
+    long_texts(documents.sparkSession)
     plain = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     digested = plain.mapInArrow(lambda b: _digested(b, n, bands, rows), "id long, digest binary, bands array<long>")
     digested = materialise(digested, "jaccard-digests")

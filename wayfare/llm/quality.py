@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import long_texts, materialise
 from .toxicity import training_rows
+from .workers import tidy
 
 #: Character classes of UTF-8 bytes: lower, upper, digit, space, line end, bytes beyond ASCII, and each other sign.
 _CLASS = np.full(256, 5, np.int64)
@@ -93,6 +94,7 @@ class Neighbours:
 
 def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str = "quality", bound: int = 2048, dimensions: int = 48) -> Neighbours:
     """The space and the voters, from `bound` labelled rows of each class at most: the documented sample of a classifier."""
+    long_texts(documents.sparkSession)
     rows = materialise(training_rows(documents, labels, label, usable, bound), "quality-rows")
 
     def termed(batches):
@@ -137,6 +139,7 @@ def score(documents: DataFrame, model: Neighbours, *, id_col: str = "doc_id", te
     shared = documents.sparkSession.sparkContext.broadcast((kept, model.space[kept], model.space.shape, model.vectors, model.labels, model.prior, model.k, model.power))
     held: list[Neighbours] = []
 
+    @tidy()
     def scored(batches):
         if not held:
             at, values, shape, *rest = shared.value

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise
+from .shared import long_texts, materialise
+from .workers import small, tidy
 
 #: The patterns of the three base kinds, as the contract gives them, and how long their matches must be.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -62,8 +63,9 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+@tidy()
 def _scanned(batches):
-    for batch in batches:
+    for batch in small(batches):
         spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t)] for t in batch["text"].to_pylist()]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         yield pa.RecordBatch.from_arrays([batch["blob"], pa.array(spans, kind)], ["blob", "spans"])
@@ -79,6 +81,7 @@ def scan_versions(versions: DataFrame, *, path_col: str, text_col: str, ledger:
     ledger: a Parquet folder of LEDGER rows, which is read and appended to; None starts an empty one.
     """
     spark: SparkSession = versions.sparkSession
+    long_texts(spark)
     paths = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", content_address(F.col("text")))
     # one path to read each blob from, by narrow rows alone
     blobs = paths.groupBy("blob").agg(F.min("path").alias("path"))

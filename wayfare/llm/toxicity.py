@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workers import tidy
+
 #: Look-alike letters of other scripts, and digits and signs written for letters.
 HOMOGLYPHS = str.maketrans(
     "аеорсухіјѕԁһӏкмтвнгαοιυνκρτ",
@@ -91,17 +93,19 @@ def score(text: Column, lexicon: Lexicon) -> Column:
     """The probability of toxic, from the whole text."""
     kept: list = []
 
-    @F.pandas_udf("double")
-    def scored(texts):
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         if not kept:
             kept.append(lexicon.automaton())
-        import pandas as pd
-
-        return pd.Series(_scores(list(texts), lexicon, kept[0]), dtype="float64")
+        found: list[float] = []
+        for at in range(0, len(texts), 256):
+            found += _scores(texts[at : at + 256].to_pylist(), lexicon, kept[0])
+        return pa.array(found, pa.float64())
 
     return scored(text)
 
 
+@tidy()
 def _features(batches):
     """(feature, toxic documents, other documents): each word and word beginning once a document."""
     for batch in batches:
@@ -157,8 +161,9 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str =
 
     Half of the rows give the weights, the other half the factors of the logistic function. size bounds the lexicon.
     """
-    from .shared import materialise
+    from .shared import long_texts, materialise
 
+    long_texts(documents.sparkSession)
     rows = materialise(training_rows(documents, labels, label, usable, bound).withColumnRenamed("label", "toxic"), "toxic-rows")
     first = rows.where("part = 0").select("text", "toxic")
     n = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}

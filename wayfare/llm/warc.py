@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, shared_dir
+from .shared import long_texts, materialise, shared_dir
 from .token_files import open_uri
 
 CRLF = b"\r\n"
@@ -163,6 +163,7 @@ def _normalised(batches, folder: str):
 
 def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, folder: str | None = None) -> DataFrame:
     """Writes one-stream archives of all pages; gives their paths."""
+    long_texts(pages.sparkSession)
     folder = folder or shared_dir(pages.sparkSession, "warc-plain")
     html = F.coalesce(F.col(payload_col), F.lit(""))
     plain = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
