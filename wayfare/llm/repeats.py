@@ -9,8 +9,9 @@ from repeated ones. Doubling runs inside a task up to 32 bytes. Then come two so
    so a window whose sampled name is unique can't repeat and is dropped. Where name and surroundings (every byte
    that a window around it can hold) agree with an earlier position, all those windows repeat. Where only the name
    repeats, the first position of each surroundings is open.
-2. Pairs (64-byte name, 64-byte name 36 bytes on) of every window around the open positions only: they name 100 bytes
-   exactly. Every window but the earliest of equal ones repeats.
+2. Pairs (64-byte name, 64-byte name 36 bytes on) of every window around the open positions only: they name 100 bytes.
+   Every window but the earliest of equal ones repeats. These names are dealt into buckets by their own value and
+   travel packed, one row for each batch and bucket, so that a row of the shuffle holds thousands of positions.
 
 So a position leaves the rounds as soon as its name is unique or its whole surroundings are known, and only the edges
 of repeated passages are sorted byte by byte. Before each sort a task keeps the first of its own equal pairs, and two
@@ -27,12 +28,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import long_texts, materialise
+from .workers import large, small, tidy
 
 GRAM, LENGTH = 32, 100
 #: Starts that a window can have before a gram that it holds, and bytes that it can reach after the gram's start.
@@ -151,10 +154,6 @@ def _sampled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return tuple(np.concatenate(x) for x in (rows, places, names, around))
 
 
-def _bytes(values: pa.Array) -> list[bytes]:
-    return [zstandard.decompress(x) for x in values.to_pylist()]
-
-
 def _table(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.view("<i8") if x.dtype.kind == "u" else x.astype("<i8"), pa.int64()) for x in columns.values()], list(columns))
 
@@ -171,8 +170,9 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return first
 
 
+@tidy()
 def _named(batches):
-    for batch in batches:
+    for batch in large(batches, "raw"):
         ids = np.array(batch["id"].to_pylist(), np.int64)
         order = np.argsort(ids, kind="stable")
         texts = batch["raw"].take(pa.array(order)).to_pylist()
@@ -189,6 +189,7 @@ def _named(batches):
         yield _table(name=np.where(kind == SORT, name, spread), around=np.where(kind == SORT, around, 0).astype("<u8"), id=document, at=place * 4 + kind)
 
 
+@tidy()
 def _settled(batches):
     """(id, at): positions that repeat or are open, from rows sorted by name; a name's rows are seen together."""
     held: list[np.ndarray] = []
@@ -221,51 +222,111 @@ def _settled(batches):
         yield decide(held[0])
 
 
-def _windows(batches):
-    """(one, two, id, start): the names of the windows around open positions, the first of a batch's equal ones.
+#: What the second sort's rows hold: packed names of a bucket with their positions, or a run of starts known to repeat.
+WINDOWS = "bucket long, names binary, ids binary, starts binary, id long, low long, high long"
 
-    Others are known to repeat: their names are spread and start is negative.
-    """
-    for batch in batches:
+
+def _runs(document: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first start and last start of runs of neighbouring starts, of rows in order."""
+    if not len(start):
+        return document, start, start
+    new = np.flatnonzero(np.append(True, (document[1:] != document[:-1]) | (start[1:] != start[:-1] + 1)))
+    return document[new], start[new], start[np.append(new[1:], len(start)) - 1]
+
+
+@tidy()
+def _windows(batches, buckets: int):
+    """The names of the windows around open positions: the first of a batch's equal ones; others are known to repeat."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    columns = [x.split()[0] for x in WINDOWS.split(", ")]
+    for batch in large(batches, "packed", 6 << 20):
         ids = np.array(batch["id"].to_pylist(), np.int64)
         order = np.argsort(ids, kind="stable")
-        texts = [zstandard.decompress(x) for x in batch["packed"].take(pa.array(order)).to_pylist()]
-        marks = [np.sort(np.array(x, np.int64)) for x in batch["marks"].take(pa.array(order)).to_pylist()]
+        packed, listed = batch["packed"].take(pa.array(order)), batch["marks"].take(pa.array(order))
         found = []
-        for group in pieces(texts):
-            named = Named(group)
-            for piece, start in zip(group, named.starts):
-                own = marks[piece.row]
-                open_at = own[own % 4 == OPEN] // 4
-                open_at = open_at[(open_at >= piece.begin) & (open_at < piece.end)]
-                if not len(open_at):
-                    continue
-                at = open_at - piece.low + start
-                s = at[:, None] + np.arange(-BACK, 1)
-                inside = (s >= start) & (s < len(named.least))
-                s_in = np.where(inside, s, 0)
-                holds = inside & named.valid[s_in] & (named.least[s_in] == named.gram[at][:, None])
-                s = np.unique(s_in[holds])
-                found.append((np.full(len(s), ids[order[piece.row]]), s - start + piece.low, named.longer(s), named.longer(s + LENGTH - 64)))
+        for low in range(0, len(order), 256):
+            texts = [zstandard.decompress(x) for x in packed[low : low + 256].to_pylist()]
+            marks = [np.sort(np.array(x, np.int64)) for x in listed[low : low + 256].to_pylist()]
+            for group in pieces(texts):
+                named = Named(group)
+                for piece, start in zip(group, named.starts):
+                    own = marks[piece.row]
+                    open_at = own[own % 4 == OPEN] // 4
+                    open_at = open_at[(open_at >= piece.begin) & (open_at < piece.end)]
+                    if not len(open_at):
+                        continue
+                    at = open_at - piece.low + start
+                    s = at[:, None] + np.arange(-BACK, 1)
+                    inside = (s >= start) & (s < len(named.least))
+                    s_in = np.where(inside, s, 0)
+                    holds = inside & named.valid[s_in] & (named.least[s_in] == named.gram[at][:, None])
+                    s = np.unique(s_in[holds])
+                    found.append((np.full(len(s), ids[order[low + piece.row]]), s - start + piece.low, named.longer(s), named.longer(s + LENGTH - 64)))
         if not found:
             continue
         document, start, one, two = (np.concatenate(x) for x in zip(*found))
-        first = _first_of(one, two)
-        spread = _paired(document.astype("<u8"), start.astype("<u8"))
-        yield _table(one=np.where(first, one, spread), two=np.where(first, two, spread), id=document, start=np.where(first, start, -1 - start))
+        # the 96 bits of a name that travel
+        name = np.zeros(len(one), [("a", "<u8"), ("b", "<u4")])
+        name["a"], name["b"] = _paired(one, two), _paired(two, one) >> np.uint64(32)
+        first = _first_of(name["a"], name["b"].astype("<u8"))
+        d, low, high = _runs(document[~first], start[~first])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(d), k) for k in kinds[:4]] + [pa.array(x, pa.int64()) for x in (d, low, high)], columns)
+        document, start, name = document[first], start[first], name[first]
+        bucket = (name["a"] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1])) if len(by) else by
+        rows = []
+        for a, b in zip(edges, np.append(edges[1:], len(by))):
+            own = by[a:b]
+            rows.append((int(bucket[own[0]]), name[own].tobytes(), squeeze.compress(np.diff(document[own], prepend=0).tobytes()), squeeze.compress(start[own].astype("<i8").tobytes())))
+        for a in range(0, len(rows), 500):
+            part = list(zip(*rows[a : a + 500]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)] + [pa.nulls(len(part[0]), k) for k in kinds[4:]], columns)
+
+
+@tidy()
+def _later(batches):
+    """(id, low, high): runs of starts of windows that repeat, from a bucket's rows, which come together."""
+    held: list[tuple] = []
+    here = None
+
+    def decide() -> pa.RecordBatch:
+        name = np.concatenate([np.frombuffer(x[0], [("a", "<u8"), ("b", "<u4")]) for x in held])
+        document = np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(x[1]), "<i8")) for x in held])
+        start = np.concatenate([np.frombuffer(zstandard.decompress(x[2]), "<i8") for x in held])
+        order = np.lexsort((start, document, name["b"], name["a"]))
+        name, document, start = name[order], document[order], start[order]
+        new = np.append(True, name[1:] != name[:-1])
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
+        repeats = np.flatnonzero((document != document[begin]) | (start != start[begin]))
+        repeats = repeats[np.lexsort((start[repeats], document[repeats]))]
+        d, low, high = _runs(document[repeats], start[repeats])
+        return _table(id=d, low=low, high=high)
+
+    for batch in batches:
+        known = batch.filter(pc.is_null(batch["bucket"]))
+        if known.num_rows:
+            yield known.select(["id", "low", "high"])
+        for row in batch.filter(pc.is_valid(batch["bucket"])).select(["bucket", "names", "ids", "starts"]).to_pylist():
+            if row["bucket"] != here and held:
+                yield decide()
+                held.clear()
+            here = row["bucket"]
+            held.append((row["names"], row["ids"], row["starts"]))
+    if held:
+        yield decide()
 
 
+@tidy()
 def _kept(batches):
     """The result of every document, from its bytes and the starts and ends of what repeats."""
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for raw, marks in zip(batch["packed"].to_pylist(), batch["marks"].to_pylist()):
             raw = zstandard.decompress(raw)
-            codes = np.array(marks or [], np.int64)
-            at = codes >> 1
-            # an even code is a window that repeats, an odd one a sampled position with all its surroundings
-            low = np.maximum(np.where(codes & 1, at - BACK, at), 0)
-            high = np.minimum(at + AHEAD, len(raw))
+            low = np.maximum(np.array([x["low"] for x in marks or []], np.int64), 0)
+            high = np.minimum(np.array([x["high"] for x in marks or []], np.int64), len(raw))
             change = np.zeros(len(raw) + 1, np.int64)
             np.add.at(change, low, 1)
             np.add.at(change, high, -1)
@@ -284,15 +345,17 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([batch["id"], *[pa.array(c, t) for c, t in zip(columns, types)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
+@tidy()
 def _packed(batches):
     """Texts travel compressed: they are sorted twice by document."""
     squeeze = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in small(batches):
         yield pa.RecordBatch.from_arrays([batch["id"], pa.array([squeeze.compress(x) for x in batch["raw"].to_pylist()], pa.binary())], ["id", "packed"])
 
 
 def repeated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, removed) of every document; removed: the maximal runs of bytes."""
+    long_texts(documents.sparkSession)
     plain = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")).where("id is not null")
     if not plain.groupBy("id").count().where("count > 1").isEmpty():
         rows, plain = plain.select("id"), plain.groupBy("id").agg(F.min("raw").alias("raw"))
@@ -301,31 +364,21 @@ def repeated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     packed = plain.mapInArrow(_packed, "id long, packed binary")
     pairs = plain.mapInArrow(_named, "name long, around long, id long, at long")
     ordered = pairs.repartition("name").sortWithinPartitions("name", "around", "id", "at")
-    settled = materialise(ordered.mapInArrow(_settled, "id long, at long"), "repeats-settled")
-    open_docs = settled.groupBy("id").agg(F.collect_list("at").alias("marks")).where(F.exists("marks", lambda x: x % 4 == OPEN))
-    windows = packed.join(open_docs, "id").mapInArrow(_windows, "one long, two long, id long, start long")
-    # the earliest of equal windows stays; rows that are known to repeat have a key of their own
-    keyed = windows.repartition("one").sortWithinPartitions("one", "two", "id", "start")
-
-    def later(batches):
-        last = None
-        for batch in batches:
-            one, two, document, start = (batch[c].to_numpy() for c in ("one", "two", "id", "start"))
-            if not len(one):
-                continue
-            key = np.array([one, two])
-            new = np.append(last is None or (key[:, 0] != last[0]).any(), (key[:, 1:] != key[:, :-1]).any(axis=0))
-            begin = np.maximum.accumulate(np.where(new, np.arange(len(one)), -1))
-            value = np.array([document, start])
-            first = value[:, np.maximum(begin, 0)]
-            if last is not None:
-                first[:, begin < 0] = last[1][:, None]
-            repeats = (start < 0) | (value != first).any(axis=0)
-            last = (key[:, -1].copy(), first[:, -1].copy())
-            yield _table(id=document[repeats], code=np.where(start < 0, -1 - start, start)[repeats] * 2)
-
-    marks = keyed.mapInArrow(later, "id long, code long").union(settled.where(F.col("at") % 4 == REPEATS).select("id", F.expr("shiftleft(shiftright(at, 2), 1) + 1").alias("code")))
-    by_document = marks.groupBy("id").agg(F.collect_list("code").alias("marks"))
+    settled = materialise(ordered.mapInArrow(_settled, "id long, at long"), "repeats-settled", free=True)
+    is_open = F.col("at") % 4 == OPEN
+    # about half a million names a bucket, at 35 for an open position
+    buckets = max(64, settled.where(is_open).count() * 35 // 500_000)
+    open_docs = settled.where(is_open).groupBy("id").agg(F.collect_list("at").alias("marks"))
+    windows = packed.join(open_docs, "id").mapInArrow(lambda b: _windows(b, buckets), WINDOWS)
+    # runs that are known already have no bucket: a hash of their place spreads them
+    key = F.coalesce("bucket", F.xxhash64("id", "low"))
+    dealt = windows.withColumn("key", key).repartition("key").sortWithinPartitions("key", "bucket").drop("key")
+    later = materialise(dealt.mapInArrow(_later, "id long, low long, high long"), "repeats-windows", free=True)
+    # in bytes: all windows of a run, or all that a sampled position's surroundings hold
+    runs = later.select("id", F.struct("low", (F.col("high") + LENGTH).alias("high")).alias("mark"))
+    place = F.shiftright("at", 2)
+    whole = settled.where(F.col("at") % 4 == REPEATS).select("id", F.struct((place - BACK).alias("low"), (place + AHEAD).alias("high")).alias("mark"))
+    by_document = runs.unionAll(whole).groupBy("id").agg(F.collect_list("mark").alias("marks"))
     span = "array<struct<start: long, end: long>>"
     result = packed.join(by_document, "id", "left").mapInArrow(_kept, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed {span}")
     return result if rows is None else rows.join(result, "id")
