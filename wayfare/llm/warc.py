@@ -107,18 +107,16 @@ def _monolithic(batches, folder: str):
 
 def records_of(source: pa.NativeFile, step: int = 1 << 20) -> Iterator[bytes]:
     """The records of a gzip file, of one member or many, inflated once and in order."""
-    inflate, held, at = zlib.decompressobj(31), bytearray(), 0
-    while True:
-        raw = source.read(step)
-        if not raw and not inflate.unconsumed_tail:
-            break
-        while raw:
-            held += inflate.decompress(raw)
-            raw = inflate.unused_data
-            if inflate.eof:
-                inflate = zlib.decompressobj(31)
-            elif raw:
-                break
+    inflate, held, at, raw, ended = zlib.decompressobj(31), bytearray(), 0, b"", False
+    while not ended:
+        raw = raw or source.read(step)
+        ended = not raw
+        # a bounded part at a time, however far the stream inflates
+        held += inflate.flush() if ended else inflate.decompress(raw, 4 << 20)
+        if inflate.eof:
+            raw, inflate = inflate.unused_data, zlib.decompressobj(31)
+        else:
+            raw = inflate.unconsumed_tail
         while True:
             end = held.find(CRLF + CRLF, at)
             if end < 0:
