@@ -235,3 +235,53 @@ def test_cli_and_stream(spark, tmp_path, monkeypatch):
     stream = answer_stream(graph, question_stream(spark, str(tmp_path / "in")), str(tmp_path / "answers"), str(tmp_path / "check"))
     stream.awaitTermination(120)
     assert [r["matched_seed_ids"] for r in spark.read.json(str(tmp_path / "answers/batch=0")).collect()] == [["b"]]
+
+
+def test_frozen_and_tune(spark, graph, tmp_path):
+    kind = "id string, question string, question_type string, relevant_node_ids array<string>"
+    q = spark.createDataFrame([("1", "What is Alpha?", "direct", ["b", "e"]), ("2", "What is Beta?", "direct", ["a", "c"])], kind)
+    conditions = tuple(x for x in experiment.FROZEN if not x[0].startswith("llm"))
+    got = experiment.frozen(graph, q, str(tmp_path / "f"), conditions=conditions, samples=20)
+    assert set(got) == {"results", "summary", "intervals"} and json.loads((tmp_path / "f/manifest.json").read_text())["questions"] == 2
+    with pytest.raises(FileExistsError):
+        experiment.frozen(graph, q, str(tmp_path / "f"), conditions=conditions)
+    rows_, best = experiment.tune(graph, q, depths=(0, 1), decays=(0.5,), tops=(3, 10))
+    assert rows_.count() == 4 and best.first()["depth"] == 1
+
+
+def test_study_reports(spark, graph):
+    kind = "qid string, question string, question_type string, seed_node_ids array<string>, relevant_node_ids array<string>"
+    q = spark.createDataFrame([("q0", "Which pages directly neighbor Alpha", "direct", ["a"], ["b", "e"]), ("q1", "Which pages directly neighbor Beta", "direct", ["b"], ["a", "c"])], kind)
+    words = spark.createDataFrame([("q0", 0, "Alpha"), ("q1", 0, "Beta")], "qid string, position int, keyword string")
+    s = study.arm_scores(graph, q, words).cache()
+    assert s.count() == 10 and set(study.tune_selector(s)) == {"selector", "decisions", "oracle"}
+    choices = spark.createDataFrame([("q0", "C2"), ("q1", "C6")], "qid string, arm string")
+    report = study.model_selector_report(s, choices).first()
+    assert report["selected_mean_f1"] <= report["oracle_mean_f1"]
+    arms = dict(direct="C3", comparison="C2", path="C2", similarity="C4")
+    made = study.contexts(graph, q.select("qid", "question"), words, arms, "C5")
+    matched = spark.createDataFrame([("q0", ["a"])], "qid string, matched_seed_ids array<string>")
+    got = study.analyse(made, q.select("qid", "question_type", "seed_node_ids", "relevant_node_ids"), matched, samples=20)
+    assert rows(got["mapping"]) == [("empty", 1), ("exact", 1)] and rows(got["selections"]) == [("C7", "C3", 2)]
+    assert {r["condition"] for r in got["intervals"].collect()} == {"C1", "C7"}
+    given = spark.createDataFrame([(k, c, "Beta") for k in ("q0", "q1") for c in ("C0", "C1")], "qid string, condition string, answer string")
+    asked_ = q.select("qid", "question", "question_type").withColumns({"dataset": F.lit("d"), "gold": F.lit("Beta")})
+
+    class Judge:
+        def __init__(self, value):
+            self.value = value
+
+        def complete(self, *_, **__):
+            return json.dumps({"correctness": self.value, "completeness": 2, "reason": "because"})
+
+    pilot = study.pilot(asked_, given, Judge(4), ("C0", "C1"))
+    assert pilot["cases"].count() == 2 and {r["correctness"] for r in pilot["means"].collect()} == {4.0}
+    with pytest.raises(Exception, match="invalid rating"):
+        study.pilot(asked_, given, Judge(True), ("C0", "C1"))["ratings"].collect()
+
+    class Echo:
+        def complete(self, system, user, **_):
+            return "Beta" if "context" in user else "nothing"
+
+    two = study.answer_quality(graph, q, made.where("condition = 'C1'").select("qid", "context"), Echo())
+    assert {r["condition"]: r["entity_recall"] for r in two["means"].collect()} == {"C0": 0.0, "C1": 0.25} and two["blind"].count() == 2

@@ -113,7 +113,7 @@ def valid_ratings(rows: DataFrame, names: tuple[str, ...] = ("correctness", "com
     for name in names:
         bad = bad | ~F.coalesce(F.col(name).cast("string").rlike("^[1-5]$"), F.lit(False))
     checked = F.when(bad, F.raise_error(F.lit("the judge returned an invalid rating"))).otherwise(F.lit(True))
-    out = rows.withColumns({name: F.col(name).cast("int") for name in names} | {reason: F.trim(reason)})
+    out = rows.withColumns({name: F.col(name).cast("string").try_cast("int") for name in names} | {reason: F.trim(reason)})
     return out.where(checked)
 
 

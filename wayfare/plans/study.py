@@ -111,3 +111,99 @@ def blind_cases(given: DataFrame, seed: int, conditions: tuple[str, ...]) -> Dat
     letters = F.posexplode(seeded_order(seed, F.col("qid"), conditions)).alias("place", "condition")
     order = given.select("qid").distinct().select("qid", letters)
     return order.join(given, ["qid", "condition"]).select("qid", F.chr(F.col("place") + 65).alias("label"), "condition", "answer")
+
+
+def arm_scores(graph: Graph, questions: DataFrame, keywords: DataFrame, *, threshold: float = 0.85, margin: float = 0.10) -> DataFrame:
+    """(qid, question_type, arm, f1) of the five fixed arms over a labelled development set (qid, question_type, relevant_node_ids)."""
+    seeds = matching.seeds_of(matching.approximate_match(graph, keywords, threshold=threshold, margin=margin))
+    found = propagate_biased(graph, seeds, PAIRS, STUDY, check=True)
+    names = graph.spark.createDataFrame([(a,) for a in PAIRS], "arm string")
+    pairs = questions.select("qid").crossJoin(F.broadcast(names))
+    labels = questions.select("qid", F.explode("relevant_node_ids").alias("node_id"))
+    rows = metrics.retrieval_metrics(pairs, found, labels, ["qid", "arm"])
+    return rows.join(questions.select("qid", "question_type"), "qid").select("qid", "question_type", "arm", "f1")
+
+
+def tune_selector(scores: DataFrame) -> dict[str, DataFrame]:
+    """The trained selector, its held-out decisions, and the upper bound that always knows the best arm."""
+    scores = selection.require_arms(scores)
+    return {"selector": selection.train_selector(scores), "decisions": selection.leave_one_out(scores), "oracle": selection.oracle_mean(scores)}
+
+
+def model_selector_report(scores: DataFrame, choices: DataFrame) -> DataFrame:
+    """(selected_mean_f1, best_fixed_mean_f1, oracle_mean_f1) of a model's choices (qid, arm)."""
+    chosen = scores.join(choices, ["qid", "arm"]).agg(F.avg("f1").alias("selected_mean_f1"))
+    fixed = scores.join(selection.best_arm(scores), "arm").agg(F.avg("f1").alias("best_fixed_mean_f1"))
+    return chosen.crossJoin(fixed).crossJoin(selection.oracle_mean(scores))
+
+
+def analyse(rows: DataFrame, questions: DataFrame, matched: DataFrame, *, samples: int = 10_000, seed: int = 90055) -> dict[str, DataFrame]:
+    """Retrieval F1 by question and arm, means, mapping outcomes, selections, and intervals against the best fixed arm.
+
+    rows: contexts of all arms; questions: (qid, question_type, seed_node_ids, relevant_node_ids); matched: (qid, matched_seed_ids).
+    Each comparison starts its stream of resamples anew.
+    """
+    from pyspark.sql import Window
+
+    labelled = rows.where("condition <> 'C0'").join(questions, "qid")
+    f1 = labelled.select("qid", "question_type", "condition", metrics.set_f1(F.col("ranked_node_ids"), F.col("relevant_node_ids")).alias("f1")).cache()
+    none = F.expr("cast(array() as array<string>)")
+    outcome = questions.join(matched, "qid", "left").select(metrics.mapping_outcome(F.coalesce("matched_seed_ids", none), F.col("seed_node_ids")).alias("outcome"))
+    best = selection.best_arm(f1.where(F.col("condition").isin(*PAIRS)).withColumnRenamed("condition", "arm")).first()["arm"]
+    place = f1.select("qid").distinct().withColumn("position", F.row_number().over(Window.orderBy("qid")) - 1)
+    compared = [c for c in ("C1", "C7", "C8") if not f1.where(F.col("condition") == c).isEmpty()]
+    differences = selection.paired_differences(f1, best).where(F.col("condition").isin(*compared)).join(place, "qid")
+    return {
+        "f1": f1,
+        "means": metrics.macro_by_type(f1, columns=("f1",)),
+        "mapping": outcome.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
+        "selections": rows.where("reused_from is not null").groupBy("condition", "reused_from").agg(F.count(F.lit(1)).alias("n")),
+        "intervals": selection.bootstrap(differences, compared, samples=samples, seed=seed, inner_index=False).withColumn("against", F.lit(best)),
+    }
+
+
+JUDGE_PROMPT = "Rate the candidate's answer against the gold entities alone: correctness and completeness, each a whole number from 1 (worst) to 5 (best). Return a JSON object with correctness, completeness and a short reason."
+
+
+def pilot(questions: DataFrame, given: DataFrame, judge: Client, conditions: tuple[str, ...] = ("C0", "C1", "C7", "C8"), seed: int = 90055) -> dict[str, DataFrame]:
+    """A blinded pilot: one question of each type by hash, answers under letters, a judge's checked ratings and their means.
+
+    questions: (qid, question, question_type, dataset, gold: text); given: (qid, condition, answer).
+    """
+    import json
+
+    spark = questions.sparkSession
+    chosen = questions.join(selection.hash_sample(questions, seed).select("qid"), "qid", "left_semi")
+    cases = blind_cases(given.join(chosen.select("qid"), "qid", "left_semi"), seed, conditions)
+    rated = []
+    for r in cases.join(chosen, "qid").orderBy("qid", "label").toLocalIterator():
+        user = f"Question: {r['question']}\nGold entities: {r['gold']}\nCandidate {r['label']}: {r['answer']}"
+        data = parsed(judge, JUDGE_PROMPT, user)
+        # as JSON, so that true and 3.0 are seen to be no ratings
+        rated.append((r["qid"], r["dataset"], r["condition"], json.dumps(data.get("correctness")), json.dumps(data.get("completeness")), data.get("reason") if isinstance(data.get("reason"), str) else None))
+    raw = spark.createDataFrame(rated, "qid string, dataset string, condition string, correctness string, completeness string, reason string")
+    checked = metrics.valid_ratings(raw)
+    return {"cases": cases, "ratings": checked, "means": metrics.judge_means(checked)}
+
+
+TWO_ARMS = {"model": "Answer the question briefly and name every entity asked for. Say so if you do not know.", "grounded": ANSWER_PROMPT}
+
+
+def answer_quality(graph: Graph, questions: DataFrame, found: DataFrame, client: Client, seed: int = 90055) -> dict[str, DataFrame]:
+    """Two arms, without and with the saved context (qid, context): answers, metrics, means, and blind pairs.
+
+    questions: (qid, question, seed_node_ids, relevant_node_ids).
+    """
+    from wayfare.functions.text import blind_first, pair_id
+
+    spark, got = questions.sparkSession, []
+    for r in questions.select("qid", "question").join(found, "qid").orderBy("qid").toLocalIterator():
+        got.append((r["qid"], "C0", client.complete(TWO_ARMS["model"], r["question"])))
+        got.append((r["qid"], "C1", client.complete(TWO_ARMS["grounded"], f"Question: {r['question']}\n\nGraph context:\n{r['context']}")))
+    given = spark.createDataFrame(got, "qid string, condition string, answer string")
+    rows = answer_metrics(graph, given, found.select("qid", F.lit("C1").alias("condition"), "context"), questions.select("qid", "seed_node_ids", "relevant_node_ids"))
+    means = metrics.macro(rows, ["condition"], ("entity_precision", "entity_recall", "entity_f1", "context_faithfulness"))
+    both = given.groupBy("qid").pivot("condition", ["C0", "C1"]).agg(F.first("answer"))
+    first = blind_first(seed, F.col("qid")) == 0
+    blind = both.select(pair_id(seed, F.col("qid")).alias("pair"), F.when(first, F.col("C0")).otherwise(F.col("C1")).alias("answer_a"), F.when(first, F.col("C1")).otherwise(F.col("C0")).alias("answer_b"), F.when(first, "C0").otherwise("C1").alias("key_a"))
+    return {"answers": given, "metrics": rows, "means": means, "blind": blind}
