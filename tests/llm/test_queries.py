@@ -51,7 +51,7 @@ def test_pipeline(spark):
         seen.append(docs)
     text = [{r["doc_id"]: r["text"] for r in d.collect()} for d in seen]
     assert set(text[1]) <= set(text[0]) and set(text[4]) == set(text[3])
-    groups = {r["id"]: r["component_id"] for r in jaccard.similar(seen[1]).collect()}
+    groups = {r["id"]: r["class_id"] for r in jaccard.similar(seen[1]).collect()}
     assert set(text[2]) == set(groups.values())
     assert all(text[4][k] == text[3][k] or "[SECRET]" in text[4][k] for k in text[4])
     assert any(text[4][k] != text[3][k] for k in text[4])

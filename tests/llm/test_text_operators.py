@@ -211,7 +211,7 @@ def test_jaccard(spark, monkeypatch, chunk):
     want = brute_jaccard(texts)
     got = by_id(jaccard.similar(docs(spark, texts).repartition(3)))
     assert [got[i]["n_links"] for i in range(len(texts))] == want[0]
-    assert [got[i]["component_id"] for i in range(len(texts))] == want[1]
+    assert [got[i]["class_id"] for i in range(len(texts))] == want[1]
     assert jaccard.similar(docs(spark, texts).where("false")).count() == 0
 
 
@@ -219,7 +219,7 @@ def test_jaccard_repeated_rows(spark):
     df = docs(spark, ["a b c d e f", "a b c d e f", "z"])
     twice = df.union(df).union(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     got = by_id(jaccard.similar(twice))
-    assert len(got) == 3 and got[1]["component_id"] == 0 and got[0]["n_links"] == 1
+    assert len(got) == 3 and got[1]["class_id"] == 0 and got[0]["n_links"] == 1
 
 
 # ---- decontamination ---------------------------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """N-gram Jaccard join: MinHash banding, then verification on the full sets of word n-grams.
 
 Words are runs of letters, digits and underscores, in lower case; a document of fewer than n words has one n-gram of
-all its words. Documents with equal n-gram sets are one class, whose representative has the smallest id; documents
-without words are one class for each different text (null counts as empty). Classes are linked when the Jaccard similarity of their sets is
+all its words. Documents with equal n-gram sets are represented by the one with the smallest id; documents without words
+are equal when their texts are (null counts as empty). Representatives are linked when the Jaccard similarity of their sets is
 at least the threshold. `bands` bands of `rows` rows miss a pair at the threshold with probability
 (1 - threshold ** rows) ** bands, 7e-5 with the defaults, and more similar pairs less often.
 
@@ -178,10 +178,10 @@ def _linked(frame, threshold: float):
 
 
 def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, bands: int = 18, rows: int = 4) -> DataFrame:
-    """(id, class_id, class_size, n_links, component_id), one row a document.
+    """(id, class_id, n_links, set_id, set_size), one row a document.
 
-    class_id: the representative of its class. n_links: other documents that it is linked to, members of its own class
-    included. component_id: the smallest id that links reach. Near copies are verified block by block of their bucket
+    class_id: the smallest id that links reach, so that near copies share it. n_links: other documents that it is linked
+    to, those with an equal set included. set_id: the smallest id with the same set. Near copies are verified block by block of their bucket
     and only counted, so no table of all pairs arises; pairs that meet in several buckets count in the first only.
     """
     long_texts(documents.sparkSession)
@@ -210,8 +210,8 @@ def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return (
         membership.join(counted, "rep", "left").join(near, "rep", "left")
         .select(
-            "id", F.col("rep").alias("class_id"), F.col("members").alias("class_size"),
+            "id", F.coalesce("component_id", "rep").alias("class_id"),
             (F.col("members") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"),
-            F.coalesce("component_id", "rep").alias("component_id"),
+            F.col("rep").alias("set_id"), F.col("members").alias("set_size"),
         )
     )

@@ -32,7 +32,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, class_id, class_size, n_links, component_id) of every document, by 5-word sets and 0.8 or more."""
+    """(doc_id, class_id, n_links, set_id, set_size) of every document, by 5-word sets and 0.8 or more."""
     from . import jaccard
 
     return jaccard.similar(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
