@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies (five-word sets, similarity 0.8 or more)."""
-    found = jaccard.similar(docs).where("id <> component_id")
+    found = jaccard.similar(docs).where("id <> class_id")
     return _without(docs, found.select(F.col("id").alias("doc_id")), "near-duplicates")
 
 
