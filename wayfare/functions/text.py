@@ -37,9 +37,10 @@ def any_fold(text: pa.Array) -> pa.Array:
 
 
 def with_folded(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Adds fold(column): PLAIN rows stay in the JVM, only others reach Python."""
+    """Adds fold(column): PLAIN text is folded in the JVM, and Python sees a null in its place."""
     plain = F.coalesce(F.col(column).rlike(PLAIN), F.lit(True))
-    return df.where(plain).withColumn(out, plain_fold(F.col(column))).unionByName(df.where(~plain).withColumn(out, any_fold(F.col(column))))
+    other = any_fold(F.when(~plain, F.col(column)))
+    return df.withColumn(out, F.when(plain, plain_fold(F.col(column))).otherwise(other))
 
 
 def trigrams(folded: Column) -> Column:

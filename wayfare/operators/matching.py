@@ -6,6 +6,9 @@ depends on order within one question (compound keywords) runs in Python, a quest
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,39 +115,54 @@ def accepted(threshold: float | Column, margin: float | Column) -> Column:
     return F.coalesce((F.col("score") >= threshold) & (F.col("second_score").isNull() | (F.col("score") - F.col("second_score") >= margin)), F.lit(False))
 
 
-def _resolve(threshold: float, margin: float):
-    import pandas as pd
-
-    def confident(row) -> bool:
-        second = row.second_score
-        return row.node_id is not None and row.score >= threshold and (pd.isna(second) or row.score - second >= margin)
-
-    def question(frame: pd.DataFrame) -> pd.DataFrame:
-        """One question's keywords: exact ones are given; spans come longest first, a space before a comma."""
-        rows, used, out = list(frame.itertuples(index=False)), set(), {}
-        for r in rows:
-            if r.kind == "exact":
-                out[r.start] = (r.qid, r.start, r.text, r.node_id, r.title, 1.0, None, "exact", True)
-        spans: dict[tuple[int, int], list] = {}
-        for r in rows:
-            if r.kind == "span":
-                spans.setdefault((-r.size, r.start), []).append(r)
-        for (size, start), variants in sorted(spans.items()):
-            own = range(start, start - size)
-            if any(i in used for i in own):
-                continue
-            best = max(sorted(variants, key=lambda r: r.variant), key=lambda r: r.score if r.node_id is not None else 0.0)
-            if confident(best):
-                out[start] = (best.qid, start, best.text, best.node_id, best.title, best.score, None if pd.isna(best.second_score) else best.second_score, "approximate-compound", True)
+def _question(rows: list[dict], threshold: float, margin: float) -> list[tuple]:
+    """The matches of one question's rows: exact ones are given; spans come longest first, a space before a comma."""
+
+    def sure(r: dict) -> bool:
+        return r["node_id"] is not None and r["score"] >= threshold and (r["second_score"] is None or r["score"] - r["second_score"] >= margin)
+
+    def match(r: dict, how: str, yes: bool) -> tuple:
+        return (r["qid"], r["start"], r["text"], r["node_id"], r["title"], r["score"] if r["node_id"] is not None else 0.0, r["second_score"], how, yes)
+
+    out = {r["start"]: match(r, "exact", True) for r in rows if r["kind"] == "exact"}
+    spans: dict[tuple[int, int], list[dict]] = {}
+    for r in rows:
+        if r["kind"] == "span":
+            spans.setdefault((-r["size"], r["start"]), []).append(r)
+    used: set[int] = set()
+    for (size, start), variants in sorted(spans.items()):
+        own = range(start, start - size)
+        if used.isdisjoint(own):
+            best = max(sorted(variants, key=lambda r: r["variant"]), key=lambda r: r["score"] if r["node_id"] is not None else 0.0)
+            if sure(best):
+                out[start] = match(best, "approximate-compound", True)
                 used.update(own)
-        for r in rows:
-            if r.kind == "single" and r.start not in used:
-                sure = confident(r)
-                out[r.start] = (r.qid, r.start, r.text, r.node_id, r.title, r.score if r.node_id is not None else 0.0, None if pd.isna(r.second_score) else r.second_score, "approximate" if sure else "unresolved", sure)
-        names = [x.split()[0] for x in MATCHES.split(", ")]
-        return pd.DataFrame([out[k] for k in sorted(out)], columns=names).astype({"position": "int32"})
+    for r in rows:
+        if r["kind"] == "single" and r["start"] not in used:
+            out[r["start"]] = match(r, "approximate" if sure(r) else "unresolved", sure(r))
+    return [out[k] for k in sorted(out)]
 
-    return question
+
+def _resolved(batches, threshold: float, margin: float):
+    """Matches of rows that come question by question."""
+    names = [x.split()[0] for x in MATCHES.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found)) if found else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    held: list[dict] = []
+    for batch in batches:
+        found: list[tuple] = []
+        for qid, own in groupby(batch.to_pylist(), key=itemgetter("qid")):
+            if held and held[0]["qid"] != qid:
+                found += _question(held, threshold, margin)
+                held = []
+            held += own
+        yield batch_of(found)
+    if held:
+        yield batch_of(_question(held, threshold, margin))
 
 
 def approximate_match(graph: Graph, keywords: DataFrame, *, threshold: float = 0.85, margin: float = 0.10, candidate_limit: int = 50) -> DataFrame:
@@ -176,7 +194,8 @@ def approximate_match(graph: Graph, keywords: DataFrame, *, threshold: float = 0
     exact = exact.join(graph.titles.select("norm", "node_id"), "norm").join(display, "node_id")
     exact = exact.withColumns({"score": F.lit(1.0), "second_score": F.lit(None).cast("double")})
     columns = [x.split()[0] for x in texts.split(", ")] + ["node_id", "title", "score", "second_score"]
-    return rows.select(columns).unionByName(exact.select(columns)).groupBy("qid").applyInPandas(_resolve(threshold, margin), MATCHES)
+    every = rows.select(columns).unionByName(exact.select(columns))
+    return every.repartition("qid").sortWithinPartitions("qid").mapInArrow(lambda b: _resolved(b, threshold, margin), MATCHES)
 
 
 def seeds_of(matches: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions.text import trigrams, with_folded
-from wayfare.schema import EDGES, NODES
+from wayfare.schema import NODES
 
 
 def require_columns(df: DataFrame, required: set[str], name: str) -> DataFrame:
