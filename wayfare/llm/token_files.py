@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, shared_dir
+from .shared import long_texts, materialise, shared_dir
+from .workers import tidy
 
 MAGIC, BLOCK = int.from_bytes(b"DACTOK01", "little"), 512
 
@@ -38,15 +39,17 @@ def _pad(n: int) -> int:
 def encode(document_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> list[bytes]:
     """The parts of a file, in order."""
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    rest = ids.astype("<u4")
-    while True:
-        more = rest >= 256
-        bits = np.packbits(more, bitorder="little")
-        blocks = np.add.reduceat(more, np.arange(0, len(more), BLOCK), dtype="<u8") if len(more) else np.zeros(0, "<u8")
-        levels.append(((rest & 255).astype("u1"), bits, np.append(np.zeros(1, "<u8"), np.cumsum(blocks)).astype("<u8")))
-        if not more.any():
-            break
-        rest = rest[more] >> 8
+    every = np.ascontiguousarray(ids, "<u4").view("u1").reshape(-1, 4)
+    chunks = [np.ascontiguousarray(every[:, k]) for k in range(4)]
+    while len(chunks) > 1 and not chunks[-1].any():
+        chunks.pop()
+    while chunks:
+        more = np.zeros(len(chunks[0]), bool)
+        for later in chunks[1:]:
+            more |= later != 0
+        counts = np.add.reduceat(more, np.arange(0, len(more), BLOCK), dtype="<u8") if len(more) else np.zeros(0, "<u8")
+        levels.append((chunks[0], np.packbits(more, bitorder="little"), np.append(np.zeros(1, "<u8"), np.cumsum(counts)).astype("<u8")))
+        chunks = [c[more] for c in chunks[1:]]
     sections = [np.array([x or 0 for x in document_ids], "<i8"), np.array([x is None for x in document_ids], "u1"), ends.astype("<i8")]
     for level in levels:
         sections += level
@@ -134,13 +137,14 @@ def write_whole(folder: str, name: str, parts: Iterable[bytes]) -> str:
     return f"{folder}/{name}"
 
 
+@tidy()
 def _written(batches, folder: str, tokenizer: str, end_id: int):
     from .tokenizing import encoder
 
     own, parts, end = [], [], np.array([end_id], "<u4")
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
             own += part["id"].to_pylist()
             parts += [np.concatenate([ids, end]) for ids in encoder(tokenizer).encode(part["text"].to_pylist())]
     if own:
@@ -157,6 +161,7 @@ def write(documents: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "d
     base: the number of ids in all files before. The manifest has a row a file.
     """
     spark = documents.sparkSession
+    long_texts(spark)
     folder = folder or shared_dir(spark, "tokens")
     plain = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = plain.repartitionByRange("id").sortWithinPartitions("id", "text")
@@ -166,6 +171,7 @@ def write(documents: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "d
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+@tidy()
 def _read(batches):
     for batch in batches:
         for path, base in zip(batch["path"].to_pylist(), batch["base"].to_pylist()):
@@ -173,7 +179,8 @@ def _read(batches):
                 found = TokenFile(pa.BufferReader(source.readall()))
             own, null, ends = found.table()
             begin = np.append(0, ends[:-1])
-            digests = [zlib.crc32(found.range(int(a), int(b)).tobytes()) for a, b in zip(begin, ends)]
+            ids = found.range(0, int(found.n_ids))
+            digests = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begin.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(own, mask=null), pa.array(begin + base), pa.array(ends - begin), pa.array(digests, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 

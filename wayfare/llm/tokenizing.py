@@ -17,7 +17,7 @@ class _Memo:
         self.doubtful: set[int] = set()
         self.flat, self.starts, self.used = np.zeros(1 << 18, "<u4"), np.zeros(1 << 16, np.int64), 0
 
-    def keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+    def keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray, plain: bool = False) -> None:
         n, count = len(self.known), len(pieces)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), "<u4")])
@@ -27,8 +27,8 @@ class _Memo:
         self.starts[n + 1 : n + count + 1] = self.used + ends
         self.used += len(ids)
         self.known.update(zip(pieces, range(n, n + count)))
-        # the space before an empty piece, or one that begins with white space, may be an odd one
-        self.doubtful.update(n + i for i, x in enumerate(pieces) if not x or x[0].isspace())
+        if not plain:  # the space before an empty piece, or one that begins with white space, may be an odd one
+            self.doubtful.update(n + i for i, x in enumerate(pieces) if not x or x[0].isspace())
 
     def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces at these places, end to end, and where each ends."""
@@ -87,28 +87,28 @@ class Encoder:
     def _raw(self, key: str) -> str:
         return key if self.drops_space else key[1:] if key.startswith(self.FIRST) else " " + key
 
-    def _plain(self, key: str) -> bool:
-        """Whether the key can stand in a text of such keys, its tokens told by their edges."""
+    def _plain(self, keys: list[str]) -> list[str]:
+        """The keys that can stand in a text of such keys, their tokens told by their edges."""
         if self.drops_space:
-            return key.isalpha()
-        return bool(key) and not (key[0].isspace() or key[-1].isspace() or key[0] == self.FIRST)
+            return [x for x in keys if x.isalpha()]
+        return [x for x in keys if x and x.strip() == x and x[0] != self.FIRST]
 
     def add(self, keys: list[str]) -> None:
-        old = [x for x in keys if x in self.before.known]
-        if old:
-            at = np.fromiter(map(self.before.known.__getitem__, old), np.int64, len(old))
-            self.memo.keep(old, *self.before.ids_of(at))
-        new = [x for x in keys if x not in self.before.known] if old else keys
-        plain, rest = [], []
-        for x in new:
-            (plain if self._plain(x) else rest).append(x)
+        at = np.fromiter(map(self.before.known.get, keys, repeat(-1)), np.int64, len(keys))
+        old = np.flatnonzero(at >= 0)
+        if old.size:
+            self.memo.keep([keys[i] for i in old.tolist()], *self.before.ids_of(at[old]))
+            keys = [keys[i] for i in np.flatnonzero(at < 0).tolist()]
+        plain = self._plain(keys)
+        taken = set(plain) if len(plain) < len(keys) else None
+        rest = [x for x in keys if x not in taken] if taken is not None else []
         for at in range(0, len(plain), 1000):
             part = plain[at : at + 1000]
             text = " ".join(part) if self.drops_space else " " + " ".join(part)
             ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             edges = np.flatnonzero(self.edge[ids])
             if len(edges) == len(part):
-                self.memo.keep(part, ids, edges + 1 if self.drops_space else np.append(edges[1:], len(ids)))
+                self.memo.keep(part, ids, edges + 1 if self.drops_space else np.append(edges[1:], len(ids)), plain=True)
             else:
                 rest += part
         for at in range(0, len(rest), 1000):
@@ -130,7 +130,7 @@ class Encoder:
                     found[0] = self.FIRST + found[0]
             else:
                 continue
-            if len(max(found, key=len, default="")) <= self.LONGEST:
+            if len(text) <= self.LONGEST or len(max(found, key=len, default="")) <= self.LONGEST:
                 rows.append(row), sizes.append(len(found))
                 keys += found
         at = np.fromiter(map(self.memo.known.get, keys, repeat(-1)), np.int64, len(keys))
