@@ -12,6 +12,7 @@ from wayfare.operators import matching
 from wayfare.operators.context import context
 from wayfare.operators.propagation import direct_neighbours, propagate, propagate_biased
 from wayfare.schema import STRATEGIES, BiasConfig, Parameters
+from wayfare.sources.cut import kept
 from wayfare.sources.graph import Graph
 from wayfare.sources.language_model import Client, parsed
 
@@ -104,16 +105,16 @@ def run(graph: Graph, questions: DataFrame, strategy: str = "rules", *, fixed: P
     """
     own = plan(graph, questions, strategy, fixed=fixed, client=client)
     # what several results read is kept, a few rows a question, so that their plans stay small
-    own = Plan(own.keywords.persist(), own.parameters.persist())
+    own = Plan(kept(own.keywords), kept(own.parameters))
     matches = None
     if match_mode == "exact":
         seeds, unmatched = matching.exact_match(graph, own.keywords)
     elif match_mode == "approximate":
-        matches = matching.approximate_match(graph, own.keywords, threshold=threshold, margin=margin).persist()
+        matches = kept(matching.approximate_match(graph, own.keywords, threshold=threshold, margin=margin))
         seeds, unmatched = matching.seeds_of(matches), matches.where("not accepted").select("qid", "position", "keyword")
     else:
         raise ValueError("match_mode must be exact or approximate")
-    seeds = seeds.persist()
+    seeds = kept(seeds)
     if backend is None:
         ranked = propagate(graph, seeds, own.parameters)
     else:
@@ -124,7 +125,7 @@ def run(graph: Graph, questions: DataFrame, strategy: str = "rules", *, fixed: P
             chosen = own.parameters.where((F.col("depth") == depth) & (F.col("decay") == decay) & (F.col("top_k") == top_k)).select("qid")
             part = propagate_biased(graph, seeds.join(chosen, "qid", "left_semi"), {"one": (backend.a, backend.b)}, Parameters(depth, decay, top_k), query_type=backend.query_type, check=True).drop("arm")
             ranked = part if ranked is None else ranked.unionByName(part)
-    ranked = ranked.persist()
+    ranked = kept(ranked)
     return Run(own, seeds, matches, unmatched, ranked, context(graph, questions.select(F.col("qid").cast("string").alias("qid")), ranked))
 
 

@@ -11,6 +11,7 @@ from wayfare.operators.context import study_context
 from wayfare.operators.propagation import direct_neighbours, propagate_biased
 from wayfare.plans.strategies import ordered
 from wayfare.schema import PAIRS, STUDY
+from wayfare.sources.cut import kept
 from wayfare.sources.graph import Graph
 from wayfare.sources.language_model import Client, parsed
 
@@ -32,8 +33,8 @@ def contexts(graph: Graph, questions: DataFrame, keywords: DataFrame, arm_by_typ
     before anything is retrieved; C7 copies the arm that it chose.
     """
     choices = questions.select("qid", selection.select_arm(any_fold(F.col("question")), arm_by_type, fallback).alias("arm"))
-    seeds = matching.seeds_of(matching.approximate_match(graph, keywords, threshold=threshold, margin=margin).persist()).persist()
-    found = retrieve(graph, seeds).persist()
+    seeds = kept(matching.seeds_of(matching.approximate_match(graph, keywords, threshold=threshold, margin=margin)))
+    found = kept(retrieve(graph, seeds))
     # a condition of a question is a context's key, so all arms' contexts are one plan
     key = F.concat_ws("|", "condition", "qid")
     conditions = ["C1", *PAIRS]
@@ -50,7 +51,7 @@ def contexts(graph: Graph, questions: DataFrame, keywords: DataFrame, arm_by_typ
         "context", "context_node_ids", "context_truncated", "context_characters", F.lit(None).cast("string").alias("reused_from"),
     )
     empty = questions.select("qid", F.lit("C0").alias("condition"), none.alias("ranked_node_ids"), zero.alias("scores"), F.lit("").alias("context"), none.alias("context_node_ids"), F.lit(False).alias("context_truncated"), F.lit(0).alias("context_characters"), F.lit(None).cast("string").alias("reused_from"))
-    rows = rows.persist()
+    rows = kept(rows)
     copied = selection.reuse_arm(rows.drop("reused_from"), choices, "C7").select(rows.columns)
     return empty.unionByName(rows).unionByName(copied)
 
@@ -98,9 +99,9 @@ def answer_metrics(graph: Graph, given: DataFrame, rows: DataFrame, questions: D
     Seeds that the question names do not count; C0 has no context and so no faithfulness.
     """
     key = F.concat_ws("|", "condition", "qid")
-    named = ordered(matching.mentioned_nodes(graph, given.select(key.alias("qid"), F.col("answer").alias("text"))), "node_id", "mentioned").persist()
+    named = kept(ordered(matching.mentioned_nodes(graph, given.select(key.alias("qid"), F.col("answer").alias("text"))), "node_id", "mentioned"))
     shown = rows.where("condition <> 'C0'").select(key.alias("qid"), F.col("context").alias("text"))
-    seen = ordered(matching.mentioned_nodes(graph, shown), "node_id", "context_ids").persist()
+    seen = kept(ordered(matching.mentioned_nodes(graph, shown), "node_id", "context_ids"))
     none = F.expr("cast(array() as array<string>)")
     own = given.withColumn("key", key).join(named.withColumnRenamed("qid", "key"), "key", "left").join(seen.withColumnRenamed("qid", "key"), "key", "left").join(questions, "qid")
     own = own.withColumns({"mentioned": F.coalesce("mentioned", none), "context_ids": F.when(F.col("condition") == "C0", F.lit(None)).otherwise(F.coalesce("context_ids", none)), "excluded": F.col("seed_node_ids"), "relevant": F.col("relevant_node_ids")})
