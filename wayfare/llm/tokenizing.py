@@ -52,7 +52,7 @@ class Encoder:
     SAFE = re.compile(r"[\t\n\r\x20-\x5e\x60-\x7e\xa0-\u012f\u0131-\u024f]*\Z")
     TAIL = re.compile(r"[^\w\s]+(?=\s|\Z)")
     #: Pieces in each of the memo's two generations (about 200 bytes a piece); texts with longer pieces go whole.
-    GENERATION, LONGEST = 400_000, 4096
+    GENERATION, LONGEST = 250_000, 4096
     #: Leads the key of a text's first piece, which no space leads.
     FIRST = "\0"
 
@@ -60,18 +60,15 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for x in (self.library, self.marked):
-            x.no_truncation()
-            x.no_padding()
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         self.library.encode_special_tokens = True
         pre = self.library.pre_tokenizer
         ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
         self.drops_space = ids("a b\tc") == ids("a") + ids("b") + ids("c") and ids(" ") == []
         self.lowers = self.drops_space and ids("A É a, B.\nb!! x's.") == ids("a é") + ids("a") + ids(",") + ids("b") + ids(".") + ids("b") + ids("!!") + ids("x's") + ids(".")
         self.byte_level = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and self.library.normalizer is None
-        special = [x for x in self.library.get_added_tokens_decoder().items() if x[1].special and not (x[1].lstrip or x[1].rstrip)]
-        self.mark_id, self.mark = (special[-1][0], special[-1][1].content) if special else (-1, "")
         #: Tokens that begin (byte level) or end (with a suffix) a piece of letters.
         self.edge = np.zeros(self.library.get_vocab_size(), bool)
         for token, at in self.library.get_vocab().items():
