@@ -374,3 +374,31 @@ def test_votes_agree_with_brute_force():
         near = np.argsort(-cosine)[:7]
         weight = np.maximum(cosine[near], 0) ** 2
         assert got == pytest.approx((weight * labels[near]).sum() / weight.sum())
+
+
+def unequal(spark, n=600):
+    """One row of eight has label 1, and words say nothing about it."""
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(60)}" for _ in range(40))) for i in range(n)], "doc_id long, text string")
+    return df, spark.createDataFrame([(i, int(i % 8 == 0), int(i % 8 == 0)) for i in range(n)], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("bound", [50, 200, 4096])
+def test_class_shares_outlast_the_bound(spark, bound):
+    df, labels = unequal(spark)
+    rows = toxicity.training_rows(df, labels, "toxic", F.lit(True), bound).collect()
+    assert sum(r["weight"] for r in rows if r["label"] == 1) == pytest.approx(75) and sum(r["weight"] for r in rows) == pytest.approx(600)
+    own = quality.fit(df, labels, F.lit(True), bound=bound)
+    assert own.prior == pytest.approx(1 / 8)
+    assert np.mean([r["score"] for r in quality.score(df, own).collect()]) == pytest.approx(1 / 8, abs=0.06)
+    lexicon = toxicity.fit(df, labels, F.lit(True), bound=bound, support=10**6)
+    assert toxicity._scores(["w1 w2"], lexicon, lexicon.automaton()) == pytest.approx([1 / 8], abs=0.06)
+
+
+def test_logistic_with_weights_is_the_one_of_repeated_rows():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + rng.normal(size=300) > 0.8).astype(float)
+    times = np.where(y == 0, 7, 1)
+    want = toxicity._logistic(np.repeat(x, times, axis=0), np.repeat(y, times), np.ones(times.sum()))
+    assert toxicity._logistic(x, y, times.astype(float)) == pytest.approx(want, rel=0.02, abs=0.02)

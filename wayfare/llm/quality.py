@@ -4,9 +4,10 @@ A text is a bag of trigrams of character classes (letter case, digit, white spac
 of letter pairs, damped and weighted by inverse document frequency, with two more terms for the shares of its lines that
 repeat and of its words that equal the word before. Truncated singular vectors of a bounded sample of labelled texts give the space; the sample's vectors and
 labels are broadcast, and each document's exact cosine with every one of them is computed block by block. The k most
-similar (with ties at the k-th) vote with the positive part of their similarity, raised to a power.
+similar (with ties at the k-th) vote with the positive part of their similarity, raised to a power, times the number of
+usable labels of its class that a voter stands for: the classes count by their shares of all usable labels.
 
-Null and empty texts, and texts with no term of the space, get the share of label 1 in the sample. Repeated rows get
+Null and empty texts, and texts with no term of the space, get the share of label 1 in the weighted sample. Repeated rows get
 the same score each. An empty sample scores every row 0.5.
 """
 
@@ -58,7 +59,7 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Neighbours:
-    """space: terms by dimensions, weighted; vectors: unit rows of the sample; labels: 0 or 1 of each."""
+    """space: terms by dimensions, weighted; vectors: unit rows of the sample; labels: 0 or 1 of each; weights: what its vote counts."""
 
     space: np.ndarray
     vectors: np.ndarray
@@ -66,6 +67,7 @@ class Neighbours:
     prior: float
     k: int = 15
     power: float = 8.0
+    weights: np.ndarray | float = 1.0
 
     def project(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), self.space.shape[1]))
@@ -85,7 +87,7 @@ class Neighbours:
             return score
         near = vectors @ self.vectors.T
         least = np.partition(near, near.shape[1] - k, axis=1)[:, [near.shape[1] - k]]
-        weight = np.where(near >= least - 1e-12, np.maximum(near, 0) ** self.power, 0)
+        weight = np.where(near >= least - 1e-12, np.maximum(near, 0) ** self.power, 0) * self.weights
         total = weight.sum(axis=1)
         usable = (total > 1e-12) & vectors.any(axis=1)
         score[usable] = (weight @ self.labels)[usable] / total[usable]
@@ -100,13 +102,15 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str =
     def termed(batches):
         for batch in batches:
             found = [terms(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0].tobytes() for x in found], pa.binary()), pa.array([x[1].tobytes() for x in found], pa.binary()), batch["label"].cast(pa.int64())], ["at", "value", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0].tobytes() for x in found], pa.binary()), pa.array([x[1].tobytes() for x in found], pa.binary()), batch["label"].cast(pa.int64()), batch["weight"]], ["at", "value", "label", "weight"])
 
     # the sample is bounded, and so is what the driver gets: a few hundred terms of each text
-    got = rows.mapInArrow(termed, "at binary, value binary, label long").orderBy("label", "at", "value").collect()
+    got = rows.mapInArrow(termed, "at binary, value binary, label long, weight double").orderBy("label", "at", "value", "weight").collect()
     counts = np.array([r["label"] for r in got], float)
     if not len(got):
         return Neighbours(np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
+    weights = np.array([r["weight"] for r in got])
+    weights /= weights.mean()
     used = [(np.frombuffer(r["at"], np.int64), np.frombuffer(r["value"], float)) for r in got]
     frequency = np.zeros(TERMS)
     for at, _ in used:
@@ -129,14 +133,14 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str =
     space[kept] = (idf[:, None] * basis).astype(np.float32)
     vectors = matrix.astype(float) @ basis
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return Neighbours(space, vectors / np.where(norm > 0, norm, 1), counts, float(counts.mean()))
+    return Neighbours(space, vectors / np.where(norm > 0, norm, 1), counts, float((weights * counts).mean()), weights=weights)
 
 
 def score(documents: DataFrame, model: Neighbours, *, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
     """(id, score) of every document."""
     kept = np.flatnonzero(np.abs(model.space).sum(axis=1) > 0)
     # what is broadcast has a fixed bound: 6000 terms and 2 * bound voters, by dimensions
-    shared = documents.sparkSession.sparkContext.broadcast((kept, model.space[kept], model.space.shape, model.vectors, model.labels, model.prior, model.k, model.power))
+    shared = documents.sparkSession.sparkContext.broadcast((kept, model.space[kept], model.space.shape, model.vectors, model.labels, model.prior, model.k, model.power, model.weights))
     held: list[Neighbours] = []
 
     @tidy()

@@ -133,13 +133,14 @@ def _phrases(batches, words: frozenset[str]):
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["phrase", "toxic", "other"])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Newton's method with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Newton's method with a small ridge; rows count by their weight, of which only the ratios matter."""
+    weight = weight / weight.mean()
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(len(w)), a.T @ (p - y) + 0.05 * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(len(w)), a.T @ (weight * (p - y)) + 0.05 * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -147,19 +148,26 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, usable: Column, bound: int) -> DataFrame:
-    """(text, label, part): of each class the `bound` labelled documents with the smallest hashes; part halves them."""
+    """(text, label, part, weight): of each class the `bound` labelled documents with the smallest hashes; part halves them.
+
+    weight is the number of usable labels of its class that a row stands for: weighted, the rows have the class shares of
+    all usable labels, whichever class meets the bound.
+    """
     own = labels.select(F.col("doc_id"), F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & usable).distinct()
+    n = {r["label"]: r["count"] for r in own.where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
     chosen = None
     for value in (0, 1):
         part = own.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        part = part.withColumn("weight", F.lit(max(1.0, n.get(value, 0) / max(1, bound))))
         chosen = part if chosen is None else chosen.union(part)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", F.expr("pmod(xxhash64(doc_id, 5L), 2)").alias("part"))
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", F.expr("pmod(xxhash64(doc_id, 5L), 2)").alias("part"), "weight")
 
 
 def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", bound: int = 4096, size: int = 2000, support: int = 4, exceptions: tuple[str, ...] = ("trash can", "trash bin", "clown fish")) -> Lexicon:
     """Learns the lexicon from `bound` labelled rows of each class at most: the documented sample of a classifier.
 
-    Half of the rows give the weights, the other half the factors of the logistic function. size bounds the lexicon.
+    Half of the rows give the weights, the other half the factors of the logistic function, in which the classes count by
+    their shares of all usable labels. size bounds the lexicon.
     """
     from .shared import long_texts, materialise
 
@@ -185,9 +193,9 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str =
         automaton = draft.automaton()
         for batch in batches:
             found = [measures(fold(t), automaton) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in range(3)] + [batch["toxic"].cast(pa.float64())], ["a", "b", "c", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in range(3)] + [batch["toxic"].cast(pa.float64()), batch["weight"]], ["a", "b", "c", "y", "weight"])
 
-    x = np.array([tuple(r) for r in rows.where("part = 1").select("text", "toxic").mapInArrow(measured, "a double, b double, c double, y double").orderBy("a", "b", "c", "y").collect()])
+    x = np.array([tuple(r) for r in rows.where("part = 1").select("text", "toxic", "weight").mapInArrow(measured, "a double, b double, c double, y double, weight double").orderBy("a", "b", "c", "y", "weight").collect()])
     if len(x) < 10 or len(set(x[:, 3])) < 2:
         return Lexicon(weights, spared, (-3.0, 1.0, 0.5, 0.0))
-    return Lexicon(weights, spared, _logistic(x[:, :3], x[:, 3]))
+    return Lexicon(weights, spared, _logistic(x[:, :3], x[:, 3], x[:, 4]))
