@@ -120,6 +120,16 @@ def test_components(spark):
     assert shared.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
 
 
+def test_components_of_long_paths(spark):
+    adverse = [*range(1, 200), 0]
+    shuffled = random.Random(2).sample(range(1000, 1700), 700)
+    hub = [(5000, i) for i in range(4000, 4100)]
+    edges = [*zip(adverse, adverse[1:]), *zip(shuffled, shuffled[1:]), *hub]
+    random.Random(3).shuffle(edges)
+    got = {r["v"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert got == {**{i: 0 for i in adverse}, **{i: 1000 for i in shuffled}, **{i: 4000 for i in [5000, *range(4000, 4100)]}}
+
+
 def test_pair_blocks(spark):
     df = spark.range(50).select(F.col("id").alias("m"), (F.col("id") < 45).cast("int").alias("k"))
     dealt = shared.pair_blocks(df, ["k"], "m", 10)
