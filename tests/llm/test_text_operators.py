@@ -264,6 +264,25 @@ def test_masks_meet_every_three_substitutions():
         assert any(not set(gone) & {s + m for m in mask} for mask in decontamination.MASKS for s in range(15 - mask[-1]))
 
 
+def test_decontamination_by_items_shorter_than_the_window(spark):
+    from itertools import combinations
+
+    items = [[f"s{n}x{p}" for p in range(n)] for n in range(1, 15)] + [["a", "b", "a", "b"], ["a", "b"]]
+    texts, want = ["", "a b", "b a b a b"], {(1, 15): 2, (2, 14): 4, (2, 15): 2}
+    for i, item in enumerate(items[:14]):
+        n = len(item)
+        for changes in range(min(n, n // 5 + 2)):
+            for gone in combinations(range(n), changes):
+                words = ["other" if p in gone else w for p, w in enumerate(item)]
+                if changes <= n // 5:
+                    want[len(texts), i] = n - changes
+                texts.append(" ".join(["intro"] * (len(texts) % 3) + words + ["end"] * (len(texts) % 2)).upper())
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontamination.overlaps(docs(spark, texts), bench).collect()
+    assert {(r["id"], r["item"]): r["best"] for r in got} == want
+    assert all(r["needed"] == (n := len(items[r["item"]])) - n // 5 for r in got)
+
+
 # ---- repeated bytes ----------------------------------------------------------------------------------------------
 
 

@@ -6,8 +6,10 @@ document, an item and an offset, along which the tokens of both are compared: th
 `window` tokens of the item has at most `substitutions` that differ. The three masks together meet every way to
 substitute three of fifteen tokens, so with these defaults the seeds lose no such overlap.
 
-Items shorter than the window are one window of their own, of which a fifth may differ (rounded down). Items of fewer
-than seven tokens, which no mask fits, and null or empty texts match nothing. Repeated rows give one row for each
+Items shorter than the window are one window of their own, of which a fifth may differ (rounded down). Their seeds are not
+the masks but runs of tokens that part the item, one more than tokens that may differ, so that some run is whole in every
+overlap; items of up to four tokens are one run, found verbatim. Documents get seeds of the run sizes that the benchmark
+needs. Null or empty texts match nothing. Repeated rows give one row for each
 (document id, item id); rows without an id are left out. Empty tables give an empty result.
 """
 
@@ -47,11 +49,34 @@ def _seeded(texts: DataFrame, masks) -> DataFrame:
     return rows.select("id", place.alias("at"), "seed")
 
 
+def _runs(size: int, differ: int) -> list[tuple[int, int]]:
+    """(begin, size) of runs that part an item of `size` tokens, of which one is whole whichever `differ` tokens differ."""
+    parts = min(size, differ + 1)
+    ends = [size * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def _run_seeds(items: DataFrame, runs: dict[int, list[tuple[int, int]]], number: dict[int, int]) -> DataFrame:
+    """(id, at, seed) of short items, their seeds as _seeds has them; number: the mask of each run size."""
+    hashed = items.select("id", F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h"))
+    seed = lambda at, size: f"named_struct('at', {at}, 'seed', xxhash64({number[size]}, {', '.join(f'get(h, {at + o})' for o in range(size))}))"
+    cases = " ".join(f"when {n} then array({', '.join(seed(*r) for r in own)})" for n, own in runs.items())
+    return hashed.select("id", F.inline(F.expr(f"case size(h) {cases} end")))
+
+
 def overlaps(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 15, substitutions: int = 3, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
     """(id, item, best, needed): best is the largest number of equal tokens in a window of an overlap."""
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text")).where("id is not null").distinct()
-    tests = materialise(_seeded(items, masks).select("seed", F.col("id").alias("item"), F.col("at").alias("item_at")).distinct(), "benchmark-seeds")
+    length = F.size(tokens(F.col("text")))
+    short = [r["n"] for r in items.select(length.alias("n")).where(f"n > 0 and n < {window}").distinct().orderBy("n").collect()]
+    seeds = _seeded(items.where(length >= window), masks)
+    if short:
+        runs = {n: _runs(n, n * substitutions // window) for n in short}
+        sizes = sorted({size for own in runs.values() for _, size in own})
+        seeds = seeds.union(_run_seeds(items.where(length < window), runs, {size: len(masks) + k for k, size in enumerate(sizes)}))
+        masks = (*masks, *(tuple(range(size)) for size in sizes))
+    tests = materialise(seeds.select("seed", F.col("id").alias("item"), F.col("at").alias("item_at")).distinct(), "benchmark-seeds")
     hits = _seeded(docs, masks).join(few(tests), "seed").select("id", "item", (F.col("at") - F.col("item_at")).alias("offset"))
     hits = materialise(hits.groupBy("id", "item", "offset").agg(F.count(F.lit(1)).alias("seeds")), "benchmark-hits")
     near = docs.join(few(hits.select("id").distinct(), BROADCAST_ROWS), "id", "left_semi").select("id", tokens(F.col("text")).alias("t"))
