@@ -140,6 +140,19 @@ def test_bootstrap_agrees_with_the_streams(spark, inner):
         assert (got[c]["ci95_lower"], got[c]["ci95_upper"]) == pytest.approx((boot[low], boot[high]))
 
 
+def test_registered_bootstrap_of_all_resamples(spark, tmp_path):
+    from wayfare import queries
+
+    spark.range(25).select(F.col("id").cast("int").alias("n_nationkey")).write.parquet(str(tmp_path / "nation.parquet"))
+    got = {r["condition"]: r for r in queries.QUERIES["bootstrap_interval_whole"](spark, str(tmp_path)).collect()}
+    rng = random.Random(90055)
+    for k in (3, 4, 5, 6):
+        d = [(i * 17 + k * k * 29) % 97 / 97 - (i * 17 + 4 * 29) % 97 / 97 for i in range(25)]
+        boot = sorted(sum(d[rng.randrange(25)] for _ in d) / 25 for _ in range(10_000))
+        own = got[f"C{k}"]
+        assert (own["mean_difference"], own["ci95_lower"], own["ci95_upper"]) == pytest.approx((mean(d), boot[249], boot[9749]), abs=2e-9)
+
+
 def test_selection_rows(spark):
     import hashlib
 
