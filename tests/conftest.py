@@ -22,9 +22,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df, *columns):
-    """Sorted tuples of the columns."""
-    found = [tuple(r[c] for c in columns or df.columns) for r in df.collect()]
-    return sorted(found, key=lambda t: [(x is None, str(x)) for x in t])

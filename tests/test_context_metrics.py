@@ -2,7 +2,7 @@ import random
 from statistics import mean
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from wayfare.operators import context as cx

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from wayfare.operators import topology as tp
 from wayfare.schema import BiasConfig, Parameters

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 from test_graph import graph_of
 
 from wayfare.operators import matching as mt

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from wayfare.functions import text as tx
