@@ -17,7 +17,7 @@ from wayfare.llm import repeats as rp
 from wayfare.llm.tokenizing import Encoder
 
 BYTES, WORDS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-ODD = [None, "", " ", "a", "é" * 300, "x" * 20_000, "a  b\n c ", "Ω \t\n", "\x00 a"]
+ODD = [None, "", " ", "a", "é" * 300, "x" * 20_000, "a  b\n c ", "Ω \t\n", "\x00 a", "a <|endoftext|>, <|startoftext|>b"]
 
 
 def docs(spark, texts, extra=True):
@@ -40,12 +40,18 @@ def by_id(df, key="id"):
 def test_encoder_is_the_library(path, generation, texts):
     own = ENCODERS.setdefault((path, generation), Encoder(path))
     own.GENERATION = generation
-    texts = texts + ["<|endoftext|> x", "don't  stop"]
-    want = [x.ids for x in own.library.encode_batch(texts, add_special_tokens=False)]
+    texts = texts + ["<|endoftext|> x", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> <|endoftext", "don't  stop"]
+    want = [x.ids for x in FRESH[path].encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in own.encode(texts)] == want
 
 
 ENCODERS: dict = {}
+FRESH = {path: Tokenizer.from_file(path) for path in (BYTES, WORDS)}
+
+
+def test_added_tokens_are_single_ids():
+    assert Encoder(BYTES).encode(["a <|endoftext|> b"])[0].tolist().count(50256) == 1
+    assert Encoder(WORDS).encode(["a <|endoftext|> b"])[0].tolist().count(49407) == 1
 
 
 @settings(max_examples=40, deadline=None)
@@ -64,9 +70,7 @@ def test_token_file_round_trip(ids, data):
 
 
 def library_ids(path, text, end):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return np.array(t.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
+    return np.array(Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
 def test_token_files(spark):
@@ -227,7 +231,7 @@ def test_jaccard_repeated_rows(spark):
 
 def brute_overlap(text, item, window=15, substitutions=3):
     t, i = (re.findall(r"\w+", x.lower()) for x in (text or "", item or ""))
-    if len(i) < 7:
+    if not i:
         return None
     width = min(window, len(i))
     needed = window - substitutions if width == window else width - width * substitutions // window
@@ -254,6 +258,14 @@ def test_decontamination(spark):
     got = {(r["id"], r["item"]): r["best"] for r in decontamination.overlaps(docs(spark, texts), bench).collect()}
     assert got == {k: v for k, v in want.items() if v is not None}
     assert decontamination.overlaps(docs(spark, texts).where("false"), bench).count() == 0
+    # rows that share an id keep their own texts, and so do rows without one
+    shared = docs(spark, texts).withColumn("doc_id", F.expr("if(doc_id % 3 = 0, null, doc_id % 2)"))
+    merged: dict = {}
+    for (d, i), v in want.items():
+        if v is not None:
+            key = (None if d % 3 == 0 else d % 2, i)
+            merged[key] = max(v, merged.get(key, 0))
+    assert {(r["id"], r["item"]): r["best"] for r in decontamination.overlaps(shared.union(shared), bench).collect()} == merged
     assert decontamination.overlaps(docs(spark, texts), bench.where("false")).count() == 0
 
 

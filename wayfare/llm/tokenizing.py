@@ -44,7 +44,7 @@ class Encoder:
     A byte-level pattern never joins characters across a space but for the space itself, which leads the piece after
     it; only a space between white space, or at the end after white space, is grouped with what stands before. Texts
     without that are cut before every space, and each different piece is encoded by the library once while the memo
-    holds it. Other texts go to the library whole. A tokenizer that drops white space is cut at every space. Any other
+    holds it. Other texts, and texts that hold an added token's literal, go to the library whole. A tokenizer that drops white space is cut at every space. Any other
     tokenizer encodes whole texts.
     """
 
@@ -63,8 +63,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.library.encode_special_tokens = True
         pre = self.library.pre_tokenizer
+        #: Added tokens are cut out of a text before anything else: texts that hold one go to the library whole.
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.folded = [x.content.lower() for x in self.library.get_added_tokens_decoder().values() if x.normalized]
         ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
         self.drops_space = ids("a b\tc") == ids("a") + ids("b") + ids("c") and ids(" ") == []
         self.lowers = self.drops_space and ids("A É a, B.\nb!! x's.") == ids("a é") + ids("a") + ids(",") + ids("b") + ids(".") + ids("b") + ids("!!") + ids("x's") + ids(".")
@@ -119,6 +121,8 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         rows, sizes, keys = [], [], []
         for row, text in enumerate(texts):
+            if any(x in text for x in self.added) or self.folded and any(x in text.lower() for x in self.folded):
+                continue
             if self.lowers and self.SAFE.match(text):
                 found = self.TAIL.sub(r" \g<0>", text.lower()).split()
             elif self.drops_space or self.byte_level and self.FIRST not in text:
