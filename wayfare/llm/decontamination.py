@@ -9,8 +9,10 @@ substitute three of fifteen tokens, so with these defaults the seeds lose no suc
 Items shorter than the window are one window of their own, of which a fifth may differ (rounded down). Their seeds are not
 the masks but runs of tokens that part the item, one more than tokens that may differ, so that some run is whole in every
 overlap; items of up to four tokens are one run, found verbatim. Documents get seeds of the run sizes that the benchmark
-needs. Null or empty texts match nothing. Repeated rows give one row for each
-(document id, item id); rows without an id are left out. Empty tables give an empty result.
+needs. Null or empty texts match nothing. Rows that share an id, documents or items, give one row for each
+(document id, item id); rows without an id are compared too and have null there. Very long texts are seeded in place, a row a
+token, so memory follows the tokens of one text. Empty tables give an empty result. Other columns are ignored, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -18,35 +20,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, few, materialise
+from .shared import few, materialise
 
 #: The selected positions of each mask.
 MASKS = ((0, 1, 3, 4, 5, 6), (0, 1, 2, 6, 9, 10), (0, 1, 5, 6, 8, 10))
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), "")
 
 
-def _seeds(hashes: str, masks: tuple[tuple[int, ...], ...]) -> Column:
-    """The hashes of every mask at every place it fits, mask after mask."""
-    parts = []
-    for k, mask in enumerate(masks):
-        own = ", ".join(f"get({hashes}, i + {o})" for o in mask)
-        parts.append(f"if(size({hashes}) > {mask[-1]}, transform(sequence(0, size({hashes}) - {mask[-1] + 1}), i -> xxhash64({k}, {own})), array())")
-    return F.expr(f"concat({', '.join(parts)})")
+def _hashed(texts: DataFrame, *keys: str) -> DataFrame:
+    return texts.select(*keys, F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h"))
+
 
+def _seeded(texts: DataFrame, masks: tuple[tuple[int, ...], ...], *keys: str) -> DataFrame:
+    """(keys, at, seed): the hash of every mask at every place, null where the mask reaches beyond the last token.
 
-def _seeded(texts: DataFrame, masks) -> DataFrame:
-    """(id, at, seed): at is the offset of the masked run."""
-    hashed = texts.select("id", F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h"))
-    rows = hashed.select("id", F.size("h").alias("n"), F.posexplode(_seeds("h", masks)).alias("at", "seed"))
-    at, before = F.col("at"), F.lit(0)
-    place = at
-    for mask in masks:
-        place = F.when(at >= before, at - before).otherwise(place)
-        before = before + F.greatest(F.col("n") - mask[-1], F.lit(0))
-    return rows.select("id", place.alias("at"), "seed")
+    The token hashes are read in place, row by row, so that no array of seeds arises however long a text is.
+    """
+    seeds = []
+    for k, mask in enumerate(masks):
+        own = ", ".join(f"get(h, at + {o})" for o in mask)
+        seeds.append(f"if(at + {mask[-1]} < size(h), xxhash64({k}, {own}), null)")
+    places = _hashed(texts, *keys).select(*keys, "h", F.posexplode("h").alias("at", "_token"))
+    return places.select(*keys, "at", F.explode(F.expr(f"array({', '.join(seeds)})")).alias("seed"))
 
 
 def _runs(size: int, differ: int) -> list[tuple[int, int]]:
@@ -57,50 +55,59 @@ def _runs(size: int, differ: int) -> list[tuple[int, int]]:
 
 
 def _run_seeds(items: DataFrame, runs: dict[int, list[tuple[int, int]]], number: dict[int, int]) -> DataFrame:
-    """(id, at, seed) of short items, their seeds as _seeds has them; number: the mask of each run size."""
-    hashed = items.select("id", F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h"))
+    """(item, at, seed) of short items, their seeds as _seeded has them; number: the mask of each run size."""
     seed = lambda at, size: f"named_struct('at', {at}, 'seed', xxhash64({number[size]}, {', '.join(f'get(h, {at + o})' for o in range(size))}))"
     cases = " ".join(f"when {n} then array({', '.join(seed(*r) for r in own)})" for n, own in runs.items())
-    return hashed.select("id", F.inline(F.expr(f"case size(h) {cases} end")))
+    return _hashed(items, "item").select("item", F.inline(F.expr(f"case size(h) {cases} end")))
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 15, substitutions: int = 3, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
-    """(id, item, best, needed): best is the largest number of equal tokens in a window of an overlap."""
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text")).where("id is not null").distinct()
+def by_text(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 15, substitutions: int = 3, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
+    """(id, text_key, item, best, needed): an overlap of a document's text, told from others of its id by text_key(text)."""
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).distinct()
     length = F.size(tokens(F.col("text")))
     short = [r["n"] for r in items.select(length.alias("n")).where(f"n > 0 and n < {window}").distinct().orderBy("n").collect()]
-    seeds = _seeded(items.where(length >= window), masks)
+    seeds = _seeded(items.where(length >= window), masks, "item")
     if short:
         runs = {n: _runs(n, n * substitutions // window) for n in short}
         sizes = sorted({size for own in runs.values() for _, size in own})
         seeds = seeds.union(_run_seeds(items.where(length < window), runs, {size: len(masks) + k for k, size in enumerate(sizes)}))
         masks = (*masks, *(tuple(range(size)) for size in sizes))
-    tests = materialise(seeds.select("seed", F.col("id").alias("item"), F.col("at").alias("item_at")).distinct(), "benchmark-seeds")
-    hits = _seeded(docs, masks).join(few(tests), "seed").select("id", "item", (F.col("at") - F.col("item_at")).alias("offset"))
-    hits = materialise(hits.groupBy("id", "item", "offset").agg(F.count(F.lit(1)).alias("seeds")), "benchmark-hits")
-    near = docs.join(few(hits.select("id").distinct(), BROADCAST_ROWS), "id", "left_semi").select("id", tokens(F.col("text")).alias("t"))
-    known = items.select(F.col("id").alias("item"), tokens(F.col("text")).alias("i"))
-    pairs = near.join(hits.join(known, "item"), "id")
+    tests = materialise(seeds.where("seed is not null").select("seed", "item", F.col("at").alias("item_at")).distinct(), "benchmark-seeds")
+    hits = _seeded(docs, masks, "text_key").join(few(tests), "seed").select("text_key", "item", (F.col("at") - F.col("item_at")).alias("offset"))
+    hits = materialise(hits.distinct(), "benchmark-hits")
+    # a key that two texts share has the hits of both, and each text is compared along all of them
+    near = docs.join(few(hits.select("text_key").distinct()), "text_key", "left_semi").select("id", "text_key", tokens(F.col("text")).alias("t"))
+    pairs = near.join(hits, "text_key").join(items.select(F.col("item").alias("_item"), tokens(F.col("text")).alias("i")), F.col("item").eqNullSafe(F.col("_item")))
     equal = "transform(sequence(0, size(i) - 1), p -> if(p + offset >= 0 and get(t, p + offset) = get(i, p), 1, 0))"
     size = f"least({window}, size(i))"
-    best = f"array_max(transform(sequence(0, size(same) - width), s -> aggregate(slice(same, s + 1, width), 0, (a, x) -> a + x)))"
+    best = "array_max(transform(sequence(0, size(same) - width), s -> aggregate(slice(same, s + 1, width), 0, (a, x) -> a + x)))"
     found = (
-        pairs.withColumns({"same": F.expr(equal), "width": F.expr(size)})
-        .select("id", "item", F.expr(best).alias("best"), F.expr(f"if(width < {window}, width - floor(width * {substitutions} / {window}), {window - substitutions})").cast("int").alias("needed"))
+        pairs.where("size(i) > 0").withColumns({"same": F.expr(equal), "width": F.expr(size)})
+        .select("id", "text_key", "item", F.expr(best).alias("best"), F.expr(f"if(width < {window}, width - floor(width * {substitutions} / {window}), {window - substitutions})").cast("int").alias("needed"))
     )
-    return found.where("best >= needed").groupBy("id", "item").agg(F.max("best").alias("best"), F.max("needed").alias("needed"))
+    return found.where("best >= needed").groupBy("id", "text_key", "item").agg(F.max("best").alias("best"), F.max("needed").alias("needed"))
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def overlaps(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(id, item, best, needed): best is the largest number of equal tokens in a window of an overlap."""
+    return by_text(documents, benchmark, **options).groupBy("id", "item").agg(F.max("best").alias("best"), F.max("needed").alias("needed"))
 
 
-#: DuckDB: candidates by a single mask that also meets every three substitutions of fifteen, then the same comparison.
+#: DuckDB: candidates by a mask that also meets every three substitutions of fifteen, for shorter items by any equal token, then the same comparison.
 ORACLE = r"""
-with docs as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') as t from documents where doc_id is not null),
-items as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') as t from benchmark where item_id is not null),
-dt as (select doc_id, p, t[p] as a, t[p + 1] as b, t[p + 2] as c, t[p + 4] as e from (select doc_id, t, unnest(range(1, len(t) + 1)) as p from docs)),
-it as (select item_id, p, n, t[p] as a, t[p + 1] as b, t[p + 2] as c, t[p + 4] as e from (select item_id, t, len(t) as n, unnest(range(1, len(t) + 1)) as p from items)),
-cand as (select distinct doc_id, item_id, dt.p - it.p as diag from dt join it on dt.a = it.a and dt.b = it.b and dt.c = it.c and dt.e = it.e),
-same as (select cand.doc_id, cand.item_id, diag, it.p, it.n from cand join it on it.item_id = cand.item_id join dt on dt.doc_id = cand.doc_id and dt.p = it.p + diag and dt.a = it.a),
-best as (select doc_id, item_id, n, count(*) over (partition by doc_id, item_id, diag order by p range between current row and 14 following) as c from same)
+with docs as (select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') as t from documents),
+items as (select item_id, row_number() over () as q, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') as t from benchmark),
+dt as (select doc_id, r, p, t[p] as a, t[p + 1] as b, t[p + 2] as c, t[p + 4] as e from (select doc_id, r, t, unnest(range(1, len(t) + 1)) as p from docs)),
+it as (select item_id, q, p, n, t[p] as a, t[p + 1] as b, t[p + 2] as c, t[p + 4] as e from (select item_id, q, t, len(t) as n, unnest(range(1, len(t) + 1)) as p from items)),
+cand as (select r, q, dt.p - it.p as diag from dt join it on dt.a = it.a and dt.b = it.b and dt.c = it.c and dt.e = it.e where n >= 15 union
+    select r, q, dt.p - it.p from dt join it on dt.a = it.a and n < 15),
+same as (select doc_id, item_id, dt.r, it.q, diag, it.p, it.n from cand join it on it.q = cand.q join dt on dt.r = cand.r and dt.p = it.p + diag and dt.a = it.a),
+best as (select doc_id, item_id, n, count(*) over (partition by r, q, diag order by p range between current row and 14 following) as c from same)
 select doc_id, item_id, cast(max(c) as integer) as best, cast(max(case when n < 15 then n - floor(n * 3 / 15) else 12 end) as integer) as needed
-from best group by doc_id, item_id having max(c) >= max(case when n < 15 then n - floor(n * 3 / 15) else 12 end)
+from best where c >= case when n < 15 then n - floor(n * 3 / 15) else 12 end group by doc_id, item_id
 """

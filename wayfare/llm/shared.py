@@ -6,11 +6,13 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one or two longs that may be broadcast; above it a join shuffles. 500,000 rows of 16 bytes are 8 MB.
 BROADCAST_ROWS = 500_000
+#: Bytes of a broadcast table's strings and arrays.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where master is local and that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="wayfare-")
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root and root.startswith("/"):
@@ -49,18 +53,40 @@ def materialise(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """The (materialised) table, marked for broadcast only if its counted rows keep to the bound."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def few(df: DataFrame, bound: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """The (materialised) table, marked for broadcast only if its counted rows keep to the bound.
+
+    weight: the bytes of a row's parts that have no fixed size; their sum must keep to BROADCAST_BYTES too.
+    """
+    if df.limit(bound + 1).count() > bound:
+        return df
+    if weight is not None and (df.agg(F.sum(weight)).first()[0] or 0) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df)
+
+
+def own_keys(df: DataFrame, id_col: str, content: list[str], label: str, key: str = "key") -> tuple[DataFrame, DataFrame | None]:
+    """The rows with a column `key`, a long that no other row has, and (key, id) of all rows, or None where the key is the id.
+
+    Where ids are unique and not null they are the keys and no row moves. Else rows are sorted by id (nulls last), rows that
+    share an id by a hash of their content, and numbered in that order as they are written, so that keys ascend with ids.
+    """
+    shared = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1))
+    if shared.isEmpty():
+        return df.withColumn(key, F.col(id_col).cast("long")), None
+    order = [F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*content)]
+    written = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()), label)
+    return written, written.select(F.col(key).alias("key"), F.col(id_col).alias("id"))
 
 
-def pair_blocks(df: DataFrame, key: list[str], member: str, limit: int) -> DataFrame:
+def pair_blocks(df: DataFrame, key: list[str], member: str, limit: int, needs: str = "true") -> DataFrame:
     """Deals each group of `key` into chunks of about `limit` members and every pair of chunks to one (chunk_i, chunk_j) block.
 
     A later grouping by key, chunk_i and chunk_j sees two chunks at most, however large the group is, and each pair of
-    members in exactly one block. Adds chunk, chunk_i and chunk_j; groups of one member are dropped, as they hold no pair.
+    members in exactly one block. Adds chunk, chunk_i and chunk_j; groups of one member are dropped, as they hold no pair,
+    and so are those for which the SQL aggregate `needs` is false.
     """
-    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"), F.expr(needs).alias("_needs")).where("_size > 1 and _needs").drop("_needs")
     pairs = "transform(sequence(0, _chunks - 1), k -> named_struct('i', least(_chunk, k), 'j', greatest(_chunk, k)))"
     return (
         df.join(sizes, key)
