@@ -102,7 +102,39 @@ def test_embeddings(spark, monkeypatch, chunk):
     assert [got[i]["component_id"] for i in range(len(rows))] == component.tolist()
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in got.values())
     assert embedding_dedup.similar(df.where("false")).count() == 0
-    assert embedding_dedup.similar(df.union(df)).count() == len(rows)
+    # rows that share an id, or have none, are vectors of their own
+    odd = df.withColumn("vec_id", F.expr("if(vec_id % 5 = 0, null, vec_id % 50)"))
+    again = embedding_dedup.similar(odd).collect()
+    assert sorted(r["n_links"] for r in again) == sorted(links.tolist()) and len(again) == len(rows)
+    least: dict = {}
+    for i, c in enumerate(component.tolist()):
+        key = None if i % 5 == 0 else i % 50
+        least[c] = min([x for x in (least.get(c), key) if x is not None], default=None)
+    want = [(None if i % 5 == 0 else i % 50, least[c]) for i, c in enumerate(component.tolist())]
+    assert sorted(((r["id"], r["component_id"]) for r in again), key=str) == sorted(want, key=str)
+    assert all(r["kept"] == (r["id"] == r["component_id"]) for r in again)
+
+
+@pytest.mark.parametrize("dimensions,size", [(1, 64), (2, 64), (3, 40), (3, 2)])
+def test_grid_of_any_depth_meets_every_close_pair_once(dimensions, size):
+    rng = np.random.default_rng(dimensions)
+    bases = rng.normal(size=(12, size))
+    x = np.concatenate([bases + noise * rng.normal(size=bases.shape) for noise in (0, 0.05, 0.2, 0.35, 0.4)]).astype(np.float32).astype(float)
+    distance = 2 - 2 * 0.93 + 1e-9
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(["l"] * len(x)), pa.array([size] * len(x), pa.int32()), pa.array([v.astype("<f4").tobytes() for v in x])], ["rep", "label", "size", "vector"])
+    cells: dict = {}
+    for part in embedding_dedup._celled([batch], distance, dimensions):
+        for r in part.to_pylist():
+            cells.setdefault(r["cell"], []).append((r["rep"], r["home"], r["block"]))
+    seen = []
+    for own in cells.values():
+        reps, home, block = (np.array(c) for c in zip(*own))
+        every = np.arange(len(reps))
+        a, b = embedding_dedup.links_in_block(x[reps], home, every, every, int(block[0]), distance, 0.93)
+        seen += [tuple(sorted(p)) for p in zip(reps[a].tolist(), reps[b].tolist())]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = u @ u.T >= 0.93
+    assert sorted(seen) == [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if close[i, j]]
 
 
 def test_rotation_is_orthogonal():

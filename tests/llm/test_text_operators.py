@@ -152,6 +152,8 @@ def test_scan_finds_the_base_spans(parts):
 def test_more_kinds():
     text = "k -----BEGIN RSA PRIVATE KEY-----\nxx\n-----END RSA PRIVATE KEY----- ghp_" + "k" * 36 + " postgres://u:pass@h"
     assert [s[0] for s in secret_scan.scan(text)] == ["pem", "git", "url"]
+    cut = "-----BEGIN PRIVATE KEY-----\n" + "A" * 64 + "\nand prose that goes on"
+    assert secret_scan.scan(cut) == [("pem", 0, 28 + 64)]
 
 
 def test_ledger(spark, tmp_path):
@@ -170,6 +172,25 @@ def test_ledger(spark, tmp_path):
     assert secret_scan.scan_versions(df.where("false"), path_col="doc_id", text_col="text").count() == 0
     same = secret_scan.scan_versions(df.union(df), path_col="doc_id", text_col="text")
     assert same.count() == 10
+    # an append that was retried: every row twice
+    spark.read.parquet(folder).cache().write.mode("append").parquet(folder)
+    again = secret_scan.scan_versions(df, path_col="doc_id", text_col="text", ledger=folder).collect()
+    assert sorted((r["path"], len(r["spans"])) for r in again) == [(0, 2), (1, 2), (2, 0), (3, 0), (4, 0)]
+    assert spark.read.parquet(folder).count() == 14
+
+
+def test_ledger_scans_unseen_pairs_only(spark, tmp_path):
+    """Two versions of two paths under two rule versions: what the ledger holds is believed, not scanned again."""
+    folder = str(tmp_path / "ledger")
+    first = docs(spark, ["password = abcdefghijkl", "token: mnopqrstuvwx"])
+    secret_scan.scan_versions(first, path_col="doc_id", text_col="text", ledger=folder).count()
+    marked = [(secret_scan.hashlib.sha256(b"password = abcdefghijkl").hexdigest(), "later", [("pem", 1, 2)])]
+    spark.createDataFrame(marked, secret_scan.LEDGER).write.mode("append").parquet(folder)
+    versions = first.union(first.withColumn("text", F.concat("text", F.lit("!"))))
+    got = secret_scan.scan_versions(versions, path_col="doc_id", text_col="text", ledger=folder, rules="later").collect()
+    kinds = sorted((r["path"], [s["kind"] for s in r["spans"]]) for r in got)
+    assert kinds == [(0, ["assign"]), (0, ["pem"]), (1, ["assign"]), (1, ["assign"])]
+    assert spark.read.parquet(folder).where("rules = 'later'").count() == 4 and spark.read.parquet(folder).count() == 6
 
 
 def test_redact(spark):
@@ -219,11 +240,16 @@ def test_jaccard(spark, monkeypatch, chunk):
     assert jaccard.similar(docs(spark, texts).where("false")).count() == 0
 
 
-def test_jaccard_repeated_rows(spark):
-    df = docs(spark, ["a b c d e f", "a b c d e f", "z"])
-    twice = df.union(df).union(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
-    got = by_id(jaccard.similar(twice))
-    assert len(got) == 3 and got[1]["class_id"] == 0 and got[0]["n_links"] == 1
+def test_jaccard_repeated_and_missing_ids(spark):
+    rng = random.Random(4)
+    base = " ".join(f"v{rng.randrange(10**6)}" for _ in range(120))
+    own = [(1, "a b c d e f"), (1, base), (2, "a b c d e f"), (3, edited(rng, base, 1)), (None, edited(rng, base, 2)), (None, "alone"), (None, "alone"), (3, "z")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in own], "doc_id long, text string, key int")
+    got = sorted(((r["id"], r["class_id"], r["n_links"]) for r in jaccard.similar(df.repartition(3)).collect()), key=str)
+    order = sorted(range(len(own)), key=lambda k: (own[k][0] is None, own[k][0] or 0))
+    links, component = brute_jaccard([own[k][1] for k in order])
+    want = sorted(((own[k][0], own[order[component[n]]][0], links[n]) for n, k in enumerate(order)), key=str)
+    assert got == want and len(got) == len(own)
 
 
 # ---- decontamination ---------------------------------------------------------------------------------------------

@@ -6,8 +6,9 @@ are equal when their texts are (null counts as empty). Representatives are linke
 at least the threshold. `bands` bands of `rows` rows miss a pair at the threshold with probability
 (1 - threshold ** rows) ** bands, 7e-5 with the defaults, and more similar pairs less often.
 
-Rows that share an id are one document, whose class is that of the smallest set digest. Rows without an id are left
-out. Ties go to the smallest id; other columns are ignored, whatever they are called.
+Every row counts as a document: rows that share an id, and rows without one, are compared each with its own text; a class
+in which no row has an id has null for its number. Ties go to the smallest id. Very long texts are worked on whole, their
+signatures block by block. An empty table gives an empty result. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, few, long_texts, materialise, pair_blocks
+from .shared import components, few, long_texts, materialise, own_keys, pair_blocks
 from .workers import small, tidy
 
 _WORD = re.compile(r"\w+")
@@ -185,10 +186,12 @@ def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     and only counted, so no table of all pairs arises; pairs that meet in several buckets count in the first only.
     """
     long_texts(documents.sparkSession)
-    plain = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    plain = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    keyed, names = own_keys(plain, "id", ["text"], "jaccard-rows")
+    plain = keyed.select(F.col("key").alias("id"), "text")
     digested = plain.mapInArrow(lambda b: _digested(b, n, bands, rows), "id long, digest binary, bands array<long>")
     digested = materialise(digested, "jaccard-digests")
-    one = digested.groupBy("id").agg(F.min("digest").alias("digest"))
+    one = digested.select("id", "digest")
     classes = one.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
     membership = materialise(one.join(classes, "digest").select("id", "rep", "members", "digest"), "jaccard-members")
     reps = membership.where("id = rep").select("id", "digest", "members")
@@ -200,14 +203,14 @@ def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     member = materialise(band_rows.join(buckets, "bucket", "left_semi"), "jaccard-buckets")
     own = materialise(member.groupBy(F.col("rep").alias("id")).agg(F.array_sort(F.collect_set("bucket")).alias("buckets")).join(reps, "id"), "jaccard-active")
     texts = plain.join(few(own.select("id")), "id", "left_semi")
-    sets = texts.mapInArrow(lambda b: _sets(b, n), "id long, digest binary, grams binary").join(own, ["id", "digest"]).dropDuplicates(["id"])
+    sets = texts.mapInArrow(lambda b: _sets(b, n), "id long, digest binary, grams binary").join(own, ["id", "digest"])
     known = sets.select(F.col("id").alias("rep"), "grams", "buckets", "members")
     dealt = pair_blocks(member, ["bucket"], "rep", CHUNK).join(known, "rep")
     out = "rep long, partners long, weight long, least long"
     found = materialise(dealt.groupBy("bucket", "chunk_i", "chunk_j").applyInPandas(lambda f: _linked(f, threshold), out), "jaccard-links")
     near = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")), "jaccard").select(F.col("v").alias("rep"), F.col("component").alias("component_id"))
     counted = found.groupBy("rep").agg(F.sum("weight").alias("weight"))
-    return (
+    out = (
         membership.join(counted, "rep", "left").join(near, "rep", "left")
         .select(
             "id", F.coalesce("component_id", "rep").alias("class_id"),
@@ -215,3 +218,11 @@ def similar(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             F.col("rep").alias("set_id"), F.col("members").alias("set_size"),
         )
     )
+    return out if names is None else _named(out, names)
+
+
+def _named(out: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows' own keys replaced by their ids."""
+    for column in ("id", "class_id", "set_id"):
+        out = out.withColumnRenamed(column, "key").join(names.withColumnRenamed("id", column), "key").drop("key")
+    return out.select("id", "class_id", "n_links", "set_id", "set_size")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import shared_dir, table
 
 
 def _fold_of(column: str, parts: int):
@@ -41,7 +41,8 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan as s
 
-    found = s.scan_versions(table(spark, sf_dir, "documents"), path_col="doc_id", text_col="text")
+    # a ledger of this run: what it lacks is scanned, appended and read back
+    found = s.scan_versions(table(spark, sf_dir, "documents"), path_col="doc_id", text_col="text", ledger=shared_dir(spark, "secret-ledger"))
     spans = F.col("spans")
     count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter(spans, lambda x: x["kind"].isin("assign", "access", "hex"))

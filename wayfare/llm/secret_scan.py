@@ -6,7 +6,9 @@ are joined back to every path. Spans are (kind, start, end) in code points, end
 the order of KINDS.
 
 Null texts count as empty; a blob without findings has a ledger row with no spans. Paths without an id are kept.
-Repeated rows each get their own result row.
+Repeated rows each get their own result row. A ledger that a retried append wrote twice gives the same result. Very long
+texts are scanned whole, a few texts in memory at a time; a private key without its end line reaches as far as its
+lines of code letters. An empty table gives an empty result. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Further kinds: a substring that a match holds, and the pattern.
 MORE = {
-    "pem": ("-----BEGIN ", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)),
+    "pem": ("-----BEGIN ", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.\s-]*?-----END [A-Z ]*PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{24,})*)")),
     "jwt": ("eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     "git": ("gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     "slack": ("xox", re.compile(r"xox[abposr]-[A-Za-z0-9-]{10,}")),
@@ -100,11 +102,11 @@ def scan_versions(versions: DataFrame, *, path_col: str, text_col: str, ledger:
     new = texts.mapInArrow(_scanned, T.StructType([LEDGER["blob"], LEDGER["spans"]])).dropDuplicates(["blob"])
     if ledger:
         new.withColumn("rules", F.lit(rules)).select(*LEDGER.names).write.mode("append").parquet(ledger)
-        all_spans = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rules") == rules).select("blob", "spans").dropDuplicates(["blob"])
+        found = spark.read.schema(LEDGER).parquet(ledger).where((F.col("rules") == rules) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     else:
-        all_spans = materialise(new, "blob-findings")
+        found = materialise(new, "blob-findings").where("size(spans) > 0")
     # most blobs have no span: only those that have one are joined back
-    return paths.select("path", "blob").join(all_spans.where("size(spans) > 0"), "blob", "left").select("path", "blob", F.coalesce("spans", F.expr("array()").cast(SPANS)).alias("spans"))
+    return paths.select("path", "blob").join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.expr("array()").cast(SPANS)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
