@@ -34,13 +34,13 @@ def by_id(df, key="id"):
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
-@pytest.mark.parametrize("generation", [20, 400_000])
+@pytest.mark.parametrize("generation", [5, 400_000])
 @settings(max_examples=60, deadline=None)
-@given(texts=st.lists(st.text(alphabet=st.sampled_from(list(" \n\taAé'sß,.!_²1İΣ<|ﬁ\x1ć\xa0")), max_size=40), max_size=8))
+@given(texts=st.lists(st.text(alphabet=st.sampled_from(list(" \n\taAé'sß,.!_²1İΣ<|ﬁ\x1ć\xa0")), max_size=60), max_size=8))
 def test_encoder_is_the_library(path, generation, texts):
     own = ENCODERS.setdefault((path, generation), Encoder(path))
-    own.GENERATION = generation
-    texts = texts + ["<|endoftext|> x", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> <|endoftext", "don't  stop"]
+    own.LIMIT = generation
+    texts = texts + ["<|endoftext|> x", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> <|endoftext", "don't  stop", "a" * 23 + " " + "a" * 24, "é" * 11 + " a" + "é" * 11, "x" * 5000 + " y", "a.\nB\né\n\nx\n y \nz,\n", "\n \na\n"]
     want = [x.ids for x in FRESH[path].encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in own.encode(texts)] == want
 
@@ -324,23 +324,23 @@ def test_decontamination_by_items_shorter_than_the_window(spark):
 # ---- repeated bytes ----------------------------------------------------------------------------------------------
 
 
-def brute_repeats(texts):
+def brute_repeats(texts, length=100):
     seen, out = set(), []
     for text in texts:
         raw = (text or "").encode()
         gone = np.zeros(len(raw), bool)
-        for s in range(len(raw) - 99):
-            w = raw[s : s + 100]
+        for s in range(len(raw) - length + 1):
+            w = raw[s : s + length]
             if w in seen:
-                gone[s : s + 100] = True
+                gone[s : s + length] = True
             seen.add(w)
         edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
         out.append((len(raw), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize("segment,seed", [(1 << 20, 1), (150, 2), (400, 3)])
-def test_repeats(spark, monkeypatch, segment, seed):
+@pytest.mark.parametrize("segment,seed,length", [(1 << 20, 1, 100), (150, 2, 100), (400, 3, 100), (1 << 20, 4, 1), (90, 5, 2), (64, 6, 11), (700, 7, 257)])
+def test_repeats(spark, monkeypatch, segment, seed, length):
     rng = random.Random(seed)
     monkeypatch.setattr(rp, "SEGMENT", segment)
     noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
@@ -354,16 +354,26 @@ def test_repeats(spark, monkeypatch, segment, seed):
             parts += [s[a:], noise(rng.randrange(0, 60))]
         texts.append("".join(parts))
     texts += [texts[-1], texts[-2] + "x", shared[5] * 3]
-    got = by_id(rp.repeated(docs(spark, texts).repartition(4)))
-    want = brute_repeats(texts)
+    got = by_id(rp.repeated(docs(spark, texts).repartition(4), length=length))
+    want = brute_repeats(texts, length)
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in (got[i] for i in range(len(texts)))] == want
-    assert rp.repeated(docs(spark, texts).where("false")).count() == 0
 
 
-def test_repeats_with_repeated_ids(spark):
-    df = docs(spark, ["q" * 120 + "end", "w" * 50])
-    got = rp.repeated(df.union(df)).collect()
-    assert len(got) == 4 and {r["id"]: r["n_removed"] for r in got} == {0: 119, 1: 0}
+def test_repeats_of_nothing(spark):
+    assert rp.repeated(docs(spark, ["q" * 120]).where("false")).count() == 0
+    with pytest.raises(ValueError):
+        rp.Shape(0)
+    assert rp.Shape(100).widths == [64, 100] and rp.Shape(257).widths == [128, 256, 257] and rp.Shape(1).widths == [1]
+
+
+def test_repeats_with_repeated_and_missing_ids(spark):
+    own = [(1, "q" * 10), (1, "q" * 300), (0, "w" * 50), (None, "q" * 120 + "end"), (2, "q" * 120 + "end"), (2, "q" * 120 + "end"), (None, None)]
+    df = spark.createDataFrame([(i, t, 0) for i, t in own], "doc_id long, text string, key int")
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).collect()}
+    order = sorted(range(len(own)), key=lambda k: (own[k][0] is None, own[k][0] or 0, hashed[own[k][1]]))
+    want = brute_repeats([own[k][1] for k in order])
+    got = rp.repeated(df.repartition(3)).collect()
+    assert sorted((str(r["id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted((str(own[k][0]), *w) for k, w in zip(order, want))
 
 
 # ---- classifiers -------------------------------------------------------------------------------------------------
@@ -383,6 +393,32 @@ def test_lexicon():
     assert low == empty < high
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["trash", "trashy", "can", "scum", "the", "tr4sh", "scums", "x", "Ѕcum", "!"]), max_size=9))
+def test_lexicon_agrees_with_brute_force(words):
+    """Every pattern looked for at every word, one by one."""
+    own = toxicity.Lexicon({" trash ": 2.0, " tra": 1.0, " scum ": 1.5, " scu": 1.75, " the ": 0.5}, (" trash can ", " the scum "), (0.0, 1.0, 1.0, 1.0))
+    folded = toxicity.fold(" ".join(words))
+    begins = [i for i, c in enumerate(folded) if c == " "]
+    best = {i: max((w for p, w in own.weights.items() if folded.startswith(p, i)), default=0.0) for i in begins}
+    for phrase in own.exceptions:
+        for i in begins:
+            if folded.startswith(phrase, i):
+                for at in range(i, i + len(phrase) - 2):
+                    best.pop(at, None)
+    hits = sorted(w for w in best.values() if w)
+    n = max(1, len(folded.split()))
+    want = (sum(hits) / n**0.5, max(hits, default=0.0), np.log1p(100 * len(hits) / n))
+    assert toxicity.measures(folded, own.automaton()) == pytest.approx(want)
+
+
+def test_repeated_labelled_ids_keep_the_sample_bounded(spark):
+    df, labels = unequal(spark, 80)
+    many = df.union(df).union(df.withColumn("text", F.concat("text", F.lit(" again")))).union(df.withColumn("doc_id", F.lit(None).cast("long")))
+    assert toxicity.training_rows(many, labels.union(labels), "toxic", F.lit(True), 4096).count() == 80
+    assert quality.score(many, quality.fit(many, labels, F.lit(True))).count() == 320
+
+
 def labelled(spark, bad, good, n=160):
     rng = random.Random(3)
     own = []

@@ -2,13 +2,14 @@
 
 A text is a bag of trigrams of character classes (letter case, digit, white space, and each ASCII sign by itself) and
 of letter pairs, damped and weighted by inverse document frequency, with two more terms for the shares of its lines that
-repeat and of its words that equal the word before. Truncated singular vectors of a bounded sample of labelled texts give the space; the sample's vectors and
+repeat and of its words that equal the word before; every term that two texts of the sample hold counts. Truncated singular vectors of a bounded sample of labelled texts give the space; the sample's vectors and
 labels are broadcast, and each document's exact cosine with every one of them is computed block by block. The k most
 similar (with ties at the k-th) vote with the positive part of their similarity, raised to a power, times the number of
 usable labels of its class that a voter stands for: the classes count by their shares of all usable labels.
 
 Null and empty texts, and texts with no term of the space, get the share of label 1 in the weighted sample. Repeated rows get
-the same score each. An empty sample scores every row 0.5.
+the same score each; rows without an id are scored too. Very long texts are read whole, one at a time. An empty sample scores
+every row 0.5, an empty table gives an empty result. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -116,30 +117,55 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str =
     for at, _ in used:
         frequency[at] += 1
     kept = np.flatnonzero(frequency >= 2)
-    kept = kept[np.argsort(-frequency[kept], kind="stable")[:6000]]
     idf = np.log((1 + len(used)) / (1 + frequency[kept])) + 0.1
     place = np.full(TERMS, -1)
     place[kept] = np.arange(len(kept))
-    matrix = np.zeros((len(used), len(kept)), np.float32)
-    for row, (at, values) in zip(matrix, used):
-        own = place[at]
-        row[own[own >= 0]] = values[own >= 0]
-    matrix *= idf.astype(np.float32)
-    gram = (matrix.T @ matrix).astype(float)
-    values, basis = np.linalg.eigh(gram)
-    basis = basis[:, np.argsort(-values)[: min(dimensions, len(values))]]
-    basis *= np.where(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])] < 0, -1, 1)
+
+    def columns(begin: int, end: int) -> np.ndarray:
+        """The weighted terms of every text, as many columns as are asked for."""
+        part = np.zeros((len(used), end - begin), np.float32)
+        for row, (at, values) in zip(part, used):
+            own = place[at]
+            mine = (own >= begin) & (own < end)
+            row[own[mine] - begin] = values[mine]
+        return part * idf[begin:end].astype(np.float32)
+
+    # the smaller of the two products has the same singular vectors; neither outgrows the bounded sample
+    step = max(1, len(used))
+    cuts = [(a, min(a + step, len(kept))) for a in range(0, len(kept), step)]
+    if len(cuts) == 1:
+        matrix = columns(*cuts[0])
+        basis = _leading((matrix.T @ matrix).astype(float), dimensions)
+    else:
+        gram = np.zeros((len(used), len(used)), np.float32)
+        for cut in cuts:
+            part = columns(*cut)
+            gram += part @ part.T
+        sides = _leading(gram.astype(float), dimensions)
+        basis = np.concatenate([columns(*cut).T @ sides for cut in cuts] or [np.zeros((0, sides.shape[1]))])
+        size = np.linalg.norm(basis, axis=0)
+        basis = basis / np.where(size > 0, size, 1)
+    if len(kept):
+        basis = basis * np.where(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])] < 0, -1, 1)
     space = np.zeros((TERMS, basis.shape[1]), np.float32)
     space[kept] = (idf[:, None] * basis).astype(np.float32)
-    vectors = matrix.astype(float) @ basis
+    vectors = np.zeros((len(used), basis.shape[1]))
+    for begin, end in cuts:
+        vectors += columns(begin, end).astype(float) @ basis[begin:end]
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return Neighbours(space, vectors / np.where(norm > 0, norm, 1), counts, float((weights * counts).mean()), weights=weights)
 
 
+def _leading(product: np.ndarray, dimensions: int) -> np.ndarray:
+    """The eigenvectors of the largest eigenvalues, as columns."""
+    values, vectors = np.linalg.eigh(product)
+    return vectors[:, np.argsort(-values)[: min(dimensions, len(values))]]
+
+
 def score(documents: DataFrame, model: Neighbours, *, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
     """(id, score) of every document."""
     kept = np.flatnonzero(np.abs(model.space).sum(axis=1) > 0)
-    # what is broadcast has a fixed bound: 6000 terms and 2 * bound voters, by dimensions
+    # what is broadcast has a fixed bound: TERMS terms and 2 * bound voters, by dimensions (48 floats each, 21 MB at most)
     shared = documents.sparkSession.sparkContext.broadcast((kept, model.space[kept], model.space.shape, model.vectors, model.labels, model.prior, model.k, model.power, model.weights))
     held: list[Neighbours] = []
 

@@ -5,8 +5,9 @@ pattern is a whole word (" word ") or the beginning of a word (" wor"), with a l
 (" word next ") cancels the patterns that begin inside it. Of the patterns that begin at one word the heaviest counts.
 The score is a logistic function of the summed weight, normalised by length, and of the heaviest weight.
 
-Null and empty texts have no hits and get the score of a document without hits. Repeated rows get the same score each.
-An empty training set gives an empty lexicon and a score of 0 for every row.
+Null and empty texts have no hits and get the score of a document without hits. Repeated rows get the same score each;
+rows without an id are scored too. Very long texts are folded whole, one at a time. An empty training set gives an empty
+lexicon and a score of 0 for every row, an empty table an empty result. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ class Lexicon:
 
 
 def measures(folded: str, automaton) -> tuple[float, float, float]:
-    """Summed weight by the square root of the number of words, heaviest weight, and hits by 100 words."""
+    """Summed weight by the square root of the number of words, heaviest weight, and the logarithm of hits by 100 words."""
     heaviest: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
     if len(automaton):
@@ -81,7 +82,7 @@ def measures(folded: str, automaton) -> tuple[float, float, float]:
             del heaviest[at]
     words = max(1, folded.count(" ") - 1)
     total = sum(sorted(heaviest.values()))
-    return total / math.sqrt(words), max(heaviest.values(), default=0.0), min(10.0, 100.0 * len(heaviest) / words)
+    return total / math.sqrt(words), max(heaviest.values(), default=0.0), math.log1p(100.0 * len(heaviest) / words)
 
 
 def _scores(texts: list[str | None], lexicon: Lexicon, automaton) -> list[float]:
@@ -160,14 +161,17 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, usable: C
         part = own.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         part = part.withColumn("weight", F.lit(max(1.0, n.get(value, 0) / max(1, bound))))
         chosen = part if chosen is None else chosen.union(part)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", F.expr("pmod(xxhash64(doc_id, 5L), 2)").alias("part"), "weight")
+    # of rows that share a labelled id one text is taken, so that the sample keeps to its bound
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return found.select("text", "label", F.expr("pmod(xxhash64(doc_id, 5L), 2)").alias("part"), "weight")
 
 
-def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", bound: int = 4096, size: int = 2000, support: int = 4, exceptions: tuple[str, ...] = ("trash can", "trash bin", "clown fish")) -> Lexicon:
+def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", bound: int = 4096, support: int = 4, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learns the lexicon from `bound` labelled rows of each class at most: the documented sample of a classifier.
 
     Half of the rows give the weights, the other half the factors of the logistic function, in which the classes count by
-    their shares of all usable labels. size bounds the lexicon.
+    their shares of all usable labels. Every pattern that enough toxic rows hold is taken, every phrase of a pattern's word
+    that only other rows hold is an exception; exceptions adds the caller's own.
     """
     from .shared import long_texts, materialise
 
@@ -181,11 +185,11 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str =
     weight = F.log(((F.col("toxic") + 0.1) / (n[1] + 0.2)) / ((F.col("other") + 0.1) / (n[0] + 0.2)))
     # a pattern counts by the doubt that its few documents leave: two standard errors are taken off
     doubt = F.sqrt(1 / (F.col("toxic") + 0.1) + 1 / (F.col("other") + 0.5))
-    top = counted.where(F.col("toxic") >= support).withColumn("weight", weight - doubt).where("weight > 1.5").orderBy(F.desc("weight"), "feature").limit(size).collect()
+    top = counted.where(F.col("toxic") >= support).withColumn("weight", weight - doubt).where("weight > 1.5").orderBy(F.desc("weight"), "feature").collect()
     weights = {r["feature"]: round(r["weight"], 6) for r in top}
     words = frozenset(x.strip() for x in weights if x.endswith(" "))
     seen = first.mapInArrow(lambda b: _phrases(b, words), "phrase string, toxic long, other long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    learned = [r["phrase"] for r in seen.where(f"toxic = 0 and other >= {support}").orderBy(F.desc("other"), "phrase").limit(size).collect()]
+    learned = [r["phrase"] for r in seen.where(f"toxic = 0 and other >= {support}").orderBy(F.desc("other"), "phrase").collect()]
     spared = tuple(dict.fromkeys([fold(x) for x in exceptions] + learned))
     draft = Lexicon(weights, spared, (0.0, 0.0, 0.0, 0.0))
 
