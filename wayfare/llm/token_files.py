@@ -10,8 +10,11 @@ Layout, little-endian: magic, number of ids, of documents and of levels (int64 e
 chunks (int64); then document ids (int64), null flags (uint8) and ends (int64); then for each level its chunks, bitmap and
 directory (uint64). Sections begin at multiples of eight.
 
+A task writes files of a bounded number of ids, and a reader decodes runs of documents, found through the rank directories,
+so memory follows neither the partitions nor the files; a very long document is one run.
+
 Documents are ordered by id, then text; null ids come first. Null and empty texts have the end id alone. Repeated rows
-are repeated documents. An empty table gives no files.
+are repeated documents. An empty table gives no files. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .shared import long_texts, materialise, shared_dir
 from .workers import tidy
 
 MAGIC, BLOCK = int.from_bytes(b"DACTOK01", "little"), 512
+#: Ids after which a file is closed, and ids that are decoded together.
+FILE_IDS, RUN_IDS = 8 << 20, 1 << 20
 
 
 def _pad(n: int) -> int:
@@ -141,22 +146,34 @@ def write_whole(folder: str, name: str, parts: Iterable[bytes]) -> str:
 def _written(batches, folder: str, tokenizer: str, end_id: int):
     from .tokenizing import encoder
 
-    own, parts, end = [], [], np.array([end_id], "<u4")
+    own, parts, held, serial, end = [], [], 0, 0, np.array([end_id], "<u4")
+    context = TaskContext.get()
+
+    def closed() -> pa.RecordBatch:
+        nonlocal held, serial
+        name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{serial:04d}.dac"
+        ends = np.cumsum([len(x) for x in parts])
+        path = write_whole(folder, name, encode(own, ends, np.concatenate(parts)))
+        row = {"part": [context.partitionId()], "serial": [serial], "path": [path], "n_documents": [len(own)], "n_tokens": [int(ends[-1])]}
+        own.clear(), parts.clear()
+        held, serial = 0, serial + 1
+        return pa.RecordBatch.from_pydict(row)
+
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             own += part["id"].to_pylist()
-            parts += [np.concatenate([ids, end]) for ids in encoder(tokenizer).encode(part["text"].to_pylist())]
+            for ids in encoder(tokenizer).encode(part["text"].to_pylist()):
+                parts.append(np.concatenate([ids, end]))
+                held += len(ids) + 1
+            if held >= FILE_IDS:
+                yield closed()
     if own:
-        context = TaskContext.get()
-        name = f"{context.partitionId():06d}-{context.taskAttemptId()}.dac"
-        ends = np.cumsum([len(x) for x in parts])
-        path = write_whole(folder, name, encode(own, ends, np.concatenate(parts)))
-        yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "path": [path], "n_documents": [len(own)], "n_tokens": [int(ends[-1])]})
+        yield closed()
 
 
 def write(documents: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """Writes the ids of all documents in ascending order of document; gives the manifest (part, path, n_documents, n_tokens, base).
+    """Writes the ids of all documents in ascending order of document; gives the manifest (part, serial, path, n_documents, n_tokens, base).
 
     base: the number of ids in all files before. The manifest has a row a file.
     """
@@ -165,9 +182,9 @@ def write(documents: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "d
     folder = folder or shared_dir(spark, "tokens")
     plain = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = plain.repartitionByRange("id").sortWithinPartitions("id", "text")
-    files = ordered.mapInArrow(lambda b: _written(b, folder, tokenizer, end_id), "part long, path string, n_documents long, n_tokens long")
+    files = ordered.mapInArrow(lambda b: _written(b, folder, tokenizer, end_id), "part long, serial long, path string, n_documents long, n_tokens long")
     files = materialise(files, "token-manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "serial").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
@@ -176,12 +193,18 @@ def _read(batches):
     for batch in batches:
         for path, base in zip(batch["path"].to_pylist(), batch["base"].to_pylist()):
             with open_uri(path) as source:
-                found = TokenFile(pa.BufferReader(source.readall()))
-            own, null, ends = found.table()
-            begin = np.append(0, ends[:-1])
-            ids = found.range(0, int(found.n_ids))
-            digests = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begin.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(own, mask=null), pa.array(begin + base), pa.array(ends - begin), pa.array(digests, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                found = TokenFile(source)
+                own, null, ends = found.table()
+                begin = np.append(0, ends[:-1])
+                at = 0
+                while at < len(own):
+                    # documents whose ids are decoded together
+                    to = max(at + 1, int(np.searchsorted(ends, begin[at] + RUN_IDS, side="right")))
+                    ids = found.range(int(begin[at]), int(ends[to - 1]))
+                    digests = [zlib.crc32(ids[a:b]) for a, b in zip((begin[at:to] - begin[at]).tolist(), (ends[at:to] - begin[at]).tolist())]
+                    columns = [pa.array(own[at:to], mask=null[at:to]), pa.array(begin[at:to] + base), pa.array((ends - begin)[at:to]), pa.array(digests, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    at = to
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
