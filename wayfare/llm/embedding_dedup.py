@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .shared import components, materialise, own_keys, pair_blocks
 
-#: Dimensions of a block, and members of a chunk of a grid cell.
-WIDTH, CHUNK = 16, 1500
+#: Dimensions of a block and, of those, of its grid; members of a chunk of a grid cell.
+WIDTH, GRID, CHUNK = 16, 2, 1000
 #: Room for rounding in the squared distances of blocks.
 SLACK = 1e-9
 
@@ -94,7 +94,7 @@ def _matrix(vectors, size: int) -> np.ndarray:
     return np.stack([np.frombuffer(v, "<f4" if len(v) == 4 * size else "<f8").astype(float) for v in vectors])
 
 
-def _celled(batches, distance: float, dimensions: int):
+def _celled(batches, distance: float, dimensions: int = GRID):
     """(cell, rep, home, block): for each block the cell that a vector lives in (home), and those in which it is compared (not home).
 
     Of two neighbouring cells, the vectors of the lower one, by their coordinates, are compared in the higher one.
@@ -124,21 +124,24 @@ def links_in_block(x: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.
     a, b = blocks[block]
     own = y[:, a:b]
     square = (own * own).sum(axis=1)
-    near = square[left][:, None] + square[right][None, :] - 2 * (own[left] @ own[right].T) <= budget[block] + SLACK
-    near &= home[left][:, None] | home[right][None, :]
-    if left is right:
-        near &= np.arange(len(left))[:, None] < np.arange(len(left))[None, :]
-    i, j = np.nonzero(near)
-    one, two = left[i], right[j]
-    kept = []
-    for at in range(0, len(one), 50_000):
-        u, v = one[at : at + 50_000], two[at : at + 50_000]
-        mine = apart(y[u], y[v], a, b) <= budget[block]
-        for k in range(block):
-            mine &= apart(y[u], y[v], *blocks[k]) > budget[k]
-        kept.append(at + np.flatnonzero(mine)[np.einsum("ij,ij->i", x[u[mine]], x[v[mine]]) >= threshold])
-    chosen = np.concatenate(kept) if kept else np.zeros(0, int)
-    return one[chosen], two[chosen]
+    ones, twos = [], []
+    for at in range(0, len(left), 128):  # few rows at a time, as all pairs of a dense cell may be close
+        part = left[at : at + 128]
+        near = square[part][:, None] + square[right][None, :] - 2 * (own[part] @ own[right].T) <= budget[block] + SLACK
+        near &= home[part][:, None] | home[right][None, :]
+        if left is right:
+            near &= np.arange(at, at + len(part))[:, None] < np.arange(len(right))[None, :]
+        i, j = np.nonzero(near)
+        for begin in range(0, len(i), 20_000):
+            u, v = part[i[begin : begin + 20_000]], right[j[begin : begin + 20_000]]
+            mine = apart(y[u], y[v], a, b) <= budget[block]
+            for k in range(block):
+                mine &= apart(y[u], y[v], *blocks[k]) > budget[k]
+            u, v = u[mine], v[mine]
+            linked = np.einsum("ij,ij->i", x[u], x[v]) >= threshold
+            ones.append(u[linked].astype(np.int32)), twos.append(v[linked].astype(np.int32))
+    none = np.zeros(0, np.int32)
+    return np.concatenate([none, *ones]), np.concatenate([none, *twos])
 
 
 def _linked(frame, distance: float, threshold: float):
@@ -182,10 +185,7 @@ def similar(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     membership = materialise(digested.select("key", *same).join(classes, same, "left").select("key", F.coalesce("rep", "key").alias("rep"), F.coalesce("members", F.lit(1)).alias("members")), "vector-classes")
     reps = digested.where("digest is not null").join(membership.where("key = rep").select("rep", "members"), F.col("key") == F.col("rep")).select("rep", "label", "size", "vector", "members")
     reps = materialise(reps, "vector-reps")
-    # the grid gets as many dimensions as the largest label's vectors need for cells of about a chunk
-    most = reps.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    dimensions = min(3, max(1, math.ceil(math.log(max(1.0, most / CHUNK), 2.5))))
-    celled = materialise(reps.select("rep", "label", "size", "vector").mapInArrow(lambda b: _celled(b, distance, dimensions), "cell string, rep long, home boolean, block int"), "vector-cells")
+    celled = materialise(reps.select("rep", "label", "size", "vector").mapInArrow(lambda b: _celled(b, distance), "cell string, rep long, home boolean, block int"), "vector-cells")
     # the cell, not the chunks, has one size and block; a cell without a home row holds no pair
     dealt = pair_blocks(celled, ["cell"], "rep", CHUNK, "max(home)").join(reps.select("rep", "size", "vector", "members"), "rep")
     found = dealt.repartition("cell", "chunk_i", "chunk_j").groupBy("cell", "chunk_i", "chunk_j").applyInPandas(lambda f: _linked(f, distance, threshold), "rep long, others long, least long")
