@@ -435,7 +435,7 @@ def repeated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     packed = plain.mapInArrow(_packed, "id long, packed binary").repartition(parts, "id")
     pairs = plain.mapInArrow(lambda b: _named(b, shape), "name long, around long, id long, at long")
     ordered = pairs.repartition(2 * parts, "name").sortWithinPartitions("name", "around", "id", "at")
-    settled = materialise(ordered.mapInArrow(_settled, "id long, at long"), "repeats-settled", free=True)
+    settled = materialise(ordered.mapInArrow(_settled, "id long, at long"), "repeats-settled")
     is_open, place = F.col("at") % 4 == OPEN, F.shiftright("at", 2)
     # an open position has as many windows as it has starts before it, half of them its own
     buckets = max(64, settled.where(is_open).count() * (shape.back // 2 + 1) // BUCKET)
@@ -447,7 +447,7 @@ def repeated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         # runs that are known already have no bucket: a hash of their place spreads them
         dealt = windows.withColumn("key", F.coalesce("bucket", F.xxhash64("id", "low"))).repartition(parts, "key").sortWithinPartitions("key", "bucket").drop("key")
         windows = dealt.mapInArrow(lambda b, a=(columns, pair, last): _ranked(b, *a, buckets), WINDOWS)
-        windows = materialise(windows.select("id", "low", "high") if last else windows, f"repeats-round-{k}", free=True)
+        windows = materialise(windows.select("id", "low", "high") if last else windows, f"repeats-round-{k}")
     # in bytes: all windows of a run, or all that a sampled position's surroundings hold
     runs = windows.select("id", F.struct("low", (F.col("high") + length).alias("high")).alias("mark"))
     whole = settled.where(F.col("at") % 4 == REPEATS).select("id", F.struct((place - shape.back).alias("low"), (place + length).alias("high")).alias("mark"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -39,17 +38,19 @@ def long_texts(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def materialise(df: DataFrame, label: str, free: bool = False) -> DataFrame:
-    """Written to the shared folder and read again: cuts the lineage and survives lost executors.
+#: Spark's setting by which a query removes its shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    free: lets Spark's cleaner remove the shuffle files that the table no longer needs.
-    """
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read again: cuts the lineage, survives lost executors, and frees the shuffles before it."""
     spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    path, before = shared_dir(spark, label), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
