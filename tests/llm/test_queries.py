@@ -63,6 +63,41 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(pieces)
 
 
+def odd_documents(spark):
+    """Null and repeated ids, null, empty and very long texts, copies, a secret, and columns that clash with names inside the stages."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    long = " ".join(f"word{n}" for n in range(30_000))
+    own = [(1, "one two three four five six"), (1, "another text altogether, of its own"), (None, None), (None, ""), (2, None), (3, "token = abcdef0123456789abcdef end"), (3, "token = abcdef0123456789abcdef end"), (None, long), (4, long + " tail"), (5, item), (None, "before " + item)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, key string, path string, spans string, blob int, id double, _path int"
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", "p", "s", 1, 0.5, 9) for i, t in own], kind)
+
+
+def test_stages_of_odd_documents(spark):
+    docs, texts = odd_documents(spark), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == columns and {(r["key"], r["path"], r["spans"], r["blob"], r["id"], r["_path"]) for r in docs.collect()} == {("k", "p", "s", 1, 0.5, 9)}
+        texts.append({name: sorted((str(r["doc_id"]), r["text"] and r["text"][:30]) for r in docs.collect())})
+    assert len(texts[0]["toxicity"]) == 11
+    near = texts[1]["near_duplicates"]
+    # the long copy with an id stays before the one without; a null text is an empty one, and equal rows are one
+    assert [x[0] for x in near if x[1] and x[1].startswith("word0")] == ["4"] and sum(x[1] in (None, "") for x in near) == 1
+    assert sum(x[1] is not None and x[1].startswith("token") for x in near) == 1 and ("1", "another text altogether, of it") in near
+    clean = texts[2]["decontamination"]
+    assert len(clean) == len(near) - sum(x[1] is not None and (x[0] == "5" or x[1].startswith("before")) for x in near)
+    assert ("3", "[SECRET] end") in texts[3]["secrets"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == len({x[0] for x in clean})
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = odd_documents(spark).where("false")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
 def test_toxicity_stage_uses_the_threshold(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
     scores = {r["doc_id"]: r["score"] for r in queries.op4_toxicity(spark, SF).collect()}

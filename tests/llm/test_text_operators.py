@@ -73,6 +73,29 @@ def library_ids(path, text, end):
     return np.array(Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
+def test_files_and_runs_of_a_bounded_size(spark, tmp_path):
+    """What a task writes and reads in many files and runs is what it does in one."""
+    texts = ["word " * n for n in range(40)] + ["", None]
+    df = docs(spark, texts).repartition(2)
+    want = {r["doc_id"]: tuple(r) for r in token_files.read_documents(token_files.write(df, BYTES, end_id=2)).collect()}
+    rows = [(i, t) for i, t in enumerate(texts)]
+
+    class Task:
+        partitionId, taskAttemptId = staticmethod(lambda: 0), staticmethod(lambda: 7)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows], pa.string())], ["id", "text"])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_files.TaskContext, "get", staticmethod(lambda: Task))
+        patch.setattr(token_files, "FILE_IDS", 100)
+        patch.setattr(token_files, "RUN_IDS", 64)
+        files = [f.to_pylist()[0] for f in token_files._written((batch.slice(i, 5) for i in range(0, len(rows), 5)), f"file://{tmp_path}/t", BYTES, 2)]
+        assert len(files) > 4 and [f["serial"] for f in files] == list(range(len(files)))
+        bases = np.append(0, np.cumsum([f["n_tokens"] for f in files]))
+        manifest = pa.RecordBatch.from_arrays([pa.array([f["path"] for f in files]), pa.array(bases[:-1])], ["path", "base"])
+        got = [tuple(r.values()) for b in token_files._read([manifest]) for r in b.to_pylist()]
+    assert {r[0]: r for r in got} == want
+
+
 def test_token_files(spark):
     df = docs(spark, ODD)
     got = by_id(token_files.read_documents(token_files.write(df.repartition(3), BYTES, end_id=2)), "doc_id")
