@@ -55,6 +55,19 @@ def test_empty_graph(spark):
     assert rows(graph.transition) == rows(graph.adjacency) == rows(graph.titles) == []
 
 
+def test_csv_of_many_files(spark, tmp_path):
+    """Files count by name, whatever their size; quotes and line ends stay."""
+    for name, body in (("a", 'x,"Title, ""one""\nnext"\n'), ("b", "".join(f"n{i},t{i}\n" for i in range(300))), ("c", "y,last\nx,again\n")):
+        (tmp_path / "n").mkdir(exist_ok=True)
+        (tmp_path / f"n/{name}.csv").write_text("id,title\n" + body)
+    (tmp_path / "e.csv").write_text("source,target\nx,y\n")
+    graph = Graph.from_csv(spark, str(tmp_path / "n"), str(tmp_path / "e.csv"))
+    found = [(r["id"], r["title"]) for r in graph.nodes.orderBy("pos").collect()]
+    assert found == [("x", "again"), *((f"n{i}", f"t{i}") for i in range(300)), ("y", "last")]
+    first = Graph.from_csv(spark, str(tmp_path / "n/a.csv"), str(tmp_path / "e.csv"), validate=False)
+    assert first.nodes.first()["title"] == 'Title, "one"\nnext'
+
+
 def test_views_and_saved(spark):
     graph = graph_of(spark, "abc", [("a", "b", 1), ("b", "c", 1)])
     graph.views("g")
@@ -71,6 +84,9 @@ def test_parameters():
     for bad in (dict(a=0.2, b=0.2), dict(a=1.5), dict(delta=0.0), dict(relative_error=0), dict(query_type="X")):
         with pytest.raises(ValueError):
             BiasConfig(**bad).validate()
+    assert BiasConfig(query_type="N").threshold(10, 2) is None
+    assert BiasConfig().threshold(10, 2) == pytest.approx(0.1**2 * 0.1 / 3 / 2)
+    assert BiasConfig(delta=0.5, relative_error=0.2).threshold(10, 0) == pytest.approx(0.01)
 
 
 def pairs(spark, *own):

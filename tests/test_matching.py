@@ -86,7 +86,10 @@ def test_candidates_agree_with_brute_force(spark):
         p = f"  {t}  "
         return {p[i : i + 3] for i in range(len(p) - 2)}
 
-    for limit in (2, 50):
+    titles += [f"customer#{i:06d}" for i in range(90)]
+    keys += ["customer#00001", "customer#000077x", "customer"]
+    graph = library(spark, *titles)
+    for limit in (2, 20, 50):
         got = rows(mt.trigram_candidates(graph, spark.createDataFrame([(k,) for k in keys], "key string"), limit), "key", "norm", "place")
         want = []
         for k in keys:

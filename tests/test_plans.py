@@ -206,17 +206,37 @@ def test_contexts_file(spark, tmp_path):
 def test_cache_and_log(tmp_path):
     client = Http("http://x/", "m", "secret-key", cache_dir=str(tmp_path / "cache"), log_path=str(tmp_path / "log.jsonl"))
     key = cache_key("http://x", "m", "sys", "the prompt", True)
-    client._keep(key, {"content": '{"a": 1}', "usage": {"total_tokens": 3}, "finish_reason": "stop"})
+    client.responses[key] = {"content": '{"a": 1}', "usage": {"total_tokens": 3}, "finish_reason": "stop"}
     assert parsed(client, "sys", "the prompt") == {"a": 1} and client.last_call["cache_hit"]
     log = (tmp_path / "log.jsonl").read_text()
     assert "the prompt" not in log and "secret-key" not in log
     (tmp_path / f"cache/{key}.json").write_text("broken")
-    assert client._cached(key) is None
+    assert key not in client.responses
     assert key != cache_key("http://x", "m", "sys", "the prompt", True, 5)
     with pytest.raises(ValueError):
         client.complete("s", "u", max_tokens=True)
 
 
+def test_failed_calls_are_logged(tmp_path, monkeypatch):
+    import io
+    import urllib.error
+    import urllib.request
+
+    def refuse(request, timeout):
+        raise urllib.error.HTTPError(request.full_url, 429, "slow down", {}, io.BytesIO(b"too many"))
+
+    monkeypatch.setattr(urllib.request, "urlopen", refuse)
+    client = Http("http://x/", "m", "secret-key", cache_dir=str(tmp_path / "cache"), log_path=str(tmp_path / "log.jsonl"))
+    with pytest.raises(RuntimeError, match="429.*too many"):
+        client.complete("s", "u")
+    line = json.loads((tmp_path / "log.jsonl").read_text())
+    assert line["status"] == "http_error_429" and line["network_request"] and not line["cache_hit"] and not list(client.responses)
+    reply = {"choices": [{"message": {"content": "yes"}, "finish_reason": "stop"}], "usage": {"total_tokens": 7}}
+    monkeypatch.setattr(urllib.request, "urlopen", lambda request, timeout: io.BytesIO(json.dumps(reply).encode()))
+    assert client.complete("s", "u") == client.complete("s", "u") == "yes"
+    assert client.last_call["cache_hit"] and client.last_call["total_tokens"] == 7 and len(client.responses) == 1
+
+
 def test_cli_and_stream(spark, tmp_path, monkeypatch):
     monkeypatch.delenv("OPENAI_API_KEY", raising=False)
     (tmp_path / "n.csv").write_text("id,title\na,Alpha\nb,Beta\n")
@@ -229,6 +249,11 @@ def test_cli_and_stream(spark, tmp_path, monkeypatch):
     assert got[0]["recall"] == 1.0
     with pytest.raises(ValueError):
         cli.main([*base, "ask", "x", "--depth", "6"], spark)
+    sampled = ["--backend", "biased", "--delta", "0.001", "--relative-error", "0.05"]
+    got = cli.main([*base, *sampled, "experiment", "--questions", str(tmp_path / "q.json"), "--output", str(tmp_path / "out"), "--strategies", "rules"], spark)
+    assert got[0]["recall"] == 1.0
+    with pytest.raises(ValueError):
+        cli.main([*base, "--backend", "biased", "--relative-error", "0", "ask", "x"], spark)
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text('{"id": "s1", "question": "What is Beta?"}\n')
     graph = Graph.from_csv(spark, base[1], base[3])

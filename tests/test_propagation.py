@@ -77,6 +77,40 @@ def test_sampled_mode_keeps_the_mean(spark):
     assert sum(means) / len(means) == pytest.approx(0.25, rel=0.1)
 
 
+def test_each_question_walks_its_own_depth(spark):
+    """A question leaves the frontier at its depth, and the plan has as many hops as the deepest asks for."""
+    graph = graph_of(spark, "012345", TREE)
+    own = seeds(spark, ("1", "5"), ("2", "1"), ("3", "5"))
+    table = spark.createDataFrame([("1", 1, 0.5, 9), ("2", 2, 0.25, 9), ("3", 0, 0.9, 9)], "qid string, depth int, decay double, top_k int")
+    got = pr.propagate(graph, own, table)
+    for qid, depth, decay, top_k in (tuple(r) for r in table.collect()):
+        alone = pr.propagate(graph, own.where(f"qid = '{qid}'"), Parameters(depth, decay, top_k))
+        assert rows(got.where(f"qid = '{qid}'")) == rows(alone)
+    masses = pr.hop_masses(graph, own, 2, table)
+    assert rows(masses.groupBy("qid").agg({"hop": "max"})) == [("1", 1), ("2", 2), ("3", 0)]
+
+
+def test_arms_together_are_the_arms_alone(spark):
+    graph = graph_of(spark, "012345", TREE)
+    own = seeds(spark, ("1", "5"), ("2", "1"), ("2", "4"))
+    pairs = PAIRS | {"odd": (0.3, 0.9)}
+    got = {(r["qid"], r["arm"], r["node_id"]): r["score"] for r in pr.biased_scores(graph, own, pairs, 3, 0.4).collect()}
+    degree = {r["id"]: r["degree"] for r in graph.degrees.collect()}
+    edges = [tuple(r) for r in graph.adjacency.collect()]
+    for arm, (a, b) in pairs.items():
+        for qid, start in (("1", {"5": 1.0}), ("2", {"1": 0.5, "4": 0.5})):
+            want, mass = {k: 0.6 * v for k, v in start.items()}, start
+            for hop in (1, 2, 3):
+                moved: dict = {}
+                for u, v in edges:
+                    if u in mass:
+                        moved[v] = moved.get(v, 0) + mass[u] / (degree[u] ** b * degree[v] ** a)
+                mass = moved
+                for k, v in mass.items():
+                    want[k] = want.get(k, 0) + 0.6 * 0.4**hop * v
+            assert {k[2]: v for k, v in got.items() if k[:2] == (qid, arm)} == pytest.approx(want)
+
+
 def test_direct_neighbours(spark):
     graph = graph_of(spark, "abcde", [("a", "c", 1), ("b", "c", 1), ("b", "c", 1), ("a", "d", 1), ("b", "e", 1), ("a", "b", 1)])
     own = seeds(spark, ("q", "a"), ("q", "b"), ("q", "missing"))

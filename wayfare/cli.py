@@ -16,20 +16,22 @@ from wayfare.sources.language_model import Http
 
 def arguments() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="wayfare", description=__doc__)
-    top.add_argument("--nodes", required=True)
-    top.add_argument("--edges", required=True)
+    top.add_argument("--nodes", default="data/nodes.csv")
+    top.add_argument("--edges", default="data/edges.csv")
     top.add_argument("--backend", choices=["walk", "biased"], default="walk")
     top.add_argument("--bias-a", type=float, default=0.0)
     top.add_argument("--bias-b", type=float, default=1.0)
-    top.add_argument("--query-type", choices=["N", "S"], default="S")
+    top.add_argument("--query-type", choices=["N", "S"], default="S", help="N: exact; S: sampled under the error bound")
+    top.add_argument("--delta", type=float, help="the least score that the bound of S covers (default: one by the number of nodes)")
+    top.add_argument("--relative-error", type=float, default=0.1)
     commands = top.add_subparsers(dest="command", required=True)
     ask = commands.add_parser("ask")
     ask.add_argument("question")
     ask.add_argument("--strategy", choices=STRATEGIES, default="rules")
     ask.add_argument("--no-answer", action="store_true")
     many = commands.add_parser("experiment")
-    many.add_argument("--questions", required=True)
-    many.add_argument("--output", required=True)
+    many.add_argument("--questions", default="data/questions.json")
+    many.add_argument("--output", default="results/experiment.jsonl")
     many.add_argument("--strategies", nargs="+", choices=STRATEGIES, default=["seed-only", "fixed", "rules"])
     for command in (ask, many):
         command.add_argument("--depth", type=int, default=2)
@@ -47,16 +49,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     spark = spark or SparkSession.builder.appName("wayfare").getOrCreate()
     graph = Graph.from_csv(spark, args.nodes, args.edges).keep("transition", "titles")
     client = Http.from_environment()
-    match = {"match_mode": args.match_mode, "threshold": args.match_threshold, "margin": args.match_margin}
+    backend = BiasConfig(args.bias_a, args.bias_b, args.delta, args.relative_error, args.query_type).validate() if args.backend == "biased" else None
+    how = {"client": client, "backend": backend, "match_mode": args.match_mode, "threshold": args.match_threshold, "margin": args.match_margin}
     if args.command == "ask":
         questions = spark.createDataFrame([("q", args.question)], "qid string, question string")
-        backend = BiasConfig(args.bias_a, args.bias_b, query_type=args.query_type) if args.backend == "biased" else None
-        done = strategies.run(graph, questions, args.strategy, fixed=fixed, client=client, backend=backend, **match)
+        done = strategies.run(graph, questions, args.strategy, fixed=fixed, **how)
         rows = strategies.results(graph, questions, args.strategy, done)
         out = rows if args.no_answer else strategies.answered(rows, client)
     else:
         conditions = tuple((s, s, fixed if s in {"fixed", "llm-keywords"} else None) for s in args.strategies)
-        rows = experiment.compare(graph, read_questions(spark, args.questions), conditions, client=client, **match).cache()
+        rows = experiment.compare(graph, read_questions(spark, args.questions), conditions, **how).cache()
         write_jsonl(rows, args.output)
         out = experiment.summary(rows)
     found = [json.loads(x) for x in out.toJSON().collect()]

@@ -49,7 +49,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def title_mentions(graph: Graph, texts: DataFrame) -> DataFrame:
     """(qid, title, node_id, start, end): every title in the folded text of (qid, text) that word boundaries enclose."""
-    longest = graph.titles.agg(F.max(F.length("norm"))).first()[0] or 0
+    longest = graph.longest_title
     spans = texts.select(F.col("qid").cast("string").alias("qid"), "text").mapInArrow(lambda b: _spans(b, longest), "qid string, start int, end int, span string")
     return spans.join(graph.titles, F.col("span") == F.col("norm")).select("qid", "title", "node_id", "start", "end")
 
@@ -88,18 +88,32 @@ def exact_match(graph: Graph, keywords: DataFrame) -> tuple[DataFrame, DataFrame
 def trigram_candidates(graph: Graph, norms: DataFrame, limit: int = 50) -> DataFrame:
     """(key, norm, jaccard, place): the `limit` titles most like each folded text of (key), title order breaking ties.
 
-    A text under three characters that shares no trigram is compared with the first titles in order.
+    A title that lacks the k rarest trigrams of a key of n has a similarity of (n - k) / n at most. So titles are first
+    scored that hold one of the rarer half of a key's trigrams; a key whose `limit`-th score is not above what the others can reach is
+    joined by all its trigrams. The result is that of joining all, but a trigram that most titles share is joined only for
+    keys that need it. A text under three characters that shares no trigram is compared with the first titles in order.
     """
     grams = norms.select("key", trigrams(F.col("key")).alias("g"))
-    asked = grams.select("key", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    shared = asked.join(graph.postings, "gram").groupBy("key", "n", "norm", "n_grams").agg(F.count(F.lit(1)).alias("both"))
-    scored = shared.select("key", "norm", (F.col("both") / (F.col("n") + F.col("n_grams") - F.col("both"))).alias("jaccard"))
+    asked = grams.select("key", F.size("g").alias("n"), F.explode("g").alias("gram")).join(graph.gram_counts, "gram").select("key", "n", "gram", "titles")
+    asked = asked.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("titles", "gram")))
+    half = F.ceil(F.col("n") / 2)
     order = Window.partitionBy("key").orderBy(F.col("jaccard").desc(), "norm")
-    near = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect(trigrams(F.col("key")), trigrams(F.col("norm"))))
+        jaccard = (both / (F.col("n") + F.col("n_grams") - both)).alias("jaccard")
+        return pairs.select("key", "n", "norm", jaccard).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+    rare = asked.where(F.col("nth") <= half).join(graph.postings, "gram").select("key", "n", "norm", "n_grams").distinct()
+    first = scored(rare)
+    sure = first.where((F.col("place") == limit) & (F.col("jaccard") > (F.col("n") - half) / F.col("n"))).select("key")
+    every = asked.join(sure, "key", "left_anti").join(graph.postings, "gram").groupBy("key", "n", "norm", "n_grams").agg(F.count(F.lit(1)).alias("both"))
+    rest = every.select("key", "norm", (F.col("both") / (F.col("n") + F.col("n_grams") - F.col("both"))).alias("jaccard")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    near = first.join(sure, "key", "left_semi").select("key", "norm", "jaccard", "place").unionByName(rest)
     lost = norms.where(F.length("key") < 3).join(near.select("key").distinct(), "key", "left_anti")
-    first = graph.titles.select("norm").orderBy("norm").limit(limit)
-    first = first.withColumn("place", F.row_number().over(Window.orderBy("norm")))
-    return near.unionByName(lost.crossJoin(F.broadcast(first)).select("key", "norm", F.lit(0.0).alias("jaccard"), "place"))
+    begin = graph.titles.select("norm").orderBy("norm").limit(limit)
+    begin = begin.withColumn("place", F.row_number().over(Window.orderBy("norm")))
+    return near.unionByName(lost.crossJoin(F.broadcast(begin)).select("key", "norm", F.lit(0.0).alias("jaccard"), "place"))
 
 
 def best_titles(graph: Graph, norms: DataFrame, limit: int = 50) -> DataFrame:
@@ -143,26 +157,29 @@ def _question(rows: list[dict], threshold: float, margin: float) -> list[tuple]:
     return [out[k] for k in sorted(out)]
 
 
-def _resolved(batches, threshold: float, margin: float):
-    """Matches of rows that come question by question."""
-    names = [x.split()[0] for x in MATCHES.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
+def _resolved(batches, controls: list[tuple[float, float]]):
+    """Matches of rows that come question by question, under each (threshold, margin)."""
+    names = [x.split()[0] for x in MATCHES.split(", ")] + ["threshold", "margin"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.float64(), pa.float64()]
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*found)) if found else [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
+    def decided(rows: list[dict]) -> list[tuple]:
+        return [(*match, t, m) for t, m in controls for match in _question(rows, t, m)]
+
     held: list[dict] = []
     for batch in batches:
         found: list[tuple] = []
         for qid, own in groupby(batch.to_pylist(), key=itemgetter("qid")):
             if held and held[0]["qid"] != qid:
-                found += _question(held, threshold, margin)
+                found += decided(held)
                 held = []
             held += own
         yield batch_of(found)
     if held:
-        yield batch_of(_question(held, threshold, margin))
+        yield batch_of(decided(held))
 
 
 def approximate_match(graph: Graph, keywords: DataFrame, *, threshold: float = 0.85, margin: float = 0.10, candidate_limit: int = 50) -> DataFrame:
@@ -171,7 +188,13 @@ def approximate_match(graph: Graph, keywords: DataFrame, *, threshold: float = 0
     Exact titles first; then runs of adjacent unresolved keywords, longest first, joined by a space or a comma and a
     space; then single keywords. A match needs the threshold and, where there is a runner-up, the margin.
     """
-    share("match threshold", threshold), share("match margin", margin), positive("candidate_limit", candidate_limit)
+    share("match threshold", threshold), share("match margin", margin)
+    return matches_by_control(candidate_rows(graph, keywords, candidate_limit), [(threshold, margin)]).drop("threshold", "margin")
+
+
+def candidate_rows(graph: Graph, keywords: DataFrame, candidate_limit: int = 50) -> DataFrame:
+    """What approximate_match decides on: exact titles, single keywords and runs of them, each with its best title and scores."""
+    positive("candidate_limit", candidate_limit)
     found = looked_up(graph, keywords)
     texts = "qid string, kind string, start int, size int, variant int, text string, norm string"
     exact = found.where("node_id is not null").selectExpr("qid", "'exact' as kind", "position as start", "1 as size", "0 as variant", "keyword as text", "norm")
@@ -194,14 +217,23 @@ def approximate_match(graph: Graph, keywords: DataFrame, *, threshold: float = 0
     exact = exact.join(graph.titles.select("norm", "node_id"), "norm").join(display, "node_id")
     exact = exact.withColumns({"score": F.lit(1.0), "second_score": F.lit(None).cast("double")})
     columns = [x.split()[0] for x in texts.split(", ")] + ["node_id", "title", "score", "second_score"]
-    every = rows.select(columns).unionByName(exact.select(columns))
-    return every.repartition("qid").sortWithinPartitions("qid").mapInArrow(lambda b: _resolved(b, threshold, margin), MATCHES)
+    return rows.select(columns).unionByName(exact.select(columns))
 
 
-def seeds_of(matches: DataFrame) -> DataFrame:
-    """(qid, node_id, position) of accepted matches, exact ones before approximate ones."""
+def matches_by_control(rows: DataFrame, controls: list[tuple[float, float]]) -> DataFrame:
+    """The matches of candidate_rows under every (threshold, margin), which are further columns."""
+    return rows.repartition("qid").sortWithinPartitions("qid").mapInArrow(lambda b: _resolved(b, controls), f"{MATCHES}, threshold double, margin double")
+
+
+def seeds_of(matches: DataFrame, *by: str) -> DataFrame:
+    """(qid, node_id, position) of accepted matches, exact ones before approximate ones; by: further columns that part the matches."""
     order = F.when(F.col("method") == "exact", 0).when(F.col("method") == "approximate-compound", 1).otherwise(2)
-    return matches.where("accepted").groupBy("qid", "node_id").agg(F.min(order * 1_000_000 + F.col("position")).alias("position"))
+    return matches.where("accepted").groupBy("qid", *by, "node_id").agg(F.min(order * 1_000_000 + F.col("position")).alias("position"))
+
+
+def seeds_by_control(rows: DataFrame, controls: list[tuple[float, float]]) -> DataFrame:
+    """(qid, threshold, margin, node_id, position) of candidate_rows."""
+    return seeds_of(matches_by_control(rows, controls), "threshold", "margin")
 
 
 def mentioned_nodes(graph: Graph, texts: DataFrame) -> DataFrame:

@@ -22,17 +22,24 @@ def valid_seeds(graph: Graph, seeds: DataFrame) -> DataFrame:
     return own.withColumn("mass", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("qid")))
 
 
-def hop_masses(graph: Graph, seeds: DataFrame, depth: int) -> DataFrame:
-    """(qid, hop, node_id, mass) for hops 0 to depth; every depth, decay and top_k is a weighting of these."""
+def hop_masses(graph: Graph, seeds: DataFrame, depth: int, limits: DataFrame | None = None) -> DataFrame:
+    """(qid, hop, node_id, mass) for hops 0 to depth; every depth, decay and top_k is a weighting of these.
+
+    limits: (qid, depth) of questions that go less far, which leave the frontier there; others have no rows.
+    """
     frontier = valid_seeds(graph, seeds)
+    own = ["mass"]
+    if limits is not None:
+        frontier, own = frontier.join(limits.select("qid", F.col("depth").alias("last")), "qid"), ["mass", "last"]
     hops = [frontier.select("qid", F.lit(0).alias("hop"), "node_id", "mass")]
     for hop in range(1, depth + 1):
-        moved = frontier.join(graph.transition, F.col("node_id") == F.col("src"))
-        frontier = moved.groupBy("qid", F.col("dst").alias("node_id")).agg(F.sum(F.col("mass") * F.col("share")).alias("mass"))
+        going = frontier if limits is None else frontier.where(F.col("last") >= hop)
+        moved = going.join(graph.transition, F.col("node_id") == F.col("src"))
+        frontier = moved.groupBy("qid", F.col("dst").alias("node_id"), *own[1:]).agg(F.sum(F.col("mass") * F.col("share")).alias("mass"))
         hops.append(frontier.select("qid", F.lit(hop).alias("hop"), "node_id", "mass"))
     out = hops[0]
-    for own in hops[1:]:
-        out = out.unionAll(own)
+    for rows in hops[1:]:
+        out = out.unionAll(rows)
     return out
 
 
@@ -42,18 +49,21 @@ def ranked(scores: DataFrame, group: list[str], top_k: int | Column, *ties: Colu
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def propagate(graph: Graph, seeds: DataFrame, parameters: Parameters | DataFrame, *, max_depth: int = 5) -> DataFrame:
+def propagate(graph: Graph, seeds: DataFrame, parameters: Parameters | DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(qid, rank, node_id, score): sums of decay ** hop times the mass of a weighted random walk's hop.
 
-    parameters: one for all, or a table (qid, depth, decay, top_k) of depths up to max_depth. Reached nodes of score
-    zero are kept. Mass on a node without neighbours vanishes.
+    parameters: one for all, or a table (qid, depth, decay, top_k), in which each question walks its own depth; max_depth is
+    its largest, looked up where it is not given. Reached nodes of score zero are kept. Mass on a node without
+    neighbours vanishes.
     """
     if isinstance(parameters, Parameters):
         parameters.validate()
         masses = hop_masses(graph, seeds, parameters.depth)
         scored = masses.groupBy("qid", "node_id").agg(F.sum(F.pow(F.lit(parameters.decay), "hop") * F.col("mass")).alias("score"))
         return ranked(scored, ["qid"], parameters.top_k, F.col("node_id").asc()).select("qid", "rank", "node_id", "score")
-    masses = hop_masses(graph, seeds, max_depth).join(parameters, "qid").where("hop <= depth")
+    if max_depth is None:
+        max_depth = parameters.agg(F.max("depth")).first()[0] or 0
+    masses = hop_masses(graph, seeds, max_depth, parameters).join(parameters, "qid")
     scored = masses.groupBy("qid", "node_id", "top_k").agg(F.sum(F.pow("decay", "hop") * F.col("mass")).alias("score"))
     return ranked(scored, ["qid"], F.col("top_k"), F.col("node_id").asc()).select("qid", "rank", "node_id", "score")
 
@@ -62,28 +72,49 @@ def seed_only(graph: Graph, seeds: DataFrame) -> DataFrame:
     return propagate(graph, seeds, Parameters(0, 0.0, 10))
 
 
+def _raised(base: Column, exponent: float) -> Column | None:
+    """base ** exponent, None for one."""
+    return {0.0: None, 0.5: F.sqrt(base), 1.0: base}.get(exponent, F.pow(base, F.lit(exponent)))
+
+
+def _over(mass: Column, base: str, exponent: float) -> Column:
+    by = _raised(F.col(base), exponent)
+    return mass if by is None else mass / by
+
+
 def biased_scores(graph: Graph, seeds: DataFrame, pairs: dict[str, tuple[float, float]], depth: int, decay: float, *, epsilon: float | None = None, seed: int = 0) -> DataFrame:
     """(qid, arm, node_id, score): a hop divides by source degree ** b and target degree ** a; weights (1 - decay) * decay ** i.
 
-    All arms are rows of one plan. epsilon turns on the sampled mode: a contribution under it is raised to it with the
+    All arms walk together: a row of the frontier holds the mass of each, so a hop is one join and one aggregation
+    whatever their number. epsilon turns on the sampled mode: a contribution under it is raised to it with the
     probability that keeps its mean, and dropped otherwise; the draw is a hash of question, arm, hop and edge, the same
     under any partitioning.
     """
     if not 0 <= decay < 1:
         raise ValueError("these weights require a decay of at least 0 and less than 1")
-    spark = graph.spark
-    arms = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in pairs.items()], "arm string, a double, b double")
-    frontier = valid_seeds(graph, seeds).crossJoin(F.broadcast(arms)).select("qid", "arm", "a", "b", "node_id", "mass")
-    total = frontier.withColumn("score", (1 - decay) * F.col("mass"))
+    masses = [f"m{i}" for i in range(len(pairs))]
+    frontier = valid_seeds(graph, seeds).select("qid", "node_id", *[F.col("mass").alias(m) for m in masses])
+    if epsilon is None:  # what depends on the source alone is divided before the join, on the target after the sum
+        frontier = frontier.join(graph.degrees.select(F.col("id").alias("node_id"), F.col("degree").cast("double").alias("degree")), "node_id", "left")
+    total = frontier.select("qid", "node_id", *[((1 - decay) * F.col(m)).alias(m) for m in masses])
     for hop in range(1, depth + 1):
-        moved = frontier.join(graph.biased, F.col("node_id") == F.col("src"))
-        given = F.col("mass") / (F.pow("src_degree", "b") * F.pow("dst_degree", "a"))
-        if epsilon is not None:
-            drawn = F.expr(f"pmod(xxhash64(qid, arm, {hop}, src, dst, {seed}L), 1000000007L) / 1000000007D")
-            given = F.when(given >= epsilon, given).when(drawn * epsilon < given, F.lit(epsilon)).otherwise(F.lit(0.0))
-        frontier = moved.withColumn("given", given).where("given > 0").groupBy("qid", "arm", "a", "b", F.col("dst").alias("node_id")).agg(F.sum("given").alias("mass"))
-        total = total.unionAll(frontier.withColumn("score", (1 - decay) * decay**hop * F.col("mass")))
-    scored = total.groupBy("qid", "arm", "node_id").agg(F.sum("score").alias("score"))
+        if epsilon is None:
+            given = frontier.select("qid", "node_id", *[_over(F.col(m), "degree", b).alias(m) for m, (_, b) in zip(masses, pairs.values())])
+            moved = given.join(graph.biased, F.col("node_id") == F.col("src")).groupBy("qid", F.col("dst").alias("node_id"), F.col("dst_degree").cast("double").alias("degree"))
+            moved = moved.agg(*[F.sum(m).alias(m) for m in masses])
+            frontier = moved.select("qid", "node_id", "degree", *[_over(F.col(m), "degree", a).alias(m) for m, (a, _) in zip(masses, pairs.values())])
+        else:
+            moved = frontier.join(graph.biased, F.col("node_id") == F.col("src"))
+            drawn = []
+            for m, (arm, (a, b)) in zip(masses, pairs.items()):
+                given = _over(_over(F.col(m), "src_degree", b), "dst_degree", a)
+                draw = F.pmod(F.xxhash64("qid", F.lit(arm), F.lit(hop), "src", "dst", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0
+                drawn.append(F.sum(F.when(given >= epsilon, given).when(draw * epsilon < given, F.lit(epsilon)).otherwise(F.lit(0.0))).alias(m))
+            frontier = moved.groupBy("qid", F.col("dst").alias("node_id")).agg(*drawn)
+        total = total.unionAll(frontier.select("qid", "node_id", *[((1 - decay) * decay**hop * F.col(m)).alias(m) for m in masses]))
+    summed = total.groupBy("qid", "node_id").agg(*[F.sum(m).alias(m) for m in masses])
+    arms = F.array(*[F.struct(F.lit(arm).alias("arm"), F.col(m).alias("score")) for m, arm in zip(masses, pairs)])
+    scored = summed.select("qid", "node_id", F.inline(arms)).select("qid", "arm", "node_id", "score")
     return scored.where((F.col("score") > 0) & ~F.isnan("score") & (F.col("score") < float("inf")))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.text import question_type, seeded_digest
@@ -125,6 +126,24 @@ def resamples(n: int, samples: int, seed: int, draws: int = 1) -> list[list[list
     return [[[rng.randrange(n) for _ in range(n)] for _ in range(samples)] for _ in range(draws)]
 
 
+def drawn(spark: SparkSession, order: list[str], n: int, samples: int, seed: int, one_stream: bool) -> DataFrame:
+    """(condition, sample, at): the same lists as resamples gives, drawn and sent on by one task, a few hundred at a time."""
+
+    def lists(batches):
+        for _ in batches:
+            pass
+        step = max(1, 100_000 // n)
+        rng = random.Random(seed)
+        for name in order:
+            rng = rng if one_stream else random.Random(seed)
+            for first in range(0, samples, step):
+                size = min(step, samples - first)
+                at = [[rng.randrange(n) for _ in range(n)] for _ in range(size)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * size), pa.array(range(first, first + size), pa.int32()), pa.array(at, pa.list_(pa.int32()))], ["condition", "sample", "at"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(lists, "condition string, sample int, at array<int>").repartition("condition", "sample")
+
+
 def bootstrap(differences: DataFrame, order: list[str], *, samples: int = 10_000, seed: int = 90055, inner_index: bool = True, draws: list[list[list[int]]] | None = None) -> DataFrame:
     """(condition, mean_difference, ci95_lower, ci95_upper) of (condition, position, difference).
 
@@ -137,8 +156,9 @@ def bootstrap(differences: DataFrame, order: list[str], *, samples: int = 10_000
     if not n:
         raise ValueError("paired samples must have a nonzero length")
     if draws is None:
-        draws = resamples(n, samples, seed, len(order)) if inner_index else resamples(n, samples, seed) * len(order)
-    table = spark.createDataFrame([(name, s, own) for name, part in zip(order, draws) for s, own in enumerate(part)], "condition string, sample int, at array<int>")
+        table = drawn(spark, order, n, samples, seed, inner_index)
+    else:
+        table = spark.createDataFrame([(name, s, own) for name, part in zip(order, draws) for s, own in enumerate(part)], "condition string, sample int, at array<int>")
     lists = differences.groupBy("condition").agg(F.array_sort(F.collect_list(F.struct("position", "difference"))).alias("rows")).select("condition", F.transform("rows", lambda x: x["difference"]).alias("d"))
     means = table.join(lists, "condition").select("condition", (F.aggregate("at", F.lit(0.0), lambda acc, i: acc + F.get("d", i)) / F.size("at")).alias("mean"))
     low, high = (int(0.025 * (samples - 1)), int(0.975 * (samples - 1))) if inner_index else (int(samples * 0.025), int(samples * 0.975))

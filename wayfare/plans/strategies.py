@@ -101,7 +101,8 @@ class Run:
 def run(graph: Graph, questions: DataFrame, strategy: str = "rules", *, fixed: Parameters | None = None, client: Client | None = None, match_mode: str = "exact", threshold: float = 0.85, margin: float = 0.10, backend: BiasConfig | None = None) -> Run:
     """All questions at once: keywords, seeds, propagation, context.
 
-    backend: None walks the weighted graph; a BiasConfig walks the simple graph with its degree exponents, exactly.
+    backend: None walks the weighted graph; a BiasConfig walks the simple graph with its degree exponents: exactly for query
+    type N, sampled under its error bound for S.
     """
     own = plan(graph, questions, strategy, fixed=fixed, client=client)
     # what several results read is kept, a few rows a question, so that their plans stay small
@@ -119,11 +120,12 @@ def run(graph: Graph, questions: DataFrame, strategy: str = "rules", *, fixed: P
         ranked = propagate(graph, seeds, own.parameters)
     else:
         backend.validate()
+        nodes = graph.nodes.count() if backend.query_type == "S" and backend.delta is None else 0
         cells = [tuple(r) for r in own.parameters.select("depth", "decay", "top_k").distinct().collect()]
         ranked = None
         for depth, decay, top_k in cells:
             chosen = own.parameters.where((F.col("depth") == depth) & (F.col("decay") == decay) & (F.col("top_k") == top_k)).select("qid")
-            part = propagate_biased(graph, seeds.join(chosen, "qid", "left_semi"), {"one": (backend.a, backend.b)}, Parameters(depth, decay, top_k), query_type=backend.query_type, check=True).drop("arm")
+            part = propagate_biased(graph, seeds.join(chosen, "qid", "left_semi"), {"one": (backend.a, backend.b)}, Parameters(depth, decay, top_k), query_type=backend.query_type, check=True, epsilon=backend.threshold(nodes, depth)).drop("arm")
             ranked = part if ranked is None else ranked.unionByName(part)
     ranked = kept(ranked)
     return Run(own, seeds, matches, unmatched, ranked, context(graph, questions.select(F.col("qid").cast("string").alias("qid")), ranked))

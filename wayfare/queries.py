@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from wayfare.operators import propagation as pr
 from wayfare.operators import selection as se
 from wayfare.operators import topology as tp
 from wayfare.schema import PAIRS, STUDY, Parameters
+from wayfare.sources.cut import kept
 from wayfare.sources.graph import Graph, trade_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,15 +32,19 @@ def _query(sql: str | None = None):
     return add
 
 
-@lru_cache(maxsize=4)
-def _graph_of(application: str, sf_dir: str) -> Graph:
-    graph = trade_graph(SparkSession.getActiveSession(), sf_dir)
-    return graph.keep("transition", "adjacency", "titles")
+_KEPT: dict[tuple[str, str], Graph] = {}
 
 
 def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
-    """The trade graph of a folder, its derived tables persisted once for an application."""
-    return _graph_of(spark.sparkContext.applicationId, sf_dir)
+    """The trade graph of a folder, its derived tables persisted until another folder's are asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        for (application, _), graph in _KEPT.items():
+            if application == key[0]:
+                graph.release()
+        _KEPT.clear()
+        _KEPT[key] = trade_graph(spark, sf_dir).keep("transition", "adjacency", "titles")
+    return _KEPT[key]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -226,8 +230,8 @@ def _geography(spark, sf_dir) -> Graph:
 GEO = f"with {NODES_SQL}, {EDGES_SQL.replace('edges as', 'all_edges as')}, edges as (select * from all_edges where description in ('in', 'of')), {ADJ_SQL}"
 
 
-@_query(f"""{G}, pairs as (select 's' || s_suppkey as a, 's' || (s_suppkey + 1) as b from supplier)
-select a || '-' || b as qid, x.dst as node_id from pairs join adj x on x.src = a join adj y on y.src = b and y.dst = x.dst""")
+@_query("""with sa as materialized (select distinct l_suppkey as k, 'p' || l_partkey as dst from lineitem union all select s_suppkey, 'n' || s_nationkey from supplier)
+select 's' || x.k || '-s' || y.k as qid, x.dst as node_id from sa x join sa y on y.k = x.k + 1 and y.dst = x.dst where x.k in (select s_suppkey from supplier)""")
 def common_neighbours(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("s"), (F.col("s_suppkey") + 1).cast("string")).alias("b"))
     return tp.common_neighbours(graph_of(spark, sf_dir), s.select(F.concat("a", F.lit("-"), "b").alias("qid"), "a", "b"))
@@ -403,12 +407,27 @@ def title_mentions(spark, sf_dir):
     return mt.title_mentions(graph_of(spark, sf_dir), _mention_texts(spark, sf_dir))
 
 
-@_query()
+def recursive(sql: str) -> str:
+    return sql.replace("with", "with recursive", 1)
+
+
+#: After a CTE mentions: the longer mention wins where two overlap, one after the other.
+LOCAL_SQL = """
+om as materialized (select *, row_number() over (partition by qid order by "start" - "end", "start", "end", title, node_id) as n from mentions),
+rec as (
+  select qid, cast(0 as bigint) as n, cast([] as struct(s integer, e integer, title varchar, node_id varchar)[]) as picked from (select distinct qid from om)
+  union all select rec.qid, om.n, case when len(list_filter(rec.picked, lambda x: x.s < om."end" and x.e > om."start")) > 0 then rec.picked else list_append(rec.picked, struct_pack(s := om."start", e := om."end", title := om.title, node_id := om.node_id)) end
+  from rec join om on om.qid = rec.qid and om.n = rec.n + 1),
+chosen as (select qid, unnest(picked) as x from (select qid, arg_max(picked, n) as picked from rec group by qid)),
+local as (select qid, cast(row_number() over (partition by qid order by x.s) - 1 as integer) as position, x.title as keyword, x.node_id as node_id from chosen)"""
+
+
+@_query(recursive(f"{MENTIONS_SQL}, {LOCAL_SQL} select * from local"))
 def local_keywords(spark, sf_dir):
     return mt.local_keywords(graph_of(spark, sf_dir), _mention_texts(spark, sf_dir))
 
 
-@_query()
+@_query(recursive(f"{MENTIONS_SQL}, {LOCAL_SQL} select qid, node_id, min(position) as position from local group by qid, node_id"))
 def mentioned_nodes(spark, sf_dir):
     return mt.mentioned_nodes(graph_of(spark, sf_dir), _mention_texts(spark, sf_dir))
 
@@ -427,7 +446,7 @@ REL_SQL = """rel as (select a.qid, e.source, e.target, e.description, e.pos from
 
 def _study(spark, sf_dir):
     graph = graph_of(spark, sf_dir)
-    return graph, nation_seeds(spark, sf_dir), pr.propagate(graph, nation_seeds(spark, sf_dir), STUDY)
+    return graph, nation_seeds(spark, sf_dir), kept(pr.propagate(graph, nation_seeds(spark, sf_dir), STUDY))
 
 
 @_query(f"{CONTEXT_SQL}, {REL_SQL} select * from rel")
@@ -445,7 +464,29 @@ def context_text(spark, sf_dir):
     return cx.context(graph, seeds, ranked)
 
 
-@_query()
+def _capped_sql(cap: int) -> str:
+    """Whole lines only: the entities that fit, then every relationship that still fits, in turn."""
+    def lines(name: str, nodes: str) -> str:
+        return f"""{name}_either as (select qid, node_id, max(s) as s from (select qid, node_id, 1 as s from {nodes} union all select qid, node_id, 0 from seeds) group by qid, node_id),
+{name}_edges as (select a.qid, e.source, e.target, e.description, e.pos from edges e join {name}_either a on a.node_id = e.source join {name}_either b on b.qid = a.qid and b.node_id = e.target
+  where e.source <> e.target and a.s + b.s > 0 qualify row_number() over (partition by a.qid, least(e.source, e.target), greatest(e.source, e.target), e.description order by e.pos) = 1),
+{name} as (select qid, '- ' || a.title || ' -> ' || b.title || ': ' || r.description as line, cast(row_number() over (partition by qid order by r.pos, 1) as bigint) as n from {name}_edges r join nodes a on a.id = source join nodes b on b.id = target)"""
+
+    head, tail = len(cx.ENTITIES), len(cx.RELATIONSHIPS) + 1
+    return recursive(f"""{CONTEXT_SQL},
+sized as (select qid, rank, node_id, '- ' || title || ': ' || nodes.description as line, {head} + sum(length('- ' || title || ': ' || nodes.description) + 1) over (partition by qid order by rank) as used from ranks join nodes on id = node_id),
+shown as (select * from sized where used <= {cap}), {lines('rl', 'shown')}, {lines('fl', 'sized')},
+ent as (select qid, string_agg(line, chr(10) order by rank) as t, string_agg(node_id, ',' order by rank) as ids, max(used) as used from shown group by qid),
+rec as (select qid, cast(0 as bigint) as n, cast(used + {tail} as bigint) as size, '' as t from ent union all
+  select rec.qid, rl.n, case when size + length(line) + 1 <= {cap} then size + length(line) + 1 else size end, case when size + length(line) + 1 <= {cap} then t || chr(10) || line else t end from rec join rl on rl.qid = rec.qid and rl.n = rec.n + 1),
+rels as (select qid, arg_max(t, n) as t from rec group by qid),
+part as (select ent.qid, '{cx.ENTITIES}' || chr(10) || ent.t || case when rels.t = '' then '' else chr(10) || '{cx.RELATIONSHIPS}' || rels.t end as context, ids from ent join rels using (qid)),
+fe as (select qid, string_agg(line, chr(10) order by rank) as t from sized group by qid), fr as (select qid, string_agg(line, chr(10) order by n) as t from fl group by qid),
+whole as (select fe.qid, '{cx.ENTITIES}' || chr(10) || fe.t || case when fr.t is null then '' else chr(10) || '{cx.RELATIONSHIPS}' || chr(10) || fr.t end as context from fe left join fr using (qid))
+select part.qid, part.context, ids as context_node_ids, part.context <> whole.context as context_truncated, cast(length(part.context) as integer) as context_characters from part join whole using (qid)""")
+
+
+@_query(_capped_sql(512))
 def context_capped(spark, sf_dir):
     graph, seeds, ranked = _study(spark, sf_dir)
     return cx.study_context(graph, seeds, ranked, seeds, max_chars=512).withColumn("context_node_ids", F.array_join("context_node_ids", ","))
@@ -626,3 +667,6 @@ from customer group by grouping sets ((c_mktsegment), (c_nationkey, c_mktsegment
 def judge_means(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("condition"), F.col("c_nationkey").cast("string").alias("dataset"), (1 + F.col("c_custkey") % 5).alias("correctness"), (1 + F.col("c_custkey") * 3 % 5).alias("completeness"))
     return me.judge_means(c).withColumns({x: F.round(x, 9) for x in ("correctness", "completeness")})
+
+
+from wayfare import more_queries  # noqa: E402, F401  registers its queries here

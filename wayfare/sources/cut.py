@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; one of this machine only for a local master without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="wayfare-")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path for a new folder there."""
+    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The table, written to the session's checkpoint folder; one of this machine is set only where there is none."""
+    """The table, written to the session's checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfare-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

@@ -18,6 +18,17 @@ def require_columns(df: DataFrame, required: set[str], name: str) -> DataFrame:
     return df
 
 
+def numbered(df: DataFrame, name: str = "pos") -> DataFrame:
+    """Adds the place of each row of files that are read whole by one task: files by name, rows as they stand in them."""
+    place, paths = F.monotonically_increasing_id(), sorted(df.inputFiles())
+    if len(paths) < 2:
+        return df.withColumn(name, place)
+    order = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "_path string, _file long")
+    found = df.withColumns({"_path": F.input_file_name(), "_row": place % (1 << 33)}).join(F.broadcast(order), "_path", "left")
+    number = F.when(F.col("_file").isNull(), F.raise_error(F.lit("a row of no known file"))).otherwise(F.col("_file") * (1 << 33) + F.col("_row"))
+    return found.withColumn(name, number).drop("_path", "_file", "_row")
+
+
 class Graph:
     """Nodes (id, title, description, pos) and edges (source, target, weight, description, pos).
 
@@ -32,7 +43,10 @@ class Graph:
 
     @classmethod
     def from_csv(cls, spark: SparkSession, nodes_path: str, edges_path: str, validate: bool = True) -> Graph:
-        """Reads two CSV files with headers: id, title[, description] and source, target[, weight, description]."""
+        """Reads two CSV files, or folders of them, with headers: id, title[, description] and source, target[, weight, description].
+
+        Fields may hold line ends, so a file is one task's work: a large graph comes in many files.
+        """
         options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"}
         nodes = require_columns(spark.read.options(**options).csv(nodes_path), {"id", "title"}, nodes_path)
         edges = require_columns(spark.read.options(**options).csv(edges_path), {"source", "target"}, edges_path)
@@ -42,10 +56,9 @@ class Graph:
             edges = edges.withColumn("description", F.lit(""))
         if "weight" not in edges.columns:
             edges = edges.withColumn("weight", F.lit(1.0))
-        # a multi-line file is one split, so ids that rise in it are the order of its rows
-        nodes = nodes.coalesce(1).select("id", "title", F.coalesce("description", F.lit("")).alias("description"), F.monotonically_increasing_id().alias("pos"))
+        nodes = numbered(nodes).select("id", "title", F.coalesce("description", F.lit("")).alias("description"), "pos")
         weight = F.when(F.col("weight").isNull(), F.raise_error(F.lit("an edge has an empty weight"))).otherwise(F.col("weight").cast("double"))
-        edges = edges.coalesce(1).select("source", "target", weight.alias("weight"), F.coalesce("description", F.lit("")).alias("description"), F.monotonically_increasing_id().alias("pos"))
+        edges = numbered(edges).select("source", "target", weight.alias("weight"), F.coalesce("description", F.lit("")).alias("description"), "pos")
         # a repeated id keeps its last row's values at its first row's place
         nodes = nodes.groupBy("id").agg(F.max_by("title", "pos").alias("title"), F.max_by("description", "pos").alias("description"), F.min("pos").alias("pos"))
         graph = cls(nodes, edges)
@@ -68,8 +81,11 @@ class Graph:
         ends = self.edges.select(F.col("source").alias("id")).union(self.edges.select(F.col("target").alias("id"))).distinct()
         return ends.join(self.nodes.select("id"), "id", "left_anti")
 
+    def not_unit(self) -> DataFrame:
+        return self.edges.where("weight <> 1.0")
+
     def require_unit_weights(self) -> None:
-        if not self.edges.where("weight <> 1.0").limit(1).isEmpty():
+        if not self.not_unit().limit(1).isEmpty():
             raise ValueError("this operator requires an unweighted graph")
 
     def require_no_isolated(self) -> None:
@@ -119,18 +135,34 @@ class Graph:
         folded = with_folded(self.nodes.select("id", "title", "pos"), "title", "norm")
         return folded.groupBy("norm").agg(F.max_by("id", "pos").alias("node_id"), F.min_by("title", "pos").alias("title"))
 
+    @cached_property
+    def longest_title(self) -> int:
+        """Characters of the longest folded title; looked up once a graph."""
+        return self.titles.agg(F.max(F.length("norm"))).first()[0] or 0
+
     @cached_property
     def postings(self) -> DataFrame:
         """(gram, norm, n_grams): the trigram index of the titles."""
         grams = self.titles.select("norm", trigrams(F.col("norm")).alias("grams"))
         return grams.select(F.explode("grams").alias("gram"), "norm", F.size("grams").alias("n_grams"))
 
+    @cached_property
+    def gram_counts(self) -> DataFrame:
+        """(gram, titles): how many titles hold a trigram."""
+        return self.postings.groupBy("gram").agg(F.count(F.lit(1)).alias("titles"))
+
     def keep(self, *names: str) -> Graph:
         """Persists derived tables, as transition, adjacency, biased, titles, postings."""
         for name in names:
             getattr(self, name).persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
+    def release(self) -> None:
+        """Gives back what keep() persisted."""
+        for name in ("transition", "adjacency", "biased", "titles", "postings", "degrees"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
+
     def save(self, prefix: str, buckets: int = 200) -> None:
         """Bucketed tables of the warehouse, so that propagation joins without moving the graph."""
         for name in ("transition", "biased"):
