@@ -77,7 +77,9 @@ def test_margin_is_inclusive_and_short_keywords(spark):
         mt.approximate_match(graph, words(spark, "a"), candidate_limit=0)
 
 
-def test_candidates_agree_with_brute_force(spark):
+@pytest.mark.parametrize("light", [0, 100_000])
+def test_candidates_agree_with_brute_force(spark, monkeypatch, light):
+    monkeypatch.setattr(mt, "LIGHT", light)
     titles = ["red bolt", "red belt", "blue bolt", "bold red", "gear", "gearing", "ring"]
     graph = library(spark, *titles)
     keys = ["red bolts", "geering", "bluebolt"]

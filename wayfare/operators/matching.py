@@ -85,31 +85,36 @@ def exact_match(graph: Graph, keywords: DataFrame) -> tuple[DataFrame, DataFrame
     return seeds, found.where("node_id is null").select("qid", "position", "keyword")
 
 
+#: Postings of a key's trigrams up to which it is joined with all of them at once.
+LIGHT = 100_000
+
+
 def trigram_candidates(graph: Graph, norms: DataFrame, limit: int = 50) -> DataFrame:
     """(key, norm, jaccard, place): the `limit` titles most like each folded text of (key), title order breaking ties.
 
-    A title that lacks the k rarest trigrams of a key of n has a similarity of (n - k) / n at most. So titles are first
-    scored that hold one of the rarer half of a key's trigrams; a key whose `limit`-th score is not above what the others can reach is
-    joined by all its trigrams. The result is that of joining all, but a trigram that most titles share is joined only for
-    keys that need it. A text under three characters that shares no trigram is compared with the first titles in order.
+    A key whose trigrams are held by many titles (LIGHT) is first joined by the rarer half of them: a title that lacks
+    the k rarest of n has a similarity of (n - k) / n at most. If the key's `limit`-th score is above that, it is done; else it is
+    joined by all, as light keys are. The result is the same either way. A text under three characters that shares no
+    trigram is compared with the first titles in order.
     """
     grams = norms.select("key", trigrams(F.col("key")).alias("g"))
     asked = grams.select("key", F.size("g").alias("n"), F.explode("g").alias("gram")).join(graph.gram_counts, "gram").select("key", "n", "gram", "titles")
-    asked = asked.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("titles", "gram")))
+    rarest = Window.partitionBy("key").orderBy("titles", "gram")
+    asked = asked.withColumns({"nth": F.row_number().over(rarest), "weight": F.sum("titles").over(Window.partitionBy("key"))})
     half = F.ceil(F.col("n") / 2)
     order = Window.partitionBy("key").orderBy(F.col("jaccard").desc(), "norm")
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        both = F.size(F.array_intersect(trigrams(F.col("key")), trigrams(F.col("norm"))))
+    def best(pairs: DataFrame, both: Column) -> DataFrame:
         jaccard = (both / (F.col("n") + F.col("n_grams") - both)).alias("jaccard")
         return pairs.select("key", "n", "norm", jaccard).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
-    rare = asked.where(F.col("nth") <= half).join(graph.postings, "gram").select("key", "n", "norm", "n_grams").distinct()
-    first = scored(rare)
+    heavy = asked.where(F.col("weight") > LIGHT)
+    rare = heavy.where(F.col("nth") <= half).join(graph.postings, "gram").select("key", "n", "norm", "n_grams").distinct()
+    first = best(rare, F.size(F.array_intersect(trigrams(F.col("key")), trigrams(F.col("norm")))))
     sure = first.where((F.col("place") == limit) & (F.col("jaccard") > (F.col("n") - half) / F.col("n"))).select("key")
-    every = asked.join(sure, "key", "left_anti").join(graph.postings, "gram").groupBy("key", "n", "norm", "n_grams").agg(F.count(F.lit(1)).alias("both"))
-    rest = every.select("key", "norm", (F.col("both") / (F.col("n") + F.col("n_grams") - F.col("both"))).alias("jaccard")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    near = first.join(sure, "key", "left_semi").select("key", "norm", "jaccard", "place").unionByName(rest)
+    rest = asked.where(F.col("weight") <= LIGHT).unionByName(heavy.join(sure, "key", "left_anti"))
+    shared = rest.join(graph.postings, "gram").groupBy("key", "n", "norm", "n_grams").agg(F.count(F.lit(1)).alias("both"))
+    near = best(shared, F.col("both")).unionByName(first.join(sure, "key", "left_semi")).select("key", "norm", "jaccard", "place")
     lost = norms.where(F.length("key") < 3).join(near.select("key").distinct(), "key", "left_anti")
     begin = graph.titles.select("norm").orderBy("norm").limit(limit)
     begin = begin.withColumn("place", F.row_number().over(Window.orderBy("norm")))

@@ -94,14 +94,15 @@ def biased_scores(graph: Graph, seeds: DataFrame, pairs: dict[str, tuple[float,
         raise ValueError("these weights require a decay of at least 0 and less than 1")
     masses = [f"m{i}" for i in range(len(pairs))]
     frontier = valid_seeds(graph, seeds).select("qid", "node_id", *[F.col("mass").alias(m) for m in masses])
+    degrees = graph.degrees.select(F.col("id").alias("node_id"), F.col("degree").cast("double").alias("degree"))
     if epsilon is None:  # what depends on the source alone is divided before the join, on the target after the sum
-        frontier = frontier.join(graph.degrees.select(F.col("id").alias("node_id"), F.col("degree").cast("double").alias("degree")), "node_id", "left")
+        frontier = frontier.join(degrees, "node_id", "left")
     total = frontier.select("qid", "node_id", *[((1 - decay) * F.col(m)).alias(m) for m in masses])
     for hop in range(1, depth + 1):
         if epsilon is None:
             given = frontier.select("qid", "node_id", *[_over(F.col(m), "degree", b).alias(m) for m, (_, b) in zip(masses, pairs.values())])
-            moved = given.join(graph.biased, F.col("node_id") == F.col("src")).groupBy("qid", F.col("dst").alias("node_id"), F.col("dst_degree").cast("double").alias("degree"))
-            moved = moved.agg(*[F.sum(m).alias(m) for m in masses])
+            moved = given.join(graph.adjacency, F.col("node_id") == F.col("src")).groupBy("qid", F.col("dst").alias("node_id"))
+            moved = moved.agg(*[F.sum(m).alias(m) for m in masses]).join(degrees, "node_id")
             frontier = moved.select("qid", "node_id", "degree", *[_over(F.col(m), "degree", a).alias(m) for m, (a, _) in zip(masses, pairs.values())])
         else:
             moved = frontier.join(graph.biased, F.col("node_id") == F.col("src"))
