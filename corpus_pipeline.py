@@ -54,8 +54,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     text = docs["text"]
     same = docs["doc_id"].eqNullSafe(found["_path"]) & (secret_scan.content_address(text) == found["_blob"])
     clean = F.when(F.col("_spans").isNull(), text).otherwise(secret_scan.redact(text, F.col("_spans")))
-    changed = docs.join(found, same, "left").withColumn("text", clean)
-    return changed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    changed = docs.join(found, same, "left").select(*[clean.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return changed.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
