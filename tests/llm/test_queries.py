@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def test_every_operator_has_a_query():
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES if n.startswith("op")} == {str(n) for n in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES if n.startswith("op")} == {str(n) for n in range(1, 14)}
     assert "pipeline" in queries.QUERIES and len(corpus_pipeline.STAGES) == 5
 
 

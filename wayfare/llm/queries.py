@@ -94,13 +94,33 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("removed")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import source_divergence
+
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import best_fit
+
+    return best_fit.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination, op6_token_files, op7_warc, op8_embedding_dedup, op9_packing, op10_repeats, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_secret_scan, op4_toxicity, op5_decontamination, op6_token_files, op7_warc, op8_embedding_dedup, op9_packing, op10_repeats, op11_source_divergence, op12_filter_audit, op13_best_fit, pipeline)}
 
 
 #: Links of documents by their whole sets, pair by pair; classes by following links.
@@ -161,7 +181,7 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 
 
 def _oracles() -> dict[str, str]:
-    from . import decontamination
+    from . import decontamination, filter_audit, source_divergence
 
     op7 = """
         with p as (select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n from pages),
@@ -171,7 +191,7 @@ def _oracles() -> dict[str, str]:
         from p left join g on p.h = g.h and n >= 100"""
     return {
         "op2_jaccard": JACCARD_SQL, "op3_secret_scan": _secrets_sql(), "op5_decontamination": decontamination.ORACLE, "op7_warc": op7,
-        "op8_embedding_dedup": EMBEDDING_SQL, "op10_repeats": REPEATS_SQL,
+        "op8_embedding_dedup": EMBEDDING_SQL, "op10_repeats": REPEATS_SQL, "op11_source_divergence": source_divergence.ORACLE, "op12_filter_audit": filter_audit.ORACLE,
     }
 
 
