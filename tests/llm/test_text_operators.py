@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -325,6 +326,36 @@ def test_masks_meet_every_three_substitutions():
         assert any(not set(gone) & {s + m for m in mask} for mask in decontamination.MASKS for s in range(15 - mask[-1]))
 
 
+def test_decontamination_of_repetitive_texts(spark):
+    """100,000 repeated words against an item of them: hits are many, places unlike each other few."""
+    words = "buy now " * 50_000
+    shifted = "one " + "buy now cheap " * 3000 + "end of it all"
+    texts = [words, words + "but this ends otherwise", shifted, "buy now", "buy now " * 5, "buy it " * 20, "sold " * 100_000]
+    bench = spark.createDataFrame([(1, "buy now " * 20), (2, "cheap buy now " * 9), (3, "sold " * 40 + "out"), (4, "sold sold sold"), (5, "now buy " * 3000)], "item_id long, text string")
+    began = time.perf_counter()
+    got = {(r["id"], r["item"]): (r["best"], r["needed"]) for r in decontamination.overlaps(docs(spark, texts), bench).collect()}
+    assert time.perf_counter() - began < 60
+    assert got == {(0, 1): (15, 12), (1, 1): (15, 12), (0, 5): (15, 12), (1, 5): (15, 12), (2, 2): (15, 12), (6, 3): (15, 12), (6, 4): (3, 3)}
+
+
+@pytest.mark.parametrize("places", [[4090, 4095, 4096, 4100, 8191]])
+def test_decontamination_across_chunks(spark, places):
+    """Overlaps where chunks of tokens meet, at a text's ends, and with items of more than a chunk."""
+    rng = random.Random(4)
+    item = [f"i{n}" for n in range(30)]
+    long = [f"l{n}" for n in range(9000)]
+    texts = []
+    for n, at in enumerate(places):
+        own = [f"d{n}x{rng.randrange(10**6)}" for _ in range(9000)]
+        own[at : at + 15] = item[10:25]
+        own[at + 3] = own[at + 7] = own[at + 11] = "changed"
+        texts.append(" ".join(own))
+    texts += [" ".join(["a"] * 3 + long[4085:4100]), " ".join(long[8990:] + ["z"] * 5000 + item[:12])]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long))], "item_id long, text string")
+    got = {(r["id"], r["item"]): r["best"] for r in decontamination.overlaps(docs(spark, texts), bench).collect()}
+    assert got == {**{(n, 1): 12 for n in range(len(places))}, (len(places), 2): 15, (len(places) + 1, 1): 12}
+
+
 def test_decontamination_by_items_shorter_than_the_window(spark):
     from itertools import combinations
 
