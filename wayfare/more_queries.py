@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import text as tx
@@ -38,19 +39,20 @@ def _questions(spark, sf_dir):
 
 
 def _csv_graph(spark, sf_dir) -> Graph:
-    """The trade graph's nodes and parts of its edges, written as CSV and read back."""
+    """The trade graph's nodes, of titles with quotes and line ends, and edges, each written as one CSV file, and read back by many tasks."""
     graph, folder = trade_graph(spark, sf_dir), scratch(spark, "csv-graph")
-    files.write_csv(graph.nodes.select("id", F.concat("title", F.lit(', "'), "description", F.lit('"')).alias("title"), "description"), f"{folder}/nodes")
-    files.write_csv(graph.edges.where("description <> 'bought'").select("source", "target", "weight", "description"), f"{folder}/edges")
+    files.write_csv(graph.nodes.select("id", F.concat("title", F.lit(', "\n'), "description", F.lit('"')).alias("title"), "description", "pos"), f"{folder}/nodes", ["pos"])
+    files.write_csv(graph.edges.select("source", "target", "weight", F.concat("description", F.lit("\n\n,"), "source").alias("description"), "pos"), f"{folder}/edges", ["pos"])
     return Graph.from_csv(spark, f"{folder}/nodes", f"{folder}/edges")
 
 
-@_query(f"""with {NODES_SQL} select id, title || ', "' || description || '"' as title, description from nodes""")
+@_query(f"""with {NODES_SQL} select id, title || ', "' || chr(10) || description || '"' as title, description, row_number() over (order by pos) as nth from nodes""")
 def csv_nodes(spark, sf_dir):
-    return _csv_graph(spark, sf_dir).nodes.select("id", "title", "description")
+    """nth: the rank of pos, which is the order of the file's lines."""
+    return _csv_graph(spark, sf_dir).nodes.select("id", "title", "description", F.row_number().over(Window.orderBy("pos")).cast("long").alias("nth"))
 
 
-@_query(f"with {NODES_SQL}, {EDGES_SQL} select source, target, description, count(*) as n, cast(sum(1) as double) as weight from edges where description <> 'bought' group by all")
+@_query(f"with {NODES_SQL}, {EDGES_SQL} select source, target, description || chr(10) || chr(10) || ',' || source as description, count(*) as n, cast(sum(1) as double) as weight from edges group by all")
 def csv_edges(spark, sf_dir):
     return _csv_graph(spark, sf_dir).edges.groupBy("source", "target", "description").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.text import trigrams, with_folded
 from wayfare.schema import NODES
+from wayfare.sources.quoted_csv import read_quoted_csv
 
 
 def require_columns(df: DataFrame, required: set[str], name: str) -> DataFrame:
@@ -45,20 +46,19 @@ class Graph:
     def from_csv(cls, spark: SparkSession, nodes_path: str, edges_path: str, validate: bool = True) -> Graph:
         """Reads two CSV files, or folders of them, with headers: id, title[, description] and source, target[, weight, description].
 
-        Fields may hold line ends, so a file is one task's work: a large graph comes in many files.
+        Fields may hold line ends; files are read by as many tasks as they have splits (see quoted_csv).
         """
-        options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"}
-        nodes = require_columns(spark.read.options(**options).csv(nodes_path), {"id", "title"}, nodes_path)
-        edges = require_columns(spark.read.options(**options).csv(edges_path), {"source", "target"}, edges_path)
+        nodes = require_columns(read_quoted_csv(spark, nodes_path), {"id", "title"}, nodes_path)
+        edges = require_columns(read_quoted_csv(spark, edges_path), {"source", "target"}, edges_path)
         if "description" not in nodes.columns:
             nodes = nodes.withColumn("description", F.lit(""))
         if "description" not in edges.columns:
             edges = edges.withColumn("description", F.lit(""))
         if "weight" not in edges.columns:
             edges = edges.withColumn("weight", F.lit(1.0))
-        nodes = numbered(nodes).select("id", "title", F.coalesce("description", F.lit("")).alias("description"), "pos")
+        nodes = nodes.select("id", "title", F.coalesce("description", F.lit("")).alias("description"), F.col("_pos").alias("pos"))
         weight = F.when(F.col("weight").isNull(), F.raise_error(F.lit("an edge has an empty weight"))).otherwise(F.col("weight").cast("double"))
-        edges = numbered(edges).select("source", "target", weight.alias("weight"), F.coalesce("description", F.lit("")).alias("description"), "pos")
+        edges = edges.select("source", "target", weight.alias("weight"), F.coalesce("description", F.lit("")).alias("description"), F.col("_pos").alias("pos"))
         # a repeated id keeps its last row's values at its first row's place
         nodes = nodes.groupBy("id").agg(F.max_by("title", "pos").alias("title"), F.max_by("description", "pos").alias("description"), F.min("pos").alias("pos"))
         graph = cls(nodes, edges)
@@ -73,8 +73,8 @@ class Graph:
 
     def validated(self) -> Graph:
         """Rejects edges whose endpoints are no nodes."""
-        if unknown := [r["id"] for r in self.unknown_endpoints().orderBy("id").limit(1000).collect()]:
-            raise ValueError(f"Edges refer to unknown node IDs: {unknown}")
+        if unknown := [r["id"] for r in self.unknown_endpoints().orderBy("id").limit(1001).collect()]:
+            raise ValueError(f"Edges refer to unknown node IDs: {unknown[:1000]}" + " and more" * (len(unknown) > 1000))
         return self
 
     def unknown_endpoints(self) -> DataFrame:
