@@ -24,6 +24,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 #: Labels in the order of their columns: all rows, rows of quality 1, rows of toxic 1.
 LABELS = ("all", "good", "toxic")
 
@@ -73,6 +75,8 @@ def masks(failed: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", good_
     named = F.sum(F.when(F.col("id").isNotNull(), F.col("n")).otherwise(0))
     # an id occurs once in each of these groups, so min_by gives how many rows have the smallest
     texts = own.groupBy("digest", "part", "mask", "good", "toxic").agg(F.sum("n").alias("n"), named.alias("named"), F.min("id").alias("own"), F.min_by("n", "id").alias("first"))
+    # written, as it is joined with itself: the documents are read once
+    texts = materialise(texts, "audited-texts")
     least = texts.groupBy("digest").agg(F.min("own").alias("least"))
     copies = F.col("named") - F.when(F.col("own") == F.col("least"), F.col("first")).otherwise(0)
     found = texts.join(least, "digest").select("part", "good", "toxic", "mask", "n", copies.alias("copies"))
@@ -133,7 +137,8 @@ def _oracle() -> str:
     values = ", ".join(f"('{o}', {n}, {own}, {before})" for o, n, own, before in steps)
     return rf"""
 with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
-w as (select *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') as w from d),
+w as (select *, list_filter(regexp_split_to_array(t, '[ 	-
+]+'), lambda x: x <> '') as w from d),
 f as (select doc_id, part, (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t))::int
     + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(min(doc_id) over (partition by t) < doc_id, false)::int as m from w),
 l as (select part, m, count(*) as n, count(*) filter (doc_id in (select doc_id from labels where quality = 1)) as good, count(*) filter (doc_id in (select doc_id from labels where toxic = 1)) as toxic from f group by all),
