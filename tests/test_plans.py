@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from test_graph import graph_of
 
 from wayfare import cli
+from wayfare.operators.propagation import propagate_biased
 from wayfare.plans import experiment, prepare, strategies, study
 from wayfare.schema import PAIRS, BiasConfig, Parameters
 from wayfare.sources import files
 from wayfare.sources.graph import Graph
-from wayfare.sources.language_model import Http, Replay, cache_key, parsed
+from wayfare.sources.language_model import LOG_FIELDS, Http, Replay, cache_key, parsed
+from wayfare.sources.model_calls import Calls, answers
 from wayfare.streaming.questions import answer_stream, question_stream
 
 
@@ -72,6 +74,19 @@ def test_biased_backend(spark, graph):
     assert nodes_of(got) == pytest.approx({("q0", "a"): 0.5, ("q0", "b"): 0.125, ("q0", "e"): 0.125})
 
 
+def test_backend_of_many_parameters(spark, graph):
+    """One plan for all questions' parameters gives what each alone would."""
+    seeds = spark.createDataFrame([("x", "a"), ("y", "a"), ("y", "d"), ("z", "b"), ("none", "zz")], "qid string, node_id string")
+    cells = {"x": Parameters(0, 0.2, 3), "y": Parameters(3, 0.5, 2), "z": Parameters(2, 0.0, 9)}
+    table = spark.createDataFrame([(q, p.depth, p.decay, p.top_k) for q, p in cells.items()], "qid string, depth int, decay double, top_k int")
+    for backend in (None, BiasConfig(0.5, 0.5, delta=0.3, relative_error=0.9), BiasConfig(query_type="N")):
+        got = propagate_biased(graph, seeds, PAIRS, table, backend=backend)
+        want = [r for q, p in cells.items() for r in rows(propagate_biased(graph, seeds.where(F.col("qid") == q), PAIRS, p, backend=backend))]
+        assert sorted((*r[:4], round(r[4], 12)) for r in rows(got)) == sorted((*r[:4], round(r[4], 12)) for r in want)
+    with pytest.raises(ValueError):
+        propagate_biased(graph, seeds, PAIRS, table.withColumn("decay", F.lit(1.0)))
+
+
 def test_experiment(spark, graph, tmp_path):
     path = tmp_path / "q.json"
     path.write_text(json.dumps([{"id": "1", "question": "What is Alpha?", "question_type": "direct", "relevant_node_ids": ["b", "e"]}, {"id": "2", "question": "What is Beta?", "question_type": "direct", "relevant_node_ids": ["a", "c"]}]))
@@ -108,7 +123,7 @@ def test_study(spark, graph):
         def complete(self, system, user, **_):
             return "Beta and Gamma" if "Alpha" in user.split("\n")[0] else "nothing"
 
-    given = study.answers(q, nine, Echo())
+    given = study.arm_answers(q, nine, Echo())
     assert given.count() == 18
     labels = spark.createDataFrame([("q0", ["a"], ["b", "e"]), ("q1", ["b"], ["a", "c"])], "qid string, seed_node_ids array<string>, relevant_node_ids array<string>")
     m = {(r["qid"], r["condition"]): r for r in study.answer_metrics(graph, given, nine, labels).collect()}
@@ -217,6 +232,56 @@ def test_cache_and_log(tmp_path):
         client.complete("s", "u", max_tokens=True)
 
 
+def counted(folder):
+    """Answers with the question in capitals, notes every call in a file, and fails for one question while a file is there."""
+
+    class Counted:  # not of this module by name, as workers can't import it
+        base_url, model = "http://x", "m"
+
+        def complete(self, system, user, *, json_mode=False, max_tokens=None):
+            import os
+
+            with open(f"{folder}/calls", "a") as out:
+                print(user, file=out)
+            if user == "q3" and os.path.exists(f"{folder}/broken"):
+                raise OSError("no route")
+            return f"{system} {user.upper()} {json_mode} {max_tokens}"
+
+    return Counted()
+
+
+def test_calls_go_through_the_table(spark, tmp_path):
+    """Two runs call each request once, whatever rows repeat it; a failed call raises, keeps the others and is made again."""
+    calls = Calls(counted(str(tmp_path)), str(tmp_path / "responses"), str(tmp_path / "log"), concurrency=2, per_task=2)
+    requests = spark.createDataFrame([(i, "s", f"q{i % 9}", i % 9 == 0, 5 if i % 9 == 1 else None) for i in range(30)], "content_id int, system string, user string, json_mode boolean, max_tokens int")
+    made = lambda: (tmp_path / "calls").read_text().split()
+    (tmp_path / "broken").touch()
+    with pytest.raises(RuntimeError, match="1 calls failed: OSError: no route"):
+        answers(requests, calls)
+    assert made().count("q3") == 1
+    (tmp_path / "broken").unlink()
+    before = set(made()) - {"q3"}
+    got = {(r["content_id"], r["user"]): r["content"] for r in answers(requests, calls).collect()}
+    assert got == {(i, f"q{i % 9}"): f"s Q{i % 9} {i % 9 == 0} {5 if i % 9 == 1 else None}" for i in range(30)}
+    assert sorted(made()) == sorted([*(f"q{i}" for i in range(9)), "q3"]) and before
+    assert answers(requests, calls).count() == 30 and len(made()) == 10
+    log = spark.read.json(str(tmp_path / "log")).collect()
+    assert set(log[0].asDict()) == set(LOG_FIELDS)
+    assert sum(r["network_request"] for r in log) == 10 and sum(r["status"] == "failed" for r in log) == 1
+    assert sum(r["cache_hit"] for r in log) == len(before) + 9
+    key = cache_key("http://x", "m", "s", "q1", False, 5)
+    assert {r["cache_key"] for r in log if r["max_tokens"] == 5} == {key}
+    # a damaged file is a miss, other options are another request
+    for path in (tmp_path / "responses").glob("*.parquet"):
+        path.write_bytes(b"damaged")
+        (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    assert answers(requests.where("content_id = 0"), calls).first()["content"] == "s Q0 True None" and len(made()) == 11
+    assert answers(requests.select("content_id", "system", "user").where("content_id = 0"), calls).first()["content"] == "s Q0 False None" and len(made()) == 12
+    assert answers(requests.where("false"), calls).collect() == []
+    with pytest.raises(ValueError):
+        Calls(calls.client, concurrency=0)
+
+
 def test_failed_calls_are_logged(tmp_path, monkeypatch):
     import io
     import urllib.error

@@ -61,7 +61,7 @@ def test_random_walk_arm_is_the_walk(spark):
 
 def test_biased_checks(spark):
     with pytest.raises(ValueError):
-        pr.biased_scores(graph_of(spark, "ab", [("a", "b", 1)]), seeds(spark, ("q", "a")), PAIRS, 1, 1.0)
+        pr.biased_scores(graph_of(spark, "ab", [("a", "b", 1)]), seeds(spark, ("q", "a")), PAIRS, Parameters(1, 1.0))
     with pytest.raises(ValueError):
         pr.propagate_biased(graph_of(spark, "ab", [("a", "b", 2)]), seeds(spark, ("q", "a")), check=True)
     with pytest.raises(ValueError):
@@ -72,7 +72,7 @@ def test_sampled_mode_keeps_the_mean(spark):
     ids = ["a"] + [f"b{i}" for i in range(400)]
     graph = graph_of(spark, ids, [("a", b, 1) for b in ids[1:]])
     own = seeds(spark, *[(f"q{i}", "a") for i in range(20)])
-    got = pr.biased_scores(graph, own, {"x": (0.0, 1.0)}, 1, 0.5, epsilon=0.01).where("node_id <> 'a'").groupBy("qid").sum("score").collect()
+    got = pr.biased_scores(graph, own, {"x": (0.0, 1.0)}, Parameters(1, 0.5), epsilon=0.01).where("node_id <> 'a'").groupBy("qid").sum("score").collect()
     means = [r[1] for r in got]
     assert sum(means) / len(means) == pytest.approx(0.25, rel=0.1)
 
@@ -94,7 +94,7 @@ def test_arms_together_are_the_arms_alone(spark):
     graph = graph_of(spark, "012345", TREE)
     own = seeds(spark, ("1", "5"), ("2", "1"), ("2", "4"))
     pairs = PAIRS | {"odd": (0.3, 0.9)}
-    got = {(r["qid"], r["arm"], r["node_id"]): r["score"] for r in pr.biased_scores(graph, own, pairs, 3, 0.4).collect()}
+    got = {(r["qid"], r["arm"], r["node_id"]): r["score"] for r in pr.biased_scores(graph, own, pairs, Parameters(3, 0.4)).collect()}
     degree = {r["id"]: r["degree"] for r in graph.degrees.collect()}
     edges = [tuple(r) for r in graph.adjacency.collect()]
     for arm, (a, b) in pairs.items():

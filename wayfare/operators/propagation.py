@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.schema import PAIRS, Parameters, positive
+from wayfare.schema import MAX_DEPTH, PAIRS, BiasConfig, Parameters, positive
 from wayfare.sources.graph import Graph
 
 DIGITS = 12
@@ -82,56 +82,76 @@ def _over(mass: Column, base: str, exponent: float) -> Column:
     return mass if by is None else mass / by
 
 
-def biased_scores(graph: Graph, seeds: DataFrame, pairs: dict[str, tuple[float, float]], depth: int, decay: float, *, epsilon: float | None = None, seed: int = 0) -> DataFrame:
+def biased_scores(graph: Graph, seeds: DataFrame, pairs: dict[str, tuple[float, float]], parameters: Parameters | DataFrame, *, epsilon: float | Column | None = None, seed: int = 0, max_depth: int | None = None) -> DataFrame:
     """(qid, arm, node_id, score): a hop divides by source degree ** b and target degree ** a; weights (1 - decay) * decay ** i.
 
     All arms walk together: a row of the frontier holds the mass of each, so a hop is one join and one aggregation
-    whatever their number. epsilon turns on the sampled mode: a contribution under it is raised to it with the
-    probability that keeps its mean, and dropped otherwise; the draw is a hash of question, arm, hop and edge, the same
-    under any partitioning.
+    whatever their number. So do all questions, each to its own depth, where parameters is a table (qid, depth, decay, top_k).
+    epsilon turns on the sampled mode: a contribution under it is raised to it with the probability that keeps its mean, and
+    dropped otherwise; the draw is a hash of question, arm, hop and edge, the same under any partitioning. It may depend on
+    the question's depth, the column `last`.
     """
-    if not 0 <= decay < 1:
+    masses, frontier = [f"m{i}" for i in range(len(pairs))], valid_seeds(graph, seeds)
+    if isinstance(parameters, Parameters):
+        own, depth, decay, wrong = [], parameters.depth, F.lit(float(parameters.decay)), not 0 <= parameters.decay < 1
+    else:
+        own, decay, wrong = ["last", "decay"], F.col("decay"), not parameters.where("decay < 0 or decay >= 1").limit(1).isEmpty()
+        depth = max_depth if max_depth is not None else parameters.agg(F.max("depth")).first()[0] or 0
+        frontier = frontier.join(parameters.select("qid", F.col("depth").alias("last"), "decay"), "qid")
+    if wrong:
         raise ValueError("these weights require a decay of at least 0 and less than 1")
-    masses = [f"m{i}" for i in range(len(pairs))]
-    frontier = valid_seeds(graph, seeds).select("qid", "node_id", *[F.col("mass").alias(m) for m in masses])
+    frontier = frontier.select("qid", "node_id", *own, *[F.col("mass").alias(m) for m in masses])
     degrees = graph.degrees.select(F.col("id").alias("node_id"), F.col("degree").cast("double").alias("degree"))
     if epsilon is None:  # what depends on the source alone is divided before the join, on the target after the sum
         frontier = frontier.join(degrees, "node_id", "left")
     total = frontier.select("qid", "node_id", *[((1 - decay) * F.col(m)).alias(m) for m in masses])
     for hop in range(1, depth + 1):
+        going = frontier.where(F.col("last") >= hop) if own else frontier
         if epsilon is None:
-            given = frontier.select("qid", "node_id", *[_over(F.col(m), "degree", b).alias(m) for m, (_, b) in zip(masses, pairs.values())])
-            moved = given.join(graph.adjacency, F.col("node_id") == F.col("src")).groupBy("qid", F.col("dst").alias("node_id"))
+            given = going.select("qid", "node_id", *own, *[_over(F.col(m), "degree", b).alias(m) for m, (_, b) in zip(masses, pairs.values())])
+            moved = given.join(graph.adjacency, F.col("node_id") == F.col("src")).groupBy("qid", F.col("dst").alias("node_id"), *own)
             moved = moved.agg(*[F.sum(m).alias(m) for m in masses]).join(degrees, "node_id")
-            frontier = moved.select("qid", "node_id", "degree", *[_over(F.col(m), "degree", a).alias(m) for m, (a, _) in zip(masses, pairs.values())])
+            frontier = moved.select("qid", "node_id", "degree", *own, *[_over(F.col(m), "degree", a).alias(m) for m, (a, _) in zip(masses, pairs.values())])
         else:
-            moved = frontier.join(graph.biased, F.col("node_id") == F.col("src"))
+            least = epsilon if isinstance(epsilon, Column) else F.lit(epsilon)
+            moved = going.join(graph.biased, F.col("node_id") == F.col("src"))
             drawn = []
             for m, (arm, (a, b)) in zip(masses, pairs.items()):
                 given = _over(_over(F.col(m), "src_degree", b), "dst_degree", a)
                 draw = F.pmod(F.xxhash64("qid", F.lit(arm), F.lit(hop), "src", "dst", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0
-                drawn.append(F.sum(F.when(given >= epsilon, given).when(draw * epsilon < given, F.lit(epsilon)).otherwise(F.lit(0.0))).alias(m))
-            frontier = moved.groupBy("qid", F.col("dst").alias("node_id")).agg(*drawn)
-        total = total.unionAll(frontier.select("qid", "node_id", *[((1 - decay) * decay**hop * F.col(m)).alias(m) for m in masses]))
+                drawn.append(F.sum(F.when(given >= least, given).when(draw * least < given, least).otherwise(F.lit(0.0))).alias(m))
+            frontier = moved.groupBy("qid", F.col("dst").alias("node_id"), *own).agg(*drawn)
+        total = total.unionAll(frontier.select("qid", "node_id", *[((1 - decay) * F.pow(decay, F.lit(hop)) * F.col(m)).alias(m) for m in masses]))
     summed = total.groupBy("qid", "node_id").agg(*[F.sum(m).alias(m) for m in masses])
     arms = F.array(*[F.struct(F.lit(arm).alias("arm"), F.col(m).alias("score")) for m, arm in zip(masses, pairs)])
     scored = summed.select("qid", "node_id", F.inline(arms)).select("qid", "arm", "node_id", "score")
     return scored.where((F.col("score") > 0) & ~F.isnan("score") & (F.col("score") < float("inf")))
 
 
-def propagate_biased(graph: Graph, seeds: DataFrame, pairs: dict[str, tuple[float, float]] = PAIRS, parameters: Parameters = Parameters(2, 0.3, 10), *, query_type: str = "N", check: bool = False, epsilon: float | None = None) -> DataFrame:
+def propagate_biased(graph: Graph, seeds: DataFrame, pairs: dict[str, tuple[float, float]] = PAIRS, parameters: Parameters | DataFrame = Parameters(2, 0.3, 10), *, query_type: str = "N", check: bool = False, epsilon: float | None = None, backend: BiasConfig | None = None, seed: int = 0) -> DataFrame:
     """(qid, arm, rank, node_id, score) for every (a, b) pair; ties go to the node that was loaded first.
 
-    check: reject weighted graphs, and for query type S isolated nodes, before anything runs.
+    parameters: one for all, or a table (qid, depth, decay, top_k). check: reject weighted graphs, and for query type S isolated
+    nodes, before anything runs. backend: query type S samples under its error bound, for each depth its own.
     """
-    parameters.validate()
+    if isinstance(parameters, Parameters):
+        parameters.validate()
     if check:
         graph.require_unit_weights()
         if query_type == "S":
             graph.require_no_isolated()
-    scored = biased_scores(graph, seeds, pairs, parameters.depth, parameters.decay, epsilon=epsilon)
+    if backend is not None and backend.validate().query_type == "S":
+        nodes = graph.nodes.count() if backend.delta is None else 0
+        if isinstance(parameters, Parameters):
+            epsilon = backend.threshold(nodes, parameters.depth)
+        else:
+            epsilon = F.coalesce(*[F.when(F.col("last") == d, F.lit(backend.threshold(nodes, d))) for d in range(MAX_DEPTH + 1)])
+    scored = biased_scores(graph, seeds, pairs, parameters, epsilon=epsilon, seed=seed)
     placed = scored.join(graph.nodes.select(F.col("id").alias("node_id"), "pos"), "node_id")
-    return ranked(placed, ["qid", "arm"], parameters.top_k, F.col("pos").asc()).select("qid", "arm", "rank", "node_id", "score")
+    top_k: int | Column = parameters.top_k if isinstance(parameters, Parameters) else F.col("top_k")
+    if not isinstance(parameters, Parameters):
+        placed = placed.join(parameters.select("qid", "top_k"), "qid")
+    return ranked(placed, ["qid", "arm"], top_k, F.col("pos").asc()).select("qid", "arm", "rank", "node_id", "score")
 
 
 def direct_neighbours(graph: Graph, seeds: DataFrame, *, top_k: int = 10, check: bool = False) -> DataFrame:

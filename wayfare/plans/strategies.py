@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from wayfare.operators.propagation import direct_neighbours, propagate, propagat
 from wayfare.schema import STRATEGIES, BiasConfig, Parameters
 from wayfare.sources.cut import kept
 from wayfare.sources.graph import Graph
-from wayfare.sources.language_model import Client, parsed
+from wayfare.sources.language_model import Client
+from wayfare.sources.model_calls import Calls, answers
 
 NO_ANSWER = "LLM answer generation skipped. Set OPENAI_API_KEY to generate an answer."
 _DEPTHS = "depth: 1 for direct facts, 2 to explain or compare, 3 for chains of links; decay: from 0 to 1, the weight of far evidence; top_k: 5, 10 or 20."
@@ -35,19 +38,43 @@ class Plan:
     parameters: DataFrame
 
 
-def _model_parameters(data: dict) -> Parameters:
-    found = Parameters(int(data["depth"]), float(data["decay"]), int(data["top_k"])).validate()
-    if found.top_k not in {5, 10, 20}:
-        raise ValueError("LLM top_k must be 5, 10, or 20")
-    return found
+_PLANNED = "struct<depth:int,decay:double,top_k:int,words:array<string>,fault:string>"
 
 
-def _model_keywords(data: dict) -> list[str]:
-    return [str(x).strip() for x in data.get("keywords", []) if str(x).strip()]
+def _read(content: str, strategy: str) -> dict:
+    """The parts of a plan that the strategy takes from a model's JSON, or what is wrong with it."""
+    try:
+        data = json.loads(content)
+        if not isinstance(data, dict):
+            raise ValueError("the model must return a JSON object")
+        found: dict = {"words": [str(x).strip() for x in data.get("keywords", []) if str(x).strip()]}
+        if strategy != "llm-keywords":
+            own = Parameters(int(data["depth"]), float(data["decay"]), int(data["top_k"])).validate()
+            if own.top_k not in {5, 10, 20}:
+                raise ValueError("LLM top_k must be 5, 10, or 20")
+            found |= asdict(own)
+        return found
+    except (KeyError, TypeError, ValueError) as error:
+        return {"fault": f"{type(error).__name__}: {error}"}
 
 
-def plan(graph: Graph, questions: DataFrame, strategy: str, *, fixed: Parameters | None = None, client: Client | None = None) -> Plan:
-    """questions: (qid, question). Strategies with a model ask it once a distinct question, from the driver."""
+def model_plans(questions: DataFrame, strategy: str, client: Calls | Client) -> DataFrame:
+    """(question, depth, decay, top_k, words) of every distinct question, from a model; the first fault raises."""
+
+    @F.arrow_udf(_PLANNED)
+    def read(content: pa.Array) -> pa.Array:
+        kind = pa.struct([("depth", pa.int32()), ("decay", pa.float64()), ("top_k", pa.int32()), ("words", pa.list_(pa.string())), ("fault", pa.string())])
+        return pa.array([_read(x, strategy) for x in content.to_pylist()], kind)
+
+    asked = questions.select("question").distinct().select(F.lit(PROMPTS[strategy]).alias("system"), F.col("question").alias("user"), F.lit(True).alias("json_mode"))
+    found = kept(answers(asked, client).select(F.col("user").alias("question"), read("content").alias("p")).select("question", "p.*"))
+    if fault := found.where("fault is not null").orderBy("question").first():
+        raise ValueError(f"{fault['fault']} (asked for {fault['question']!r})")
+    return found.drop("fault")
+
+
+def plan(graph: Graph, questions: DataFrame, strategy: str, *, fixed: Parameters | None = None, client: Calls | Client | None = None) -> Plan:
+    """questions: (qid, question). Strategies with a model ask it once a distinct question (see model_calls)."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
     fixed = (fixed or Parameters()).validate()
@@ -64,18 +91,13 @@ def plan(graph: Graph, questions: DataFrame, strategy: str, *, fixed: Parameters
             folded = with_folded(questions, "question", "norm").select("qid", rule_parameters(F.col("norm")).alias("p"))
             return Plan(keywords, folded.select("qid", "p.*"))
         return Plan(keywords, same(fixed if strategy == "fixed" else Parameters(0, 0.0, 10)))
-    # a model is asked from the driver: its endpoint, not the cluster, is the bottleneck
-    texts = {r["question"] for r in questions.select("question").distinct().toLocalIterator()}
-    answers = {text: parsed(client, PROMPTS[strategy], text) for text in sorted(texts)}
-    spark = graph.spark
+    planned = model_plans(questions, strategy, client)
     parameters = same(fixed)
     if strategy != "llm-keywords":
-        rows = [(t, p.depth, p.decay, p.top_k) for t, p in ((t, _model_parameters(a)) for t, a in answers.items())]
-        parameters = questions.join(spark.createDataFrame(rows, "question string, depth int, decay double, top_k int"), "question").drop("question")
+        parameters = questions.join(planned.select("question", "depth", "decay", "top_k"), "question").drop("question")
     if strategy.startswith("llm-parameters"):
         return Plan(matching.keywords_or_heuristic(graph, questions), parameters)
-    named = spark.createDataFrame([(t, _model_keywords(a)) for t, a in answers.items()], "question string, words array<string>")
-    own = questions.join(named, "question")
+    own = questions.join(planned.select("question", "words"), "question")
     if strategy == "llm-keywords":
         exact = explicit_user_ids(F.col("question"))
         own = own.withColumn("words", F.when(F.size(exact) > 0, exact).otherwise(F.col("words")))
@@ -98,7 +120,7 @@ class Run:
     contexts: DataFrame
 
 
-def run(graph: Graph, questions: DataFrame, strategy: str = "rules", *, fixed: Parameters | None = None, client: Client | None = None, match_mode: str = "exact", threshold: float = 0.85, margin: float = 0.10, backend: BiasConfig | None = None) -> Run:
+def run(graph: Graph, questions: DataFrame, strategy: str = "rules", *, fixed: Parameters | None = None, client: Calls | Client | None = None, match_mode: str = "exact", threshold: float = 0.85, margin: float = 0.10, backend: BiasConfig | None = None) -> Run:
     """All questions at once: keywords, seeds, propagation, context.
 
     backend: None walks the weighted graph; a BiasConfig walks the simple graph with its degree exponents: exactly for query
@@ -119,14 +141,7 @@ def run(graph: Graph, questions: DataFrame, strategy: str = "rules", *, fixed: P
     if backend is None:
         ranked = propagate(graph, seeds, own.parameters)
     else:
-        backend.validate()
-        nodes = graph.nodes.count() if backend.query_type == "S" and backend.delta is None else 0
-        cells = [tuple(r) for r in own.parameters.select("depth", "decay", "top_k").distinct().collect()]
-        ranked = None
-        for depth, decay, top_k in cells:
-            chosen = own.parameters.where((F.col("depth") == depth) & (F.col("decay") == decay) & (F.col("top_k") == top_k)).select("qid")
-            part = propagate_biased(graph, seeds.join(chosen, "qid", "left_semi"), {"one": (backend.a, backend.b)}, Parameters(depth, decay, top_k), query_type=backend.query_type, check=True, epsilon=backend.threshold(nodes, depth)).drop("arm")
-            ranked = part if ranked is None else ranked.unionByName(part)
+        ranked = propagate_biased(graph, seeds, {"one": (backend.a, backend.b)}, own.parameters, query_type=backend.query_type, check=True, backend=backend).drop("arm")
     ranked = kept(ranked)
     return Run(own, seeds, matches, unmatched, ranked, context(graph, questions.select(F.col("qid").cast("string").alias("qid")), ranked))
 
@@ -147,13 +162,12 @@ def results(graph: Graph, questions: DataFrame, strategy: str, done: Run) -> Dat
     return out.join(done.plan.parameters, "qid", "left").join(nodes, "qid", "left").join(done.contexts, "qid", "left")
 
 
-def answered(rows: DataFrame, client: Client | None) -> DataFrame:
-    """Adds answer: from the model, asked from the driver once a (question, context), or the words that it was skipped."""
+def answered(rows: DataFrame, client: Calls | Client | None) -> DataFrame:
+    """Adds answer: from the model, asked once a (question, context), or the words that it was skipped."""
     if client is None:
         return rows.withColumn("answer", F.lit(NO_ANSWER))
-    asked = [(r["question"], r["context"]) for r in rows.select("question", "context").distinct().toLocalIterator()]
-    got = [(q, c, client.complete(PROMPTS["answer"], f"Question: {q}\n\nGraph context:\n{c}")) for q, c in asked]
-    return rows.join(rows.sparkSession.createDataFrame(got, "question string, context string, answer string"), ["question", "context"], "left")
+    user = F.concat(F.lit("Question: "), "question", F.lit("\n\nGraph context:\n"), F.coalesce("context", F.lit("")))
+    return answers(rows.withColumns({"system": F.lit(PROMPTS["answer"]), "user": user}), client).withColumnRenamed("content", "answer").drop("system", "user")
 
 
 def neighbours_baseline(graph: Graph, seeds: DataFrame, top_k: int = 10) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.text import any_fold, seeded_order
@@ -13,7 +15,8 @@ from wayfare.plans.strategies import ordered
 from wayfare.schema import PAIRS, STUDY
 from wayfare.sources.cut import kept
 from wayfare.sources.graph import Graph
-from wayfare.sources.language_model import Client, parsed
+from wayfare.sources.language_model import Client
+from wayfare.sources.model_calls import Calls, answers
 
 ANSWER_PROMPT = "Answer the question briefly and name every entity asked for. Where graph context is given, rely on it alone for facts of the graph. If what you have does not suffice, say so."
 ARM_PROMPT = "Choose one retrieval arm for the question, from the wording alone: C2, C3, C4, C5 or C6, from a plain random walk to full weight on low-degree targets. Return a JSON object with the key arm."
@@ -56,15 +59,21 @@ def contexts(graph: Graph, questions: DataFrame, keywords: DataFrame, arm_by_typ
     return empty.unionByName(rows).unionByName(copied)
 
 
-def model_choices(questions: DataFrame, client: Client) -> DataFrame:
+def model_choices(questions: DataFrame, client: Calls | Client) -> DataFrame:
     """(qid, arm) that a model chooses by wording; every question is decided before any answer is read."""
-    decided = []
-    for r in questions.select("qid", "question").orderBy("qid").toLocalIterator():
-        data = parsed(client, ARM_PROMPT, r["question"])
-        if set(data) != {"arm"} or data["arm"] not in PAIRS:
-            raise ValueError("the model must return one of the five arms")
-        decided.append((r["qid"], data["arm"]))
-    return questions.sparkSession.createDataFrame(decided, "qid string, arm string")
+    asked = questions.select("qid", F.lit(ARM_PROMPT).alias("system"), F.col("question").alias("user"), F.lit(True).alias("json_mode"))
+    arm = json_value("content", "arm")
+    # one key, and one of the arms: anything else is no decision
+    sound = (F.json_object_keys("content") == F.array(F.lit("arm"))) & arm.isin(*[json.dumps(a) for a in PAIRS])
+    found = kept(answers(asked, client).select("qid", F.when(sound, F.get_json_object("content", "$.arm")).alias("arm")))
+    if not found.where("arm is null").limit(1).isEmpty():
+        raise ValueError("the model must return one of the five arms")
+    return found
+
+
+def json_value(column: str, name: str) -> Column:
+    """The JSON text of a value of a JSON object: quotes tell a text from a number; null where there is none."""
+    return F.to_json(F.variant_get(F.try_parse_json(column), f"$.{name}", "variant"))
 
 
 def add_model_arm(rows: DataFrame, choices: DataFrame) -> DataFrame:
@@ -77,18 +86,21 @@ def generation_order(questions: DataFrame, seed: int, conditions: tuple[str, ...
     return questions.select("qid", seeded_order(seed, F.col("qid"), conditions).alias("generation_order"))
 
 
-def answers(questions: DataFrame, rows: DataFrame, client: Client, seed: int = 90055, max_tokens: int = 256) -> DataFrame:
-    """(qid, condition, answer): the model answers C0 to C6 of every question in its order; C7 and C8 copy theirs."""
+def arm_answers(questions: DataFrame, rows: DataFrame, client: Calls | Client, seed: int = 90055, max_tokens: int = 256) -> DataFrame:
+    """(qid, condition, answer): the model answers C0 to C6 of every question; C7 and C8 copy theirs.
+
+    generation_order says which arms are asked; as requests are independent of each other and answered once each, executors take
+    them in any order.
+    """
     if isinstance(max_tokens, bool) or max_tokens < 1:
         raise ValueError("max_tokens must be a positive whole number")
     order = generation_order(questions, seed)
-    asked = questions.select("qid", "question").join(order, "qid").select("qid", "question", F.posexplode("generation_order").alias("turn", "condition"))
-    asked = asked.join(rows.select("qid", "condition", "context"), ["qid", "condition"]).orderBy("qid", "turn")
-    got = []
-    for r in asked.toLocalIterator():
-        user = f"Question: {r['question']}" + (f"\n\nGraph context:\n{r['context']}" if r["context"] else "")
-        got.append((r["qid"], r["condition"], client.complete(ANSWER_PROMPT, user, max_tokens=max_tokens)))
-    own = questions.sparkSession.createDataFrame(got, "qid string, condition string, answer string")
+    asked = questions.select("qid", "question").join(order, "qid").select("qid", "question", F.explode("generation_order").alias("condition"))
+    asked = asked.join(rows.select("qid", "condition", "context"), ["qid", "condition"])
+    graph_context = F.when(F.coalesce("context", F.lit("")) != "", F.concat(F.lit("\n\nGraph context:\n"), "context")).otherwise("")
+    user = F.concat(F.lit("Question: "), "question", graph_context)
+    own = kept(answers(asked.select("qid", "condition", F.lit(ANSWER_PROMPT).alias("system"), user.alias("user"), F.lit(max_tokens).alias("max_tokens")), client))
+    own = own.select("qid", "condition", F.col("content").alias("answer"))
     copies = rows.where("reused_from is not null").select("qid", F.col("condition").alias("name"), F.col("reused_from").alias("condition"))
     return own.unionByName(own.join(copies, ["qid", "condition"]).select("qid", F.col("name").alias("condition"), "answer"))
 
@@ -167,23 +179,18 @@ def analyse(rows: DataFrame, questions: DataFrame, matched: DataFrame, *, sample
 JUDGE_PROMPT = "Rate the candidate's answer against the gold entities alone: correctness and completeness, each a whole number from 1 (worst) to 5 (best). Return a JSON object with correctness, completeness and a short reason."
 
 
-def pilot(questions: DataFrame, given: DataFrame, judge: Client, conditions: tuple[str, ...] = ("C0", "C1", "C7", "C8"), seed: int = 90055) -> dict[str, DataFrame]:
+def pilot(questions: DataFrame, given: DataFrame, judge: Calls | Client, conditions: tuple[str, ...] = ("C0", "C1", "C7", "C8"), seed: int = 90055) -> dict[str, DataFrame]:
     """A blinded pilot: one question of each type by hash, answers under letters, a judge's checked ratings and their means.
 
     questions: (qid, question, question_type, dataset, gold: text); given: (qid, condition, answer).
     """
-    import json
-
-    spark = questions.sparkSession
     chosen = questions.join(selection.hash_sample(questions, seed).select("qid"), "qid", "left_semi")
     cases = blind_cases(given.join(chosen.select("qid"), "qid", "left_semi"), seed, conditions)
-    rated = []
-    for r in cases.join(chosen, "qid").orderBy("qid", "label").toLocalIterator():
-        user = f"Question: {r['question']}\nGold entities: {r['gold']}\nCandidate {r['label']}: {r['answer']}"
-        data = parsed(judge, JUDGE_PROMPT, user)
-        # as JSON, so that true and 3.0 are seen to be no ratings
-        rated.append((r["qid"], r["dataset"], r["condition"], json.dumps(data.get("correctness")), json.dumps(data.get("completeness")), data.get("reason") if isinstance(data.get("reason"), str) else None))
-    raw = spark.createDataFrame(rated, "qid string, dataset string, condition string, correctness string, completeness string, reason string")
+    user = F.concat(F.lit("Question: "), "question", F.lit("\nGold entities: "), "gold", F.lit("\nCandidate "), "label", F.lit(": "), "answer")
+    asked = cases.join(chosen, "qid").select("qid", "dataset", "condition", F.lit(JUDGE_PROMPT).alias("system"), user.alias("user"), F.lit(True).alias("json_mode"))
+    # numbers as JSON, so that true and 3.0 are seen to be no ratings; a reason is a text
+    reason = F.when(json_value("content", "reason").startswith('"'), F.get_json_object("content", "$.reason"))
+    raw = kept(answers(asked, judge)).select("qid", "dataset", "condition", json_value("content", "correctness").alias("correctness"), json_value("content", "completeness").alias("completeness"), reason.alias("reason"))
     checked = metrics.valid_ratings(raw)
     return {"cases": cases, "ratings": checked, "means": metrics.judge_means(checked)}
 
@@ -191,18 +198,17 @@ def pilot(questions: DataFrame, given: DataFrame, judge: Client, conditions: tup
 TWO_ARMS = {"model": "Answer the question briefly and name every entity asked for. Say so if you do not know.", "grounded": ANSWER_PROMPT}
 
 
-def answer_quality(graph: Graph, questions: DataFrame, found: DataFrame, client: Client, seed: int = 90055) -> dict[str, DataFrame]:
+def answer_quality(graph: Graph, questions: DataFrame, found: DataFrame, client: Calls | Client, seed: int = 90055) -> dict[str, DataFrame]:
     """Two arms, without and with the saved context (qid, context): answers, metrics, means, and blind pairs.
 
     questions: (qid, question, seed_node_ids, relevant_node_ids).
     """
     from wayfare.functions.text import blind_first, pair_id
 
-    spark, got = questions.sparkSession, []
-    for r in questions.select("qid", "question").join(found, "qid").orderBy("qid").toLocalIterator():
-        got.append((r["qid"], "C0", client.complete(TWO_ARMS["model"], r["question"])))
-        got.append((r["qid"], "C1", client.complete(TWO_ARMS["grounded"], f"Question: {r['question']}\n\nGraph context:\n{r['context']}")))
-    given = spark.createDataFrame(got, "qid string, condition string, answer string")
+    both = questions.select("qid", "question").join(found, "qid")
+    grounded = F.concat(F.lit("Question: "), "question", F.lit("\n\nGraph context:\n"), "context")
+    arms = F.array(F.struct(F.lit("C0").alias("condition"), F.lit(TWO_ARMS["model"]).alias("system"), F.col("question").alias("user")), F.struct(F.lit("C1").alias("condition"), F.lit(TWO_ARMS["grounded"]).alias("system"), grounded.alias("user")))
+    given = kept(answers(both.select("qid", F.inline(arms)), client)).select("qid", "condition", F.col("content").alias("answer"))
     rows = answer_metrics(graph, given, found.select("qid", F.lit("C1").alias("condition"), "context"), questions.select("qid", "seed_node_ids", "relevant_node_ids"))
     means = metrics.macro(rows, ["condition"], ("entity_precision", "entity_recall", "entity_f1", "context_faithfulness"))
     both = given.groupBy("qid").pivot("condition", ["C0", "C1"]).agg(F.first("answer"))
