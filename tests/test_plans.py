@@ -10,6 +10,7 @@ from wayfare.operators.propagation import propagate_biased
 from wayfare.plans import experiment, prepare, strategies, study
 from wayfare.schema import PAIRS, BiasConfig, Parameters
 from wayfare.sources import files
+from wayfare.sources.cut import kept
 from wayfare.sources.graph import Graph
 from wayfare.sources.language_model import LOG_FIELDS, Http, Replay, cache_key, parsed
 from wayfare.sources.model_calls import Calls, answers
@@ -156,20 +157,40 @@ def test_generate(spark):
     ring = [(ids[i], ids[(i + k) % 40], 1) for i in range(40) for k in (1, 7)]
     graph = graph_of(spark, ids, ring, {x: f"Title {x}" for x in ids})
     kinds = spark.createDataFrame([(x, "k") for x in ids], "id string, category string")
-    used = set()
-    q = prepare.generate(graph, kinds, 1, used=used, seed=1)
+    q = kept(prepare.generate(graph, kinds, 1, seed=1))
     own = q.select(F.col("id").alias("qid"), "question_type", F.col("seed_node_ids").alias("seeds"), F.col("relevant_node_ids").alias("relevant"))
     from wayfare.operators.topology import label_faults
 
     assert rows(label_faults(graph, own, kinds, ordered_paths=True)) == [] and q.count() == 4
-    more = prepare.generate(graph, kinds, 1, name="b", used=used, seed=1)
+    more = prepare.generate(graph, kinds, 1, name="b", used=prepare.used_seeds(q), seed=1)
     prepare.require_disjoint(q, more)
     with pytest.raises(ValueError):
         prepare.require_disjoint(q, q)
+    with pytest.raises(RuntimeError, match="created only"):
+        prepare.generate(graph, kinds, 30)
     again = prepare.rephrase_paths(q, graph, "pages", "links")
     assert again.where("question like 'To get from%'").count() == 1
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_first_disjoint_is_the_sequential_choice(spark, seed):
+    import random
+
+    from wayfare.operators.selection import first_disjoint
+
+    rng = random.Random(seed)
+    own = {(rng.randrange(40), tuple(sorted(rng.sample("abcdefghijklmnopqrstuvwxyz", rng.choice([1, 2, 2, 3]))))) for _ in range(60)}
+    want, used = [], set()
+    for at, seeds in sorted(own):
+        if used.isdisjoint(seeds):
+            used.update(seeds)
+            want.append((at, list(seeds)))
+    df = spark.createDataFrame([(at, list(x)) for at, x in own], "at int, seeds array<string>")
+    for n in (1, 5, 100):
+        assert [tuple(r) for r in first_disjoint(df.union(df), n).orderBy("at", "seeds").collect()] == want[:n]
+    assert first_disjoint(df.where("false"), 3).collect() == []
+
+
 def test_files(spark, tmp_path, monkeypatch):
     env = tmp_path / ".env"
     env.write_text("# note\nexport A='x y'\nB=2\n\n")

@@ -216,11 +216,48 @@ def question_candidates(spark, sf_dir):
     return found.select("question_type", F.array_join("seeds", ",").alias("seeds"), F.array_join("relevant", ",").alias("relevant"))
 
 
-@_query(f"""{SPARSE}, two as (select 's' || s_suppkey as start, x.dst as l, y.dst as r from supplier join adj x on x.src = 's' || s_suppkey join adj y on y.src = x.dst where y.dst <> 's' || s_suppkey)
-select distinct start as qid, z.dst as node_id from two join adj z on z.src = r where z.dst <> start and z.dst <> l""")
+def _walks_sql(starts: str, start: str) -> str:
+    """CTEs that end in walks (qid, node_id), from a table adj: the first 250 neighbours, walks of two edges and ends, by digest."""
+    first = lambda by, *columns: f"row_number() over (partition by {by} order by sha256('0|' || {by} || '|' || {' || chr(124) || '.join(columns)}), {', '.join(columns)}) <= 250"
+    return f"""adj_k as materialized (select src, dst from adj qualify {first('src', 'dst')}),
+walk2 as (select {start} as qid, x.dst as l, y.dst as r from {starts} join adj_k x on x.src = {start} join adj_k y on y.src = x.dst where y.dst <> {start} qualify {first('qid', 'l', 'r')}),
+walk3 as (select distinct qid, z.dst as node_id from walk2 join adj_k z on z.src = r where z.dst <> qid and z.dst <> l),
+walks as (select * from walk3 qualify {first('qid', 'node_id')})"""
+
+
+@_query(f"""{G.replace("adj as (", "adj as materialized (")}, starts as (select 's' || s_suppkey as s from supplier), {_walks_sql('starts', 's')} select qid, node_id from walks""")
 def walks_of_three(spark, sf_dir):
     node = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
-    return tp.path_candidates(_sparse(spark, sf_dir), read(spark, sf_dir, "supplier").select(node.alias("qid"), node.alias("start")), limit=10**9)
+    return tp.path_candidates(graph_of(spark, sf_dir), read(spark, sf_dir, "supplier").select(node.alias("qid"), node.alias("start")))
+
+
+def _generated_sql(per_type: int) -> str:
+    """The candidates of all four types, then one after the other, each unless its seeds are used or its type is full."""
+    seeds = "list_aggregate(seeds, 'string_agg', '|')"
+    return recursive(f"""{SPARSE.replace("description = 'from' and pos", "description in ('from', 'bought') and pos")}, {CATEGORY_SQL}, {TWO_SQL}, near as (select id from deg where degree between 2 and 30), ends as (select id from deg where degree between 2 and 12), {_walks_sql('ends', 'id')},
+direct as (select 0 as t, [d.id] as seeds, list(dst order by dst) as relevant from deg d join adj on src = d.id where degree between 3 and 10 group by d.id),
+pairs as (select a, b from two where a in (from near) and b in (from near) and a < b),
+common as (select 1, [a, b], list(x.dst order by x.dst) from pairs join adj x on x.src = a join adj y on y.src = b and y.dst = x.dst group by a, b having count(*) between 2 and 10),
+far as (select qid as s, node_id as t from walks where node_id in (from ends) and (qid, node_id) not in (select (src, dst) from adj) and (qid, node_id) not in (select (x.src, y.dst) from adj x join adj y on y.src = x.dst)),
+paths as (select 2, [s, far.t], [min(x.dst), min(z.src)] from far join adj x on x.src = s join adj y on y.src = x.dst join adj z on z.src = y.dst and z.dst = far.t where y.dst <> s and x.dst <> far.t group by s, far.t having count(*) = 1),
+alike as (select 3, [a], list(b order by b) from two join cat ca on ca.id = a join cat cb on cb.id = b and cb.category = ca.category where a in (from near) group by a having count(*) between 3 and 10),
+every as (select * from direct union all select * from common union all select * from paths union all select * from alike),
+named as (select t, seeds, relevant, ['direct', 'comparison', 'path', 'similarity'][t + 1] as kind from every),
+-- a choice depends on those before it alone, and four of each type are among the first 200
+firsts as materialized (select *, sha256('0|' || kind || '|' || {seeds}) as digest from named qualify row_number() over (partition by t order by digest, seeds) <= 200),
+turns as materialized (select *, row_number() over (order by t, digest, seeds) as n from firsts),
+rec as (select cast(0 as bigint) as n, cast([] as varchar[]) as used, [0, 0, 0, 0] as had, cast(null as integer) as nth union all
+  select turns.n, case when ok then list_concat(used, seeds) else used end, case when ok then list_transform(had, lambda x, i: x + (i = turns.t + 1)::int) else had end, case when ok then had[turns.t + 1] + 1 end
+  from rec join turns on turns.n = rec.n + 1 cross join lateral (select had[turns.t + 1] < {per_type} and not list_has_any(used, seeds) as ok))
+select 'set_' || kind || '_' || lpad(nth::varchar, 2, '0') as id, kind as question_type, list_aggregate(seeds, 'string_agg', ',') as seeds, list_aggregate(relevant, 'string_agg', ',') as relevant from rec join turns using (n) where nth is not null""")
+
+
+@_query(_generated_sql(4))
+def generated_questions(spark, sf_dir):
+    """Four questions of each type about orders' seventh lines, customers to parts to suppliers; no seed is used twice."""
+    graph = trade_graph(spark, sf_dir)
+    found = prepare.generate(Graph(graph.nodes, graph.edges.where("description in ('from', 'bought') and pos % 1000 = 7")), _categories(spark, sf_dir), 4)
+    return found.select("id", "question_type", F.array_join("seed_node_ids", ",").alias("seeds"), F.array_join("relevant_node_ids", ",").alias("relevant"))
 
 
 @_query(f"""{SPARSE}, {CATEGORY_SQL}, {TWO_SQL}

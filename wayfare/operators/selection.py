@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from wayfare.functions.text import question_type, seeded_digest
 from wayfare.operators.metrics import harmonic, retrieval_metrics
 from wayfare.operators.propagation import hop_masses, ranked
-from wayfare.schema import PAIRS, QUESTION_TYPES
+from wayfare.schema import PAIRS, QUESTION_TYPES, positive
+from wayfare.sources.cut import kept
 from wayfare.sources.graph import Graph
 
 DIGITS = 12
@@ -171,6 +172,38 @@ def hash_sample(questions: DataFrame, seed: int = 90055) -> DataFrame:
     return questions.groupBy("question_type").agg(F.min_by("qid", F.struct(seeded_digest(seed, F.col("qid")), "qid")).alias("qid"))
 
 
+def first_disjoint(candidates: DataFrame, n: int, order: tuple[str, ...] = ("at", "seeds"), seeds: str = "seeds") -> DataFrame:
+    """The n rows that are chosen in turn, in the order of `order`, each unless one chosen before shares a seed with it.
+
+    Fewer if there are no more. Whether a row is chosen depends on earlier rows alone, so the first few are decided first, and
+    more only if they don't give n. They are decided in rounds, all at once: a row that is the first of all undecided ones for
+    each of its seeds is chosen, and those that share a seed with it go. Rows that are equal in `order` count as one.
+    """
+    candidates, size = kept(candidates), 4 * positive("n", n)
+    total = candidates.count()
+    while True:
+        own = candidates if size >= total else candidates.orderBy(*order).limit(size)
+        chosen = kept(_disjoint(own, order, seeds))
+        if size >= total or chosen.count() >= n:
+            return chosen.orderBy(*order).limit(n)
+        size *= 4
+
+
+def _disjoint(candidates: DataFrame, order: tuple[str, ...], seeds: str) -> DataFrame:
+    left = kept(candidates.dropDuplicates(list(order)).withColumn("_order", F.struct(*order)))
+    chosen = left.limit(0)
+    while not left.isEmpty():
+        by_seed = left.select("_order", F.explode(F.array_distinct(seeds)).alias("_seed"))
+        first = by_seed.groupBy("_seed").agg(F.min("_order").alias("_first"))
+        sure = by_seed.join(first, "_seed").groupBy("_order").agg(F.min(F.col("_order") == F.col("_first")).alias("sure")).where("sure").select("_order")
+        won = kept(left.join(sure, "_order", "left_semi"))
+        chosen = chosen.unionByName(won)
+        taken = won.select(F.explode(seeds).alias("_seed")).distinct()
+        gone = by_seed.join(taken, "_seed", "left_semi").select("_order").distinct()
+        left = kept(left.join(gone, "_order", "left_anti"))
+    return chosen.drop("_order")
+
+
 def paired_differences(rows: DataFrame, baseline: str, value: str = "f1") -> DataFrame:
     """(condition, qid, difference) from the baseline condition, which is left out."""
     base = rows.where(F.col("condition") == baseline).select("qid", F.col(value).alias("base"))
