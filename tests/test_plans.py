@@ -335,11 +335,11 @@ def test_cli_and_stream(spark, tmp_path, monkeypatch):
     assert got[0]["recall"] == 1.0
     with pytest.raises(ValueError):
         cli.main([*base, "ask", "x", "--depth", "6"], spark)
-    sampled = ["--backend", "biased", "--delta", "0.001", "--relative-error", "0.05"]
+    sampled = ["--backend", "biased", "--bias-delta", "0.001", "--bias-relative-error", "0.05"]
     got = cli.main([*base, *sampled, "experiment", "--questions", str(tmp_path / "q.json"), "--output", str(tmp_path / "out"), "--strategies", "rules"], spark)
     assert got[0]["recall"] == 1.0
     with pytest.raises(ValueError):
-        cli.main([*base, "--backend", "biased", "--relative-error", "0", "ask", "x"], spark)
+        cli.main([*base, "--backend", "biased", "--bias-relative-error", "0", "ask", "x"], spark)
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text('{"id": "s1", "question": "What is Beta?"}\n')
     graph = Graph.from_csv(spark, base[1], base[3])

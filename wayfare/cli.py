@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from dataclasses import fields
 
 from pyspark.sql import SparkSession
 
@@ -14,29 +15,37 @@ from wayfare.sources.graph import Graph
 from wayfare.sources.language_model import Http
 
 
+KINDS = {"int": int, "float": float, "float | None": float, "str": str}
+
+
+def add_fields(parser: argparse.ArgumentParser, config: type, prefix: str = "") -> None:
+    """An option for each field of a configuration, with its default."""
+    for f in fields(config):
+        parser.add_argument(f"--{prefix}{f.name.replace('_', '-')}", type=KINDS[f.type], default=f.default)
+
+
+def configured(args: argparse.Namespace, config: type, prefix: str = ""):
+    """The configuration that the options give, checked."""
+    return config(**{f.name: getattr(args, prefix + f.name) for f in fields(config)}).validate()
+
+
 def arguments() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="wayfare", description=__doc__)
-    top.add_argument("--nodes", default="data/nodes.csv")
-    top.add_argument("--edges", default="data/edges.csv")
+    top.add_argument("--nodes", required=True, help="CSV file or folder of nodes")
+    top.add_argument("--edges", required=True, help="CSV file or folder of edges")
     top.add_argument("--backend", choices=["walk", "biased"], default="walk")
-    top.add_argument("--bias-a", type=float, default=0.0)
-    top.add_argument("--bias-b", type=float, default=1.0)
-    top.add_argument("--query-type", choices=["N", "S"], default="S", help="N: exact; S: sampled under the error bound")
-    top.add_argument("--delta", type=float, help="the least score that the bound of S covers (default: one by the number of nodes)")
-    top.add_argument("--relative-error", type=float, default=0.1)
+    add_fields(top, BiasConfig, "bias-")
     commands = top.add_subparsers(dest="command", required=True)
     ask = commands.add_parser("ask")
     ask.add_argument("question")
     ask.add_argument("--strategy", choices=STRATEGIES, default="rules")
     ask.add_argument("--no-answer", action="store_true")
     many = commands.add_parser("experiment")
-    many.add_argument("--questions", default="data/questions.json")
-    many.add_argument("--output", default="results/experiment.jsonl")
+    many.add_argument("--questions", required=True)
+    many.add_argument("--output", required=True)
     many.add_argument("--strategies", nargs="+", choices=STRATEGIES, default=["seed-only", "fixed", "rules"])
     for command in (ask, many):
-        command.add_argument("--depth", type=int, default=2)
-        command.add_argument("--decay", type=float, default=0.6)
-        command.add_argument("--top-k", type=int, default=10)
+        add_fields(command, Parameters)
         command.add_argument("--match-mode", choices=["exact", "approximate"], default="exact")
         command.add_argument("--match-threshold", type=float, default=0.85)
         command.add_argument("--match-margin", type=float, default=0.10)
@@ -45,11 +54,11 @@ def arguments() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[dict]:
     args = arguments().parse_args(argv)
-    fixed = Parameters(args.depth, args.decay, args.top_k).validate()
+    fixed = configured(args, Parameters)
     spark = spark or SparkSession.builder.appName("wayfare").getOrCreate()
     graph = Graph.from_csv(spark, args.nodes, args.edges).keep("transition", "titles")
     client = Http.from_environment()
-    backend = BiasConfig(args.bias_a, args.bias_b, args.delta, args.relative_error, args.query_type).validate() if args.backend == "biased" else None
+    backend = configured(args, BiasConfig, "bias_") if args.backend == "biased" else None
     how = {"client": client, "backend": backend, "match_mode": args.match_mode, "threshold": args.match_threshold, "margin": args.match_margin}
     if args.command == "ask":
         questions = spark.createDataFrame([("q", args.question)], "qid string, question string")

@@ -14,10 +14,13 @@ from wayfare.operators import matching as mt
 from wayfare.operators import metrics as me
 from wayfare.operators import propagation as pr
 from wayfare.operators import selection as se
+from wayfare.operators import similarity as si
+from wayfare.operators import structure as stc
+from wayfare.operators import temporal as te
 from wayfare.operators import topology as tp
 from wayfare.plans import experiment, prepare, strategies
 from wayfare.queries import (
-    _DRAWS, _bootstrap, _grid_sql, _labels, _misspelt, _query, _round_metrics, _rounded, _scores, _study, BEST_SQL, CONTEXT_SQL, EDGES_SQL, G, GRAMS_SQL, LABELS_SQL, LOCAL_SQL,
+    _DRAWS, _bootstrap, _grid_sql, _labels, _misspelt, _query, _regions, _round_metrics, _rounded, _scores, _study, BEST_SQL, CONTEXT_SQL, EDGES_SQL, G, GRAMS_SQL, LABELS_SQL, LOCAL_SQL,
     MISSPELT_SQL, NODES_SQL, QUESTIONS_SQL, SCORES_SQL, TITLES_SQL, TR_SQL, graph_of, metrics_sql, nation_questions, nation_seeds, read, recursive,
 )
 from wayfare.schema import Parameters
@@ -25,6 +28,7 @@ from wayfare.sources import files
 from wayfare.sources.cut import scratch
 from wayfare.sources.graph import Graph, trade_graph
 from wayfare.sources.language_model import Replay
+from wayfare.streaming.sessions import event_stream, session_stream
 
 
 #: The nations' questions under ids of their own: the last form's ids would otherwise meet those of the one before.
@@ -74,16 +78,17 @@ def csv_required(spark, sf_dir):
 @_query("select cast(p_partkey as varchar) as id, cast(p_size % 5 as integer) as n_features from part")
 def feature_counts(spark, sf_dir):
     path, p = scratch(spark, "features"), read(spark, sf_dir, "part")
-    own = p.select(F.struct(F.col("p_partkey").cast("string").alias("key"), F.expr("slice(sequence(1, 5), 1, p_size % 5)").alias("value")).alias("x"))
-    own.agg(F.to_json(F.map_from_entries(F.collect_list("x"))).alias("value")).coalesce(1).write.text(path)
-    return files.read_feature_counts(spark, path)
+    # an object a line, of a hundred keys at most
+    own = p.select((F.col("p_partkey") / 100).cast("long").alias("line"), F.struct(F.col("p_partkey").cast("string").alias("key"), F.expr("slice(sequence(1, 5), 1, p_size % 5)").alias("value")).alias("x"))
+    own.groupBy("line").agg(F.to_json(F.map_from_entries(F.collect_list("x"))).alias("value")).select("value").write.text(path)
+    return files.read_feature_counts(spark, path, lines=True)
 
 
 def _saved_questions(spark, sf_dir):
     path = scratch(spark, "questions")
-    own = _questions(spark, sf_dir).select(F.struct(F.col("qid").alias("id"), "question", F.array("qid").alias("seed_node_ids")).alias("q"))
-    own.agg(F.to_json(F.array_sort(F.collect_list("q"))).alias("value")).coalesce(1).write.text(path)
-    return files.read_questions(spark, path)
+    own = _questions(spark, sf_dir).select(F.col("qid").alias("id"), "question", F.array("qid").alias("seed_node_ids"))
+    files.write_jsonl(own.orderBy("id"), path)
+    return files.read_questions(spark, path, lines=True)
 
 
 @_query(f"with {ASKED_QUESTIONS_SQL} select qid as id, question, qid as seeds from questions")
@@ -298,6 +303,13 @@ def converted_edges(spark, sf_dir):
     return _converted(spark, sf_dir)[1]
 
 
+@_query(f"""{G}, {TITLES_SQL} select x.norm as a, y.norm as b, 1.0 - cast(levenshtein(x.norm, y.norm) as double) / greatest(length(x.norm), length(y.norm)) as similarity from titles x join titles y on x.norm < y.norm
+where 1.0 - cast(levenshtein(x.norm, y.norm) as double) / greatest(length(x.norm), length(y.norm)) >= 0.85""")
+def similar_titles(spark, sf_dir):
+    """All pairs of different titles at the matcher's threshold."""
+    return si.similar_texts(graph_of(spark, sf_dir).titles, 0.85)
+
+
 @_query("select cast(c_custkey as varchar) as qid, 'Deezer user ' || c_custkey || '|deezer  USER ' || c_nationkey as users from customer")
 def explicit_users(spark, sf_dir):
     text = F.concat(F.lit("Is Deezer user "), "c_custkey", F.lit(" with deezer  USER "), "c_nationkey", F.lit("? Not Deezer users 5 or xDeezer user 6."))
@@ -533,3 +545,101 @@ def bootstrap_fresh_stream(spark, sf_dir):
 def differences(spark, sf_dir):
     rows = _scores(spark, sf_dir).select("qid", F.col("arm").alias("condition"), "f1")
     return se.paired_differences(rows, "C2").withColumn("difference", F.round("difference", 9))
+
+
+# ---- the graph as a whole ----------------------------------------------------------------------------------------
+
+SEVENTH_SQL = SPARSE.replace("description = 'from' and pos", "description in ('from', 'bought') and pos")
+
+
+@_query(f"""{recursive(SEVENTH_SQL)}, cc(id, component) using key (id) as (select id, id from nodes union
+  (select r.id, min(v.component) from cc v join adj on adj.src = v.id join recurring.cc r on r.id = adj.dst where v.component < r.component group by r.id))
+select id, component from cc""")
+def graph_components(spark, sf_dir):
+    """Customers, parts and suppliers of orders' seventh lines, and all nodes that have none."""
+    graph = trade_graph(spark, sf_dir)
+    return stc.components(Graph(graph.nodes, graph.edges.where("description in ('from', 'bought') and pos % 1000 = 7")))
+
+
+def _levels_sql(rounds: int) -> str:
+    more = "".join(
+        f", l{k} as materialized (select distinct qid, dst as node_id, {k} as level from l{k - 1} join adj on src = node_id where (qid, dst) not in ({' union all '.join(f'select (qid, node_id) from l{j}' for j in range(k))}))"
+        for k in range(1, rounds + 1)
+    )
+    every = " union all ".join(f"select qid, node_id, level from l{k}" for k in range(rounds + 1))
+    return f"""{G.replace("adj as (", "adj as materialized (")}, l0 as materialized (select 'r' || r_regionkey as qid, 'r' || r_regionkey as node_id, 0 as level from region){more} {every}"""
+
+
+@_query(_levels_sql(7))
+def breadth_first_levels(spark, sf_dir):
+    """All nodes by their distance from each region; the trade graph is seven edges wide at most."""
+    return stc.levels(graph_of(spark, sf_dir), _regions(spark, sf_dir).withColumnRenamed("seed", "node_id"))
+
+
+@_query(f"""{recursive(G)}, {TR_SQL}, n as (select count(*) as n from nodes),
+rec as (select 0 as k, id, cast(1 as double) / n as rank, cast(1 as double) as moved from nodes cross join n union all
+  select k, id, rank, sum(abs(rank - old)) over () as moved from (
+    select r.k + 1 as k, r.id, r.rank as old, 0.5 / n + 0.5 * (coalesce(g.given, 0) + h.held / n) as rank from rec r cross join n
+      left join (select dst, sum(rank * share) as given from rec join tr on src = id group by dst) g on g.dst = r.id
+      cross join (select coalesce(sum(rank), 0) as held from rec where id not in (select src from tr)) h where r.moved > 1e-9))
+select id, round(rank, 9) as rank from rec where k = (select max(k) from rec)""")
+def pagerank(spark, sf_dir):
+    return stc.pagerank(graph_of(spark, sf_dir), damping=0.5).withColumn("rank", F.round("rank", 9))
+
+
+TOGETHER_SQL = """e as materialized (select distinct least('p' || x.l_partkey, 'p' || y.l_partkey) as a, greatest('p' || x.l_partkey, 'p' || y.l_partkey) as b from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and y.l_linenumber = x.l_linenumber + 1 where x.l_partkey <> y.l_partkey),
+both_ways as materialized (select a as src, b as dst from e union all select b, a from e), deg as (select src as id, count(*) as degree from both_ways group by src)"""
+
+
+@_query(f"""with {TOGETHER_SQL}, t as (select x.a, x.b, y.b as c from e x join e y on x.b = y.a join e z on z.a = x.a and z.b = y.b),
+n as (select id, count(*) as n from (select a as id from t union all select b from t union all select c from t) group by id)
+select deg.id, degree, coalesce(n, 0) as triangles, round(case when degree > 1 then 2 * cast(coalesce(n, 0) as double) / (degree * (degree - 1)) else 0 end, 9) as clustering from deg left join n using (id)""")
+def triangles(spark, sf_dir):
+    """Parts joined by lines that follow each other in an order."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("part"), "l_linenumber")
+    after = lines.select("l_orderkey", F.col("part").alias("next"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
+    edges = lines.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("part").alias("source"), F.col("next").alias("target"), F.lit(1.0).alias("weight"), F.lit("").alias("description"), F.lit(0).cast("long").alias("pos"))
+    return stc.triangles(Graph(trade_graph(spark, sf_dir).nodes, edges)).withColumn("clustering", F.round("clustering", 9))
+
+
+# ---- time --------------------------------------------------------------------------------------------------------
+
+
+def _event_rows(spark, sf_dir):
+    return read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@_query("""with p as (select user_id, ts, max(event_id) as purchase_id from events where event_type = 'purchase' group by all)
+select e.event_id, e.user_id, p.purchase_id, p.ts as bought from events e asof left join p on e.user_id = p.user_id and e.ts > p.ts""")
+def last_purchase(spark, sf_dir):
+    """Every event with its user's last purchase before it."""
+    e = _event_rows(spark, sf_dir)
+    bought = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"), F.col("ts").alias("bought"))
+    found = te.as_of(e.select("event_id", "user_id", "ts"), bought, "user_id", "ts", ["purchase_id", "bought"])
+    return found.select("event_id", "user_id", "purchase_id", F.col("bought").cast("timestamp_ntz").alias("bought"))
+
+
+@_query("""select p.event_id as purchase_id, e.event_id as error_id from events p join events e on p.user_id = e.user_id and p.ts >= e.ts and p.ts < e.ts + interval 36 hours where p.event_type = 'purchase' and e.event_type = 'error'""")
+def purchases_after_errors(spark, sf_dir):
+    """Every purchase with its user's errors of the 36 hours before it."""
+    e = _event_rows(spark, sf_dir)
+    spans = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.col("ts").alias("begin"), (F.col("ts") + F.expr("interval 36 hours")).alias("until"))
+    points = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), "ts")
+    return te.in_intervals(points, spans, "user_id", "ts", "begin", "until", bucket_seconds=21_600).select("purchase_id", "error_id")
+
+
+@_query("""with o as (select user_id, ts, value, case when ts < lag(ts) over (partition by user_id order by ts) + interval 3 hours then 0 else 1 end as new from events),
+s as (select *, sum(new) over (partition by user_id order by ts, new desc rows unbounded preceding) as nth from o)
+select user_id, min(ts) as "begin", max(ts) + interval 3 hours as "end", count(*) as events, round(sum(value), 4) as total from s group by user_id, nth
+having max(ts) + interval 3 hours <= (select max(ts) from events) - interval 1 day""")
+def streamed_sessions(spark, sf_dir):
+    """Sessions of the events replayed as a stream, a tenth of the time a file; the last day's are still open when it ends."""
+    e, folder = _event_rows(spark, sf_dir), scratch(spark, "events")
+    parts = e.groupBy(F.date_trunc("hour", "ts").alias("hour")).count().select("hour", F.ntile(10).over(Window.orderBy("hour")).alias("part"))
+    own = e.withColumn("hour", F.date_trunc("hour", "ts")).join(F.broadcast(parts), "hour").drop("hour")
+    for part in range(1, 11):  # files are taken by the time of their writing
+        own.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = event_stream(spark, f"{folder}/in", e.schema)
+    session_stream(stream, f"{folder}/out", f"{folder}/log", "user_id", "ts", "value", gap="3 hours", late="1 day").awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("begin", "end")], "events", F.round("total", 4).alias("total"))

@@ -15,43 +15,69 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.text import edit_similarity, fold, heuristic_keywords, trigrams, with_folded
 from wayfare.schema import MATCHES, positive, share
+from wayfare.sources.cut import kept
 from wayfare.sources.graph import Graph
 
 
-def _spans(batches, longest: int):
-    """(qid, start, end, span): pieces of the folded text between word boundaries, up to the longest title."""
+#: Characters of words: letters and numbers of any script, and the underscore.
+WORD = r"[\p{L}\p{N}_]"
+
+
+def _marks(batches):
+    """(key, mark, at): each word of a folded text where it begins, and each other sign but blanks, after a zero byte."""
     for batch in batches:
-        rows: list[tuple] = []
-        for qid, text in zip(batch["qid"].to_pylist(), batch["text"].to_pylist()):
-            text = fold(text or "")
-            word = [c == "_" or c.isalnum() for c in text]
-            n = len(text)
-            starts = [i for i in range(n) if (i == 0 or not word[i - 1]) and not text[i].isspace()]
-            ends = [i for i in range(1, n + 1) if (i == n or not word[i]) and not text[i - 1].isspace()]
-            first = 0
-            for a in starts:
-                while first < len(ends) and ends[first] <= a:
-                    first += 1
-                for k in range(first, len(ends)):
-                    if ends[k] - a > longest:
-                        break
-                    rows.append((qid, a, ends[k], text[a : ends[k]]))
-            if len(rows) > 20_000:
-                yield _batch(rows)
-                rows = []
-        yield _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string()))], ["qid", "start", "end", "span"])
+        keys, marks, places = [], [], []
+        for key, text in zip(batch["key"].to_pylist(), batch["folded"].to_pylist()):
+            begin = -1
+            for i, c in enumerate(text or ""):
+                if c == "_" or c.isalnum():
+                    begin = i if begin < 0 else begin
+                    continue
+                if begin >= 0:
+                    keys.append(key), marks.append(text[begin:i]), places.append(begin)
+                    begin = -1
+                if not c.isspace():
+                    keys.append(key), marks.append("\0" + c), places.append(i)
+            if begin >= 0:
+                keys.append(key), marks.append(text[begin:]), places.append(begin)
+            if len(keys) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(marks, pa.string()), pa.array(places, pa.int32())], ["key", "mark", "at"])
+                keys, marks, places = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(marks, pa.string()), pa.array(places, pa.int32())], ["key", "mark", "at"])
+
+
+def marks(texts: DataFrame) -> DataFrame:
+    """(key, mark, at) of (key, folded)."""
+    return texts.mapInArrow(_marks, "key string, mark string, at int")
+
+
+def title_marks(graph: Graph) -> DataFrame:
+    """(mark, norm, offset, size): each title under the rarest of its words, or under its first sign where it has none."""
+    titles = graph.titles.where("norm <> ''").select(F.sha2("norm", 256).alias("key"), "norm")
+    own = marks(titles.withColumnRenamed("norm", "folded"))
+    held = own.groupBy("mark").agg(F.count(F.lit(1)).alias("titles"))
+    # signs count after all words
+    rare = F.struct(F.col("mark").startswith("\0").alias("sign"), F.when(~F.col("mark").startswith("\0"), F.col("titles")).alias("titles"), "at", "mark")
+    best = own.join(held, "mark").groupBy("key").agg(F.min(rare).alias("m"))
+    return best.join(titles, "key").select(F.col("m.mark").alias("mark"), "norm", F.col("m.at").alias("offset"), F.length("norm").alias("size"))
 
 
 def title_mentions(graph: Graph, texts: DataFrame) -> DataFrame:
-    """(qid, title, node_id, start, end): every title in the folded text of (qid, text) that word boundaries enclose."""
-    longest = graph.longest_title
-    spans = texts.select(F.col("qid").cast("string").alias("qid"), "text").mapInArrow(lambda b: _spans(b, longest), "qid string, start int, end int, span string")
-    return spans.join(graph.titles, F.col("span") == F.col("norm")).select("qid", "title", "node_id", "start", "end")
+    """(qid, title, node_id, start, end): every title in the folded text of (qid, text) that word boundaries enclose.
+
+    A mention holds its title's words as words, so only words under which titles stand meet them; the title is then
+    verified at its place. Work follows the words of texts, whatever the longest title. Rows that share a qid are told apart.
+    """
+    named = with_folded(texts.select(F.col("qid").cast("string").alias("qid"), "text"), "text", "folded").select("qid", F.coalesce("folded", F.lit("")).alias("folded"))
+    # equal texts of a question are found once and joined with each of its rows
+    named = named.withColumn("key", F.sha2(F.concat_ws("\0", F.coalesce("qid", F.lit("\1")), "folded"), 256))
+    met = marks(named.select("key", "folded").distinct()).join(graph.mention_index, "mark").select("key", "norm", "size", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0").distinct()
+    found = named.join(met, "key")
+    inside = F.expr("substring(folded, start + 1, size)") == F.col("norm")
+    before = (F.col("start") == 0) | ~F.expr("substring(folded, start, 1)").rlike(WORD)
+    after = ~F.expr("substring(folded, start + size + 1, 1)").rlike(WORD)
+    found = found.where(inside & before & after).select("qid", "norm", "start", (F.col("start") + F.col("size")).alias("end"))
+    return found.join(graph.titles, "norm").select("qid", "title", "node_id", "start", "end")
 
 
 def local_keywords(graph: Graph, texts: DataFrame) -> DataFrame:
@@ -92,29 +118,35 @@ LIGHT = 100_000
 def trigram_candidates(graph: Graph, norms: DataFrame, limit: int = 50) -> DataFrame:
     """(key, norm, jaccard, place): the `limit` titles most like each folded text of (key), title order breaking ties.
 
-    A key whose trigrams are held by many titles (LIGHT) is first joined by the rarer half of them: a title that lacks
-    the k rarest of n has a similarity of (n - k) / n at most. If the key's `limit`-th score is above that, it is done; else it is
-    joined by all, as light keys are. The result is the same either way. A text under three characters that shares no
+    Where some key's trigrams are held by many titles (LIGHT), such keys are first joined by the rarer half of them: a title that
+    lacks the k rarest of n has a similarity of (n - k) / n at most. If the key's `limit`-th score is above that, it is done; else
+    it is joined by all, as light keys are. The result is the same either way. A text under three characters that shares no
     trigram is compared with the first titles in order.
     """
     grams = norms.select("key", trigrams(F.col("key")).alias("g"))
     asked = grams.select("key", F.size("g").alias("n"), F.explode("g").alias("gram")).join(graph.gram_counts, "gram").select("key", "n", "gram", "titles")
-    rarest = Window.partitionBy("key").orderBy("titles", "gram")
-    asked = asked.withColumns({"nth": F.row_number().over(rarest), "weight": F.sum("titles").over(Window.partitionBy("key"))})
-    half = F.ceil(F.col("n") / 2)
+    # written, as it is read by both ways, and asked once whether any key needs the longer one
+    asked = kept(asked.withColumn("weight", F.sum("titles").over(Window.partitionBy("key"))))
     order = Window.partitionBy("key").orderBy(F.col("jaccard").desc(), "norm")
 
-    def best(pairs: DataFrame, both: Column) -> DataFrame:
-        jaccard = (both / (F.col("n") + F.col("n_grams") - both)).alias("jaccard")
+    def best(pairs: DataFrame) -> DataFrame:
+        jaccard = (F.col("both") / (F.col("n") + F.col("n_grams") - F.col("both"))).alias("jaccard")
         return pairs.select("key", "n", "norm", jaccard).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
+    def shared(own: DataFrame) -> DataFrame:
+        return own.join(graph.postings, "gram").groupBy("key", "n", "norm", "n_grams").agg(F.count(F.lit(1)).alias("both"))
+
     heavy = asked.where(F.col("weight") > LIGHT)
-    rare = heavy.where(F.col("nth") <= half).join(graph.postings, "gram").select("key", "n", "norm", "n_grams").distinct()
-    first = best(rare, F.size(F.array_intersect(trigrams(F.col("key")), trigrams(F.col("norm")))))
-    sure = first.where((F.col("place") == limit) & (F.col("jaccard") > (F.col("n") - half) / F.col("n"))).select("key")
-    rest = asked.where(F.col("weight") <= LIGHT).unionByName(heavy.join(sure, "key", "left_anti"))
-    shared = rest.join(graph.postings, "gram").groupBy("key", "n", "norm", "n_grams").agg(F.count(F.lit(1)).alias("both"))
-    near = best(shared, F.col("both")).unionByName(first.join(sure, "key", "left_semi")).select("key", "norm", "jaccard", "place")
+    if heavy.isEmpty():
+        near = best(shared(asked)).select("key", "norm", "jaccard", "place")
+    else:
+        half = F.ceil(F.col("n") / 2)
+        rarest = heavy.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("titles", "gram"))).where(F.col("nth") <= half)
+        found = shared(rarest).withColumn("both", F.size(F.array_intersect(trigrams(F.col("key")), trigrams(F.col("norm")))))
+        first = kept(best(found))
+        sure = first.where((F.col("place") == limit) & (F.col("jaccard") > (F.col("n") - half) / F.col("n"))).select("key")
+        rest = asked.where(F.col("weight") <= LIGHT).unionByName(heavy.join(sure, "key", "left_anti"))
+        near = best(shared(rest)).unionByName(first.join(sure, "key", "left_semi")).select("key", "norm", "jaccard", "place")
     lost = norms.where(F.length("key") < 3).join(near.select("key").distinct(), "key", "left_anti")
     begin = graph.titles.select("norm").orderBy("norm").limit(limit)
     begin = begin.withColumn("place", F.row_number().over(Window.orderBy("norm")))

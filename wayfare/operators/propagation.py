@@ -53,8 +53,9 @@ def propagate(graph: Graph, seeds: DataFrame, parameters: Parameters | DataFrame
     """(qid, rank, node_id, score): sums of decay ** hop times the mass of a weighted random walk's hop.
 
     parameters: one for all, or a table (qid, depth, decay, top_k), in which each question walks its own depth; max_depth is
-    its largest, looked up where it is not given. Reached nodes of score zero are kept. Mass on a node without
-    neighbours vanishes.
+    its largest, looked up where it is not given. With a column `condition` a question has several rows, whose scores are
+    weightings of one walk, and ranks have the column too. Reached nodes of score zero are kept. Mass on a node without neighbours
+    vanishes.
     """
     if isinstance(parameters, Parameters):
         parameters.validate()
@@ -63,9 +64,11 @@ def propagate(graph: Graph, seeds: DataFrame, parameters: Parameters | DataFrame
         return ranked(scored, ["qid"], parameters.top_k, F.col("node_id").asc()).select("qid", "rank", "node_id", "score")
     if max_depth is None:
         max_depth = parameters.agg(F.max("depth")).first()[0] or 0
-    masses = hop_masses(graph, seeds, max_depth, parameters).join(parameters, "qid")
-    scored = masses.groupBy("qid", "node_id", "top_k").agg(F.sum(F.pow("decay", "hop") * F.col("mass")).alias("score"))
-    return ranked(scored, ["qid"], F.col("top_k"), F.col("node_id").asc()).select("qid", "rank", "node_id", "score")
+    by = ["qid", "condition"] if "condition" in parameters.columns else ["qid"]
+    limits = parameters.groupBy("qid").agg(F.max("depth").alias("depth"))
+    masses = hop_masses(graph, seeds, max_depth, limits).join(parameters, "qid").where("hop <= depth")
+    scored = masses.groupBy(*by, "node_id", "top_k").agg(F.sum(F.pow("decay", "hop") * F.col("mass")).alias("score"))
+    return ranked(scored, by, F.col("top_k"), F.col("node_id").asc()).select(*by, "rank", "node_id", "score")
 
 
 def seed_only(graph: Graph, seeds: DataFrame) -> DataFrame:

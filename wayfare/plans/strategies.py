@@ -30,6 +30,10 @@ PROMPTS = {
 }
 
 
+#: Strategies that take keywords from the question itself.
+LOCAL = ("seed-only", "fixed", "rules", "llm-parameters", "llm-parameters-few-shot")
+
+
 @dataclass(frozen=True)
 class Plan:
     """keywords (qid, position, keyword) and parameters (qid, depth, decay, top_k): a batch's logical plan."""
@@ -73,8 +77,11 @@ def model_plans(questions: DataFrame, strategy: str, client: Calls | Client) ->
     return found.drop("fault")
 
 
-def plan(graph: Graph, questions: DataFrame, strategy: str, *, fixed: Parameters | None = None, client: Calls | Client | None = None) -> Plan:
-    """questions: (qid, question). Strategies with a model ask it once a distinct question (see model_calls)."""
+def plan(graph: Graph, questions: DataFrame, strategy: str, *, fixed: Parameters | None = None, client: Calls | Client | None = None, local: DataFrame | None = None) -> Plan:
+    """questions: (qid, question). Strategies with a model ask it once a distinct question (see model_calls).
+
+    local: the questions' own keywords, where they are known already.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
     fixed = (fixed or Parameters()).validate()
@@ -85,18 +92,19 @@ def plan(graph: Graph, questions: DataFrame, strategy: str, *, fixed: Parameters
     def same(p: Parameters) -> DataFrame:
         return questions.select("qid", *[F.lit(v).alias(k) for k, v in asdict(p).items()])
 
+    if strategy in LOCAL:
+        local = matching.keywords_or_heuristic(graph, questions) if local is None else local
     if strategy in {"seed-only", "fixed", "rules"}:
-        keywords = matching.keywords_or_heuristic(graph, questions)
         if strategy == "rules":
             folded = with_folded(questions, "question", "norm").select("qid", rule_parameters(F.col("norm")).alias("p"))
-            return Plan(keywords, folded.select("qid", "p.*"))
-        return Plan(keywords, same(fixed if strategy == "fixed" else Parameters(0, 0.0, 10)))
+            return Plan(local, folded.select("qid", "p.*"))
+        return Plan(local, same(fixed if strategy == "fixed" else Parameters(0, 0.0, 10)))
     planned = model_plans(questions, strategy, client)
     parameters = same(fixed)
     if strategy != "llm-keywords":
         parameters = questions.join(planned.select("question", "depth", "decay", "top_k"), "question").drop("question")
     if strategy.startswith("llm-parameters"):
-        return Plan(matching.keywords_or_heuristic(graph, questions), parameters)
+        return Plan(local, parameters)
     own = questions.join(planned.select("question", "words"), "question")
     if strategy == "llm-keywords":
         exact = explicit_user_ids(F.col("question"))
@@ -120,6 +128,17 @@ class Run:
     contexts: DataFrame
 
 
+def matched(graph: Graph, keywords: DataFrame, match_mode: str = "exact", threshold: float = 0.85, margin: float = 0.10) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Seeds, unmatched keywords and, for approximate matching, all matches."""
+    if match_mode == "exact":
+        seeds, unmatched = matching.exact_match(graph, keywords)
+        return kept(seeds), unmatched, None
+    if match_mode != "approximate":
+        raise ValueError("match_mode must be exact or approximate")
+    matches = kept(matching.approximate_match(graph, keywords, threshold=threshold, margin=margin))
+    return kept(matching.seeds_of(matches)), matches.where("not accepted").select("qid", "position", "keyword"), matches
+
+
 def run(graph: Graph, questions: DataFrame, strategy: str = "rules", *, fixed: Parameters | None = None, client: Calls | Client | None = None, match_mode: str = "exact", threshold: float = 0.85, margin: float = 0.10, backend: BiasConfig | None = None) -> Run:
     """All questions at once: keywords, seeds, propagation, context.
 
@@ -129,15 +148,7 @@ def run(graph: Graph, questions: DataFrame, strategy: str = "rules", *, fixed: P
     own = plan(graph, questions, strategy, fixed=fixed, client=client)
     # what several results read is kept, a few rows a question, so that their plans stay small
     own = Plan(kept(own.keywords), kept(own.parameters))
-    matches = None
-    if match_mode == "exact":
-        seeds, unmatched = matching.exact_match(graph, own.keywords)
-    elif match_mode == "approximate":
-        matches = kept(matching.approximate_match(graph, own.keywords, threshold=threshold, margin=margin))
-        seeds, unmatched = matching.seeds_of(matches), matches.where("not accepted").select("qid", "position", "keyword")
-    else:
-        raise ValueError("match_mode must be exact or approximate")
-    seeds = kept(seeds)
+    seeds, unmatched, matches = matched(graph, own.keywords, match_mode, threshold, margin)
     if backend is None:
         ranked = propagate(graph, seeds, own.parameters)
     else:

@@ -136,9 +136,11 @@ class Graph:
         return folded.groupBy("norm").agg(F.max_by("id", "pos").alias("node_id"), F.min_by("title", "pos").alias("title"))
 
     @cached_property
-    def longest_title(self) -> int:
-        """Characters of the longest folded title; looked up once a graph."""
-        return self.titles.agg(F.max(F.length("norm"))).first()[0] or 0
+    def mention_index(self) -> DataFrame:
+        """(mark, norm, offset, size): the word under which mentions of a title are sought."""
+        from wayfare.operators.matching import title_marks
+
+        return title_marks(self)
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -159,7 +161,7 @@ class Graph:
 
     def release(self) -> None:
         """Gives back what keep() persisted."""
-        for name in ("transition", "adjacency", "biased", "titles", "postings", "degrees"):
+        for name in ("transition", "adjacency", "biased", "titles", "postings", "gram_counts", "mention_index", "degrees"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 

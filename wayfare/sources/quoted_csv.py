@@ -50,6 +50,16 @@ def splits(lines: DataFrame) -> DataFrame:
     return odd.select("path", "split", place.alias("place"), (F.row_number().over(before) == 1).alias("first"), (checked == 1).alias("open"))
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, _pos): the lines of text files by as many tasks as they have splits; _pos ascends with files' names and lines."""
+    lines = _lines(spark, path)
+    known = lines.select("path", "split").distinct()
+    known = kept(known.withColumn("place", F.row_number().over(Window.orderBy("path", "split")) - 1))
+    # rows of a task are numbered as they come, those of one split in their order
+    nth = F.pmod(F.monotonically_increasing_id(), F.lit(SPLIT))
+    return lines.withColumn("_nth", nth).join(F.broadcast(known), ["path", "split"]).select("value", (F.col("place") * SPLIT + F.col("_nth")).alias("_pos"))
+
+
 def _cut(batches, whole: bool):
     """(place, nth, kind, text) of lines in order with their split's place and whether it opens inside a field: its records, or the pieces at its ends."""
     place, inside, begun, nth = None, False, False, 0
