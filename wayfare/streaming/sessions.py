@@ -10,8 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 def sessions(events: DataFrame, key: str, time: str, value: str, *, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(key, begin, end, events, total): runs of a key's events that are less than `gap` apart; end is the last event's time and the gap.
 
-    As a stream, a session is given once the watermark, the latest time seen less `late`, has passed its end; rows of a time before
-    the watermark are dropped, and all others are counted, in whatever order they come. As a table, all sessions are given.
+    As a stream, a session is given once the watermark, the latest time seen less `late`, has passed its end; rows that alone would
+    have ended before the watermark with which the batch before began are dropped, and all others are counted, in whatever order they
+    come. As a table, all sessions are given.
     """
     own = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key), F.col(time).cast("timestamp").alias("_at"), F.col(value).alias("_value"))
     if events.isStreaming:
