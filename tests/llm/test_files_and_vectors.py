@@ -175,3 +175,11 @@ def test_pair_blocks(spark):
                 if m < n and {c, d} == {i, j}:
                     pairs[m, n] = pairs.get((m, n), 0) + 1
     assert len(pairs) == 45 * 44 // 2 + 10 and set(pairs.values()) == {1}
+
+
+def test_warc_ids_of_text(spark):
+    """Ids are texts as they are, also those that read like none; a row without an id has none."""
+    ids = ["None", "null", "", "a b", None]
+    pages = spark.createDataFrame([(i, "http://x", f"page {n}" * 30, "odd") for n, i in enumerate(ids)], "page_id string, url string, html string, path string")
+    got = warc.read(warc.normalise(warc.write(pages))).collect()
+    assert sorted(str(r["page_id"]) + str(r["page_id"] is None) for r in got) == sorted(str(i) + str(i is None) for i in ids)

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import time
@@ -549,3 +550,37 @@ def test_logistic_with_weights_is_the_one_of_repeated_rows():
     times = np.where(y == 0, 7, 1)
     want = toxicity._logistic(np.repeat(x, times, axis=0), np.repeat(y, times), np.ones(times.sum()))
     assert toxicity._logistic(x, y, times.astype(float)) == pytest.approx(want, rel=0.02, abs=0.02)
+
+
+def test_packing_of_conversations_under_three_limits(spark):
+    """Answers of the given conversations bear loss; tokens, segments and loss end some sequences each, and none is exceeded."""
+    path = "/root/testdata/sf0.01/conversations.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    turns: dict = {}
+    for r in sorted(spark.read.parquet(path).collect(), key=lambda r: (r["conv_id"], r["turn"])):
+        ids = FRESH[WORDS].encode(r["text"] or "", add_special_tokens=False).ids
+        own = turns.setdefault(r["conv_id"], ([], []))
+        own[0].extend(ids), own[1].extend([r["role"] == "assistant"] * len(ids))
+    limits = packing.Limits(tokens=512, segments=2, loss=400)
+    df = spark.createDataFrame([(k, i, x) for k, (i, x) in turns.items()], "conv_id long, ids array<long>, loss array<boolean>").coalesce(1)
+    packed = lambda own: packing.pack_ids(df, id_col="conv_id", ids_col="ids", loss_col="loss", limits=own).collect()
+
+    def totals(rows):
+        bins: dict = {}
+        for r in rows:
+            a, b, c = bins.get(r["sequence_id"], (0, 0, 0))
+            bins[r["sequence_id"]] = a + r["length"], b + 1, c + r["loss_tokens"]
+        return list(bins.values())
+
+    got = packed(limits)
+    for r in got:
+        ids, flags = turns[r["doc_id"]]
+        end = r["start"] + r["length"]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids[r["start"] : end] and r["loss_tokens"] == sum(flags[r["start"] : end])
+    assert sorted((r["doc_id"], p) for r in got for p in range(r["start"], r["start"] + r["length"])) == sorted((k, p) for k, (ids, _) in turns.items() for p in range(len(ids)))
+    assert all(a <= 512 and b <= 2 and c <= 400 for a, b, c in totals(got))
+    # without any one of them that one is exceeded, so each ends sequences
+    assert any(a > 512 for a, _, _ in totals(packed(packing.Limits(544, 2, 400))))
+    assert any(b > 2 for _, b, _ in totals(packed(packing.Limits(512, 600, 400))))
+    assert any(c > 400 for _, _, c in totals(packed(packing.Limits(512, 2, 512))))

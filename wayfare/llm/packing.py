@@ -6,9 +6,10 @@ dot product of its needs and what is left of the limits; where none fits whole,
 A sequence that a limit ends early is cut at powers of two, which need no padding; all others are full.
 
 Every id lies in exactly one piece; offsets in a sequence are gapless from 0. Null and empty texts have the end id
-alone; empty token lists have no piece. Repeated rows are packed each on their own; a null id stays null. Results are
+alone; empty token lists have no piece. Very long texts are cut as they come, one at a time. Repeated rows are packed each on
+their own; a null id stays null. Of pieces that fit equally well the one that came first into its place in the pool is taken. Results are
 the same whenever a task's rows come in the same order, as from files. Sequence ids are unique, not dense: the
-partition's number, then a counter.
+partition's number, then a counter. Empty tables give no pieces. Further columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations

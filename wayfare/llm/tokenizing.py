@@ -1,4 +1,8 @@
-"""Exact encoding with the tokenizers library, by a table of space-delimited pieces."""
+"""Exact encoding with the tokenizers library, by a table of space-delimited pieces.
+
+Null texts are empty texts, which have no ids; equal texts have equal ids. Very long texts are encoded whole. The table is bounded: it is
+begun anew once it holds LIMIT pieces. It reads no tables and no columns; those who call it say what becomes of them.
+"""
 
 from __future__ import annotations
 

@@ -6,8 +6,9 @@ pattern is a whole word (" word ") or the beginning of a word (" wor"), with a l
 The score is a logistic function of the summed weight, normalised by length, and of the heaviest weight.
 
 Null and empty texts have no hits and get the score of a document without hits. Repeated rows get the same score each;
-rows without an id are scored too. Very long texts are folded whole, one at a time. An empty training set gives an empty
-lexicon and a score of 0 for every row, an empty table an empty result. Other columns are ignored, whatever they are called.
+rows without an id are scored too. Very long texts are folded whole, one at a time. A training set without rows of both classes
+gives an empty lexicon and a score of next to 0 (1e-13) for every row, an empty table an empty result. Other columns are ignored,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -166,40 +167,55 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, usable: C
     return found.select("text", "label", F.expr("pmod(xxhash64(doc_id, 5L), 2)").alias("part"), "weight")
 
 
-def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", bound: int = 4096, support: int = 4, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """Learns the lexicon from `bound` labelled rows of each class at most: the documented sample of a classifier.
-
-    Half of the rows give the weights, the other half the factors of the logistic function, in which the classes count by
-    their shares of all usable labels. Every pattern that enough toxic rows hold is taken, every phrase of a pattern's word
-    that only other rows hold is an exception; exceptions adds the caller's own.
-    """
-    from .shared import long_texts, materialise
-
-    long_texts(documents.sparkSession)
-    rows = materialise(training_rows(documents, labels, label, usable, bound).withColumnRenamed("label", "toxic"), "toxic-rows")
-    first = rows.where("part = 0").select("text", "toxic")
-    n = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def _learned(rows: DataFrame, support: int, exceptions: tuple[str, ...]) -> Lexicon:
+    """Patterns and exceptions of labelled rows (text, toxic), without factors."""
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
-        return Lexicon({}, (), (-30.0, 0.0, 0.0, 0.0))
-    counted = first.mapInArrow(_features, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        return Lexicon({}, tuple(exceptions), (0.0, 0.0, 0.0, 0.0))
+    counted = rows.mapInArrow(_features, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     weight = F.log(((F.col("toxic") + 0.1) / (n[1] + 0.2)) / ((F.col("other") + 0.1) / (n[0] + 0.2)))
     # a pattern counts by the doubt that its few documents leave: two standard errors are taken off
     doubt = F.sqrt(1 / (F.col("toxic") + 0.1) + 1 / (F.col("other") + 0.5))
     top = counted.where(F.col("toxic") >= support).withColumn("weight", weight - doubt).where("weight > 1.5").orderBy(F.desc("weight"), "feature").collect()
     weights = {r["feature"]: round(r["weight"], 6) for r in top}
     words = frozenset(x.strip() for x in weights if x.endswith(" "))
-    seen = first.mapInArrow(lambda b: _phrases(b, words), "phrase string, toxic long, other long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    seen = rows.mapInArrow(lambda b: _phrases(b, words), "phrase string, toxic long, other long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     learned = [r["phrase"] for r in seen.where(f"toxic = 0 and other >= {support}").orderBy(F.desc("other"), "phrase").collect()]
-    spared = tuple(dict.fromkeys([fold(x) for x in exceptions] + learned))
-    draft = Lexicon(weights, spared, (0.0, 0.0, 0.0, 0.0))
+    return Lexicon(weights, tuple(dict.fromkeys([*exceptions, *learned])), (0.0, 0.0, 0.0, 0.0))
+
+
+def _measured(rows: DataFrame, lexicon: Lexicon) -> list[tuple]:
+    """The three measures of each row, its label and its weight, in a defined order."""
 
     def measured(batches):
-        automaton = draft.automaton()
+        automaton = lexicon.automaton()
         for batch in batches:
             found = [measures(fold(t), automaton) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in range(3)] + [batch["toxic"].cast(pa.float64()), batch["weight"]], ["a", "b", "c", "y", "weight"])
 
-    x = np.array([tuple(r) for r in rows.where("part = 1").select("text", "toxic", "weight").mapInArrow(measured, "a double, b double, c double, y double, weight double").orderBy("a", "b", "c", "y", "weight").collect()])
-    if len(x) < 10 or len(set(x[:, 3])) < 2:
-        return Lexicon(weights, spared, (-3.0, 1.0, 0.5, 0.0))
-    return Lexicon(weights, spared, _logistic(x[:, :3], x[:, 3], x[:, 4]))
+    found = rows.select("text", "toxic", "weight").mapInArrow(measured, "a double, b double, c double, y double, weight double")
+    return [tuple(r) for r in found.orderBy("a", "b", "c", "y", "weight").collect()]
+
+
+def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", bound: int = 4096, support: int = 4, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """Learns the lexicon from `bound` labelled rows of each class at most: the documented sample of a classifier.
+
+    All rows give the lexicon. The factors of the logistic function come of rows that the lexicon has not seen: each half of the
+    rows is measured by a lexicon of the other half. In them the classes count by their shares of all usable labels. Where a half
+    lacks a class, its lexicon is empty, and where all do, the factors are those of measures that are all zero. Every pattern
+    that enough toxic rows hold is taken, every phrase of a pattern's word that only other rows hold is an exception; exceptions adds
+    the caller's own.
+    """
+    from .shared import long_texts, materialise
+
+    long_texts(documents.sparkSession)
+    rows = materialise(training_rows(documents, labels, label, usable, bound).withColumnRenamed("label", "toxic"), "toxic-rows")
+    own = tuple(fold(x) for x in exceptions)
+    whole = _learned(rows, support, own)
+    if not whole.weights and rows.select("toxic").distinct().count() < 2:
+        return Lexicon({}, own, (-30.0, 0.0, 0.0, 0.0))
+    found = []
+    for part in (0, 1):
+        found += _measured(rows.where(F.col("part") != part), _learned(rows.where(F.col("part") == part), support, own))
+    x = np.array(found)
+    return Lexicon(whole.weights, whole.exceptions, _logistic(x[:, :3], x[:, 3], x[:, 4]))

@@ -7,7 +7,9 @@ index (page, type, offset, length) beside it, through which a reader gets any re
 
 Of pages with equal payloads of at least `least` bytes the smallest page id is the response. Null payloads are empty.
 Rows without a page id, and repeated ids, get records of their own (null ids are never the response of others); a
-repeated id with the same payload is response in each row. Empty tables give no archives.
+repeated id with the same payload is response in each row. Long payloads are records like others, held one at a time by a
+task, and close their file. Ids of any type come back as text, null as null. Empty tables give no archives. Further columns are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,10 +32,19 @@ INDEX = "path string, page_id string, type string, offset long, length long, hea
 FILE_BYTES = 256 << 20
 
 
+#: The record id of a row without a page id.
+NO_PAGE = "<urn:no-page>"
+
+
+def _page(record_id: str) -> str | None:
+    return None if record_id == NO_PAGE else record_id[10:-1]
+
+
 def record(page_id: object, url: str | None, kind: str, digest: str, size: int, refers_to: object, payload: bytes) -> bytes:
     """The bytes of one record, up to and with the two empty lines at its end."""
     clean = "".join(c for c in url or "urn:none" if c > " ")
-    head = [b"WARC/1.1", f"WARC-Type: {kind}".encode(), f"WARC-Record-ID: <urn:page:{page_id}>".encode(), f"WARC-Target-URI: {clean}".encode("utf-8", "surrogatepass"), b"WARC-Date: 1970-01-01T00:00:00Z"]
+    own = NO_PAGE if page_id is None else f"<urn:page:{page_id}>"
+    head = [b"WARC/1.1", f"WARC-Type: {kind}".encode(), f"WARC-Record-ID: {own}".encode(), f"WARC-Target-URI: {clean}".encode("utf-8", "surrogatepass"), b"WARC-Date: 1970-01-01T00:00:00Z"]
     head += [f"WARC-Payload-Digest: sha256:{digest}".encode(), f"X-Payload-Length: {size}".encode()]
     if kind == "revisit":
         head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>".encode()]
@@ -148,7 +159,7 @@ def _normalised(batches, folder: str):
                     deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
                     member = deflate.compress(raw) + deflate.flush()
                     headers, _ = parse(raw)
-                    rows.append((headers["warc-record-id"][10:-1], headers["warc-type"], file.write(member), len(member), len(raw)))
+                    rows.append((_page(headers["warc-record-id"]), headers["warc-type"], file.write(member), len(member), len(raw)))
             uri = file.close()
             side = GzipFiles(folder, uri.rpartition("/")[2].replace(".warc.gz", ".index.jsonl"))
             for page_id, kind, offset, length, _ in rows:
@@ -156,7 +167,7 @@ def _normalised(batches, folder: str):
             side.close()
             for at in range(0, len(rows), 10_000):
                 part = list(zip(*rows[at : at + 10_000]))
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(part[0])), *[pa.array(x) for x in part]], ["path", "page_id", "type", "offset", "length", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(part[0])), *[pa.array(x, t) for x, t in zip(part, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))]], ["path", "page_id", "type", "offset", "length", "head"])
 
 
 def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, folder: str | None = None) -> DataFrame:
@@ -197,8 +208,7 @@ def _fetched(batches):
             if not revisit and (len(content) != size or hashlib.sha256(content).hexdigest() != digest):
                 raise ValueError(f"the payload of {headers['warc-record-id']} is damaged")
             refers = headers["warc-refers-to"][10:-1] if revisit else None
-            page = headers["warc-record-id"][10:-1]
-            rows.append((None if page == "None" else page, size, digest, headers["warc-type"], refers))
+            rows.append((_page(headers["warc-record-id"]), size, digest, headers["warc-type"], refers))
         columns = list(zip(*rows)) if rows else [()] * 5
         types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
