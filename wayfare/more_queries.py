@@ -13,17 +13,18 @@ from wayfare.operators import context as cx
 from wayfare.operators import matching as mt
 from wayfare.operators import metrics as me
 from wayfare.operators import propagation as pr
+from wayfare.operators import ranking as rk
 from wayfare.operators import selection as se
 from wayfare.operators import similarity as si
 from wayfare.operators import structure as stc
 from wayfare.operators import temporal as te
 from wayfare.operators import topology as tp
-from wayfare.plans import experiment, prepare, strategies
+from wayfare.plans import experiment, prepare, strategies, study
 from wayfare.queries import (
-    _DRAWS, _bootstrap, _grid_sql, _labels, _misspelt, _query, _regions, _round_metrics, _rounded, _scores, _study, BEST_SQL, CONTEXT_SQL, EDGES_SQL, G, GRAMS_SQL, LABELS_SQL, LOCAL_SQL,
+    ADJ_SQL, ORACLE_SQL, SEEDS_SQL, _DRAWS, _bootstrap, _grid_sql, _labels, _misspelt, _query, _regions, _round_metrics, _rounded, _scores, _study, BEST_SQL, CONTEXT_SQL, EDGES_SQL, G, GRAMS_SQL, LABELS_SQL, LOCAL_SQL,
     MISSPELT_SQL, NODES_SQL, QUESTIONS_SQL, SCORES_SQL, TITLES_SQL, TR_SQL, graph_of, metrics_sql, nation_questions, nation_seeds, read, recursive,
 )
-from wayfare.schema import Parameters
+from wayfare.schema import STUDY, BiasConfig, Parameters
 from wayfare.sources import files
 from wayfare.sources.cut import scratch
 from wayfare.sources.graph import Graph, trade_graph
@@ -407,6 +408,69 @@ def ask_model(spark, sf_dir):
     return _ask(spark, sf_dir, "llm", client=_Saved({"keywords": ["nation_3", "ASIA", "no such title"], "depth": 2, "decay": 0.5, "top_k": 10}))
 
 
+@_query(f"""with recursive {ASKED_SQL.replace("seeds as (select distinct l.qid, t.node_id from local l join titles t on t.norm = lower(l.keyword))", "seeds as (select qid, node_id from questions cross join titles where norm in ('nation_3', 'asia'))").replace("h0 as (", _same_sql(3, 0.25, 6) + ", h0 as (", 1)} {RANKS}""")
+def ask_model_keywords(spark, sf_dir):
+    """A model's keywords, from saved answers, with fixed parameters."""
+    return _ask(spark, sf_dir, "llm-keywords", fixed=Parameters(3, 0.25, 6), client=_Saved({"keywords": ["Nation_3", " asia "]}))
+
+
+@_query(f"{_asked_sql(_same_sql(2, 0.75, 20))} {RANKS}")
+def ask_few_shot(spark, sf_dir):
+    return _ask(spark, sf_dir, "llm-parameters-few-shot", client=_Saved({"depth": 2, "decay": 0.75, "top_k": 20}))
+
+
+@_query(f"{_asked_sql(RULES_SQL)} {RANKS}")
+def ask_approximate(spark, sf_dir):
+    """Approximate matching: every keyword is a title here, so it matches exactly before anything else."""
+    return _ask(spark, sf_dir, "rules", match_mode="approximate")
+
+
+def _backend_sql(a: float, b: float) -> str:
+    """The rules' questions, each to its own depth, on the simple graph with degree exponents; ties go to the node loaded first."""
+    biased = f"{ADJ_SQL.replace('adj as (', 'adj as materialized (')}, deg as (select src as id, cast(count(*) as double) as d from adj group by src), tr as (select src, dst, 1 / (pow(x.d, {b}) * pow(y.d, {a})) as share from adj join deg x on x.id = src join deg y on y.id = dst)"
+    sql = _asked_sql(RULES_SQL).replace(TR_SQL, biased).replace("sum(pow(decay, hop) * mass) as score", "sum((1 - decay) * pow(decay, hop) * mass) as score")
+    return sql.replace("order by round(score, 12) desc, node_id) as integer) as rank, node_id, score from scored", "order by round(score, 12) desc, pos) as integer) as rank, node_id, score from scored join nodes on id = node_id")
+
+
+@_query(f"{_backend_sql(0.25, 0.75)} {RANKS}")
+def ask_backend(spark, sf_dir):
+    """The degree-biased walk for questions of several depths and decays, in one plan."""
+    return _ask(spark, sf_dir, "rules", backend=BiasConfig(0.25, 0.75, query_type="N"))
+
+
+@_query(f"{_backend_sql(0.25, 0.75)} {RANKS}")
+def ask_backend_sampled(spark, sf_dir):
+    """The sampled walk under a bound so small that nothing is sampled: it is exact then."""
+    return _ask(spark, sf_dir, "rules", backend=BiasConfig(0.25, 0.75, delta=1e-15, relative_error=1e-3, query_type="S"))
+
+
+SAMPLED = BiasConfig(0.5, 0.5, delta=0.01, relative_error=0.5, query_type="S")
+
+
+@_query(f"""{G}, {SEEDS_SQL}, deg as (select src as id, cast(count(*) as double) as d from adj group by src), bi as (select src, dst, 1 / sqrt(x.d * y.d) as share from adj join deg x on x.id = src join deg y on y.id = dst),
+h1 as (select qid, dst as node_id, sum(mass * share) as mass from h0 join bi on src = node_id group by qid, dst), h2 as (select qid, dst as node_id, sum(mass * share) as mass from h1 join bi on src = node_id group by qid, dst),
+scored as (select qid, node_id, sum(s) as score from (select qid, node_id, 0.7 * mass as s from h0 union all select qid, node_id, 0.21 * mass from h1 union all select qid, node_id, 0.063 * mass from h2) group by qid, node_id)
+select qid, node_id, true as close from scored where score >= 0.01""")
+def sampled_mean(spark, sf_dir):
+    """Query type S drawn 16 times: the mean of every score that the bound covers is within its relative error."""
+    graph, seeds = graph_of(spark, sf_dir), nation_seeds(spark, sf_dir)
+    pair, draws = {"one": (SAMPLED.a, SAMPLED.b)}, 16
+    epsilon = SAMPLED.threshold(0, STUDY.depth)
+    # draws go by question, so each draw is a question of its own
+    each = seeds.crossJoin(F.broadcast(spark.range(draws))).select(F.concat("qid", F.lit("|"), "id").alias("qid"), "node_id")
+    drawn = pr.biased_scores(graph, each, pair, STUDY, epsilon=epsilon).select(F.substring_index("qid", "|", 1).alias("qid"), "node_id", "score")
+    mean = drawn.groupBy("qid", "node_id").agg((F.sum("score") / draws).alias("mean"))
+    exact = pr.biased_scores(graph, seeds, pair, STUDY).where(F.col("score") >= SAMPLED.delta).select("qid", "node_id", "score")
+    close = F.abs(F.coalesce("mean", F.lit(0.0)) - F.col("score")) <= SAMPLED.relative_error * F.col("score")
+    return exact.join(mean, ["qid", "node_id"], "left").select("qid", "node_id", close.alias("close"))
+
+
+@_query(f"select qid, 'C1' as condition, rank, node_id, round(score, 11) as score from ({ORACLE_SQL['direct_neighbours']}) union all select qid, arm, rank, node_id, score from ({ORACLE_SQL['propagate_arms']})")
+def study_retrieval(spark, sf_dir):
+    """All retrieving conditions of the study at once."""
+    return study.retrieve(graph_of(spark, sf_dir), nation_seeds(spark, sf_dir)).withColumn("score", F.round("score", 11))
+
+
 def _compared_sql() -> str:
     """Metrics of the three strategies; the nation's customers and suppliers are wanted."""
     def one(name: str, parameters: str) -> str:
@@ -643,3 +707,22 @@ def streamed_sessions(spark, sf_dir):
     session_stream(stream, f"{folder}/out", f"{folder}/log", "user_id", "ts", "value", gap="3 hours", late="1 day").awaitTermination()
     found = spark.read.parquet(f"{folder}/out")
     return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("begin", "end")], "events", F.round("total", 4).alias("total"))
+
+
+# ---- texts -------------------------------------------------------------------------------------------------------
+
+_TERMS_SQL = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
+
+
+@_query(f"""with d as (select doc_id, {_TERMS_SQL} as t from documents), n as (select count(*) as n, avg(len(t)) as mean from d),
+q as (select distinct item_id, unnest({_TERMS_SQL}) as term from benchmark),
+p as (select doc_id, len(t) as length, unnest(t) as term from d), tf as (select doc_id, length, term, count(*) as tf from p where term in (select term from q) group by all),
+df as (select term, count(*) as df from tf group by term),
+w as (select term, doc_id, ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / mean)) as weight from tf join df using (term) cross join n),
+s as (select item_id, doc_id, round(sum(weight), 9) as score from q join w using (term) group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from s qualify rank <= 10""")
+def bm25_documents(spark, sf_dir):
+    """The ten best documents for every benchmark item."""
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    found = rk.bm25(queries, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return found.select(F.col("qid").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
