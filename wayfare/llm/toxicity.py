@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workers import tidy
+from .workers import small, tidy
 
 #: Look-alike letters of other scripts, and digits and signs written for letters.
 HOMOGLYPHS = str.maketrans(
@@ -107,32 +107,43 @@ def score(text: Column, lexicon: Lexicon) -> Column:
     return scored(text)
 
 
+#: Rows of which a task holds the features at a time.
+ROWS = 128
+_COUNTED = "feature string, part long, toxic long, other long"
+
+
 @tidy()
 def _features(batches):
-    """(feature, toxic documents, other documents): each word and word beginning once a document."""
-    for batch in batches:
-        found: dict[str, list[int]] = {}
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
+    """(feature, part, toxic documents, other documents): each word and word beginning once a document."""
+    for batch in small(batches, ROWS):
+        rows = []
+        for text, part, toxic in zip(batch["text"].to_pylist(), batch["part"].to_pylist(), batch["toxic"].to_pylist()):
             own = set()
             for word in set(fold(text).split()):
                 own.add(f" {word} ")
                 own.update(f" {word[:n]}" for n in range(4, min(9, len(word))))
-            for feature in own:
-                found.setdefault(feature, [0, 0])[0 if toxic else 1] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(found), pa.string()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())],
-            ["feature", "toxic", "other"],
-        )
+            rows.append((own, part, toxic))
+        yield _counts(rows)
 
 
+@tidy()
 def _phrases(batches, words: frozenset[str]):
-    """(phrase, toxic, other): each lexicon word with the word after it."""
-    for batch in batches:
+    """The same of phrases: each lexicon word with the word after it."""
+    for batch in small(batches, ROWS):
         rows = []
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
+        for text, part, toxic in zip(batch["text"].to_pylist(), batch["part"].to_pylist(), batch["toxic"].to_pylist()):
             found = fold(text).split()
-            rows += [(p, int(toxic), 1 - int(toxic)) for p in {f" {a} {b} " for a, b in zip(found, found[1:]) if a in words}]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["phrase", "toxic", "other"])
+            rows.append(({f" {a} {b} " for a, b in zip(found, found[1:]) if a in words}, part, toxic))
+        yield _counts(rows)
+
+
+def _counts(rows: list[tuple[set[str], int, int]]) -> pa.RecordBatch:
+    found: dict[tuple[str, int], list[int]] = {}
+    for own, part, toxic in rows:
+        for feature in own:
+            found.setdefault((feature, part), [0, 0])[0 if toxic else 1] += 1
+    columns = [[k[0] for k in found], [k[1] for k in found], [x[0] for x in found.values()], [x[1] for x in found.values()]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["feature", "part", "toxic", "other"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
@@ -167,34 +178,34 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, usable: C
     return found.select("text", "label", F.expr("pmod(xxhash64(doc_id, 5L), 2)").alias("part"), "weight")
 
 
-def _learned(rows: DataFrame, support: int, exceptions: tuple[str, ...]) -> Lexicon:
-    """Patterns and exceptions of labelled rows (text, toxic), without factors."""
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n.get(1) or not n.get(0):
-        return Lexicon({}, tuple(exceptions), (0.0, 0.0, 0.0, 0.0))
-    counted = rows.mapInArrow(_features, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    weight = F.log(((F.col("toxic") + 0.1) / (n[1] + 0.2)) / ((F.col("other") + 0.1) / (n[0] + 0.2)))
+def _of(counted: DataFrame, parts: tuple[int, ...]) -> DataFrame:
+    return counted.where(F.col("part").isin(*parts)).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+
+
+def _patterns(counted: DataFrame, n: dict[tuple[int, int], int], parts: tuple[int, ...], support: int) -> dict[str, float]:
+    """The patterns of the rows of these parts; none without rows of both classes. n: rows by part and class."""
+    toxic, other = (sum(n.get((p, y), 0) for p in parts) for y in (1, 0))
+    if not toxic or not other:
+        return {}
+    weight = F.log(((F.col("toxic") + 0.1) / (toxic + 0.2)) / ((F.col("other") + 0.1) / (other + 0.2)))
     # a pattern counts by the doubt that its few documents leave: two standard errors are taken off
     doubt = F.sqrt(1 / (F.col("toxic") + 0.1) + 1 / (F.col("other") + 0.5))
-    top = counted.where(F.col("toxic") >= support).withColumn("weight", weight - doubt).where("weight > 1.5").orderBy(F.desc("weight"), "feature").collect()
-    weights = {r["feature"]: round(r["weight"], 6) for r in top}
-    words = frozenset(x.strip() for x in weights if x.endswith(" "))
-    seen = rows.mapInArrow(lambda b: _phrases(b, words), "phrase string, toxic long, other long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    learned = [r["phrase"] for r in seen.where(f"toxic = 0 and other >= {support}").orderBy(F.desc("other"), "phrase").collect()]
-    return Lexicon(weights, tuple(dict.fromkeys([*exceptions, *learned])), (0.0, 0.0, 0.0, 0.0))
+    top = _of(counted, parts).where(F.col("toxic") >= support).withColumn("weight", weight - doubt).where("weight > 1.5").orderBy(F.desc("weight"), "feature").collect()
+    return {r["feature"]: round(r["weight"], 6) for r in top}
 
 
 def _measured(rows: DataFrame, lexicon: Lexicon) -> list[tuple]:
     """The three measures of each row, its label and its weight, in a defined order."""
 
+    @tidy()
     def measured(batches):
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in small(batches, ROWS):
             found = [measures(fold(t), automaton) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in range(3)] + [batch["toxic"].cast(pa.float64()), batch["weight"]], ["a", "b", "c", "y", "weight"])
 
     found = rows.select("text", "toxic", "weight").mapInArrow(measured, "a double, b double, c double, y double, weight double")
-    return [tuple(r) for r in found.orderBy("a", "b", "c", "y", "weight").collect()]
+    return sorted(tuple(r) for r in found.collect())
 
 
 def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", bound: int = 4096, support: int = 4, exceptions: tuple[str, ...] = ()) -> Lexicon:
@@ -210,12 +221,22 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, *, label: str =
 
     long_texts(documents.sparkSession)
     rows = materialise(training_rows(documents, labels, label, usable, bound).withColumnRenamed("label", "toxic"), "toxic-rows")
+    n = {(r["part"], r["toxic"]): r["n"] for r in rows.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     own = tuple(fold(x) for x in exceptions)
-    whole = _learned(rows, support, own)
-    if not whole.weights and rows.select("toxic").distinct().count() < 2:
+    if len({toxic for _, toxic in n}) < 2:
         return Lexicon({}, own, (-30.0, 0.0, 0.0, 0.0))
-    found = []
-    for part in (0, 1):
-        found += _measured(rows.where(F.col("part") != part), _learned(rows.where(F.col("part") == part), support, own))
-    x = np.array(found)
+    counted = materialise(rows.mapInArrow(_features, _COUNTED).groupBy("feature", "part").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "toxic-features")
+    chosen = ((0, 1), (0,), (1,))
+    weights = {parts: _patterns(counted, n, parts, support) for parts in chosen}
+    words = {parts: frozenset(x.strip() for x in found if x.endswith(" ")) for parts, found in weights.items()}
+    seen = rows.mapInArrow(lambda b: _phrases(b, frozenset().union(*words.values())), _COUNTED)
+    seen = materialise(seen.groupBy("feature", "part").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "toxic-phrases")
+
+    def lexicon(parts: tuple[int, ...]) -> Lexicon:
+        found = _of(seen, parts).where(f"toxic = 0 and other >= {support}").orderBy(F.desc("other"), "feature").collect()
+        learned = [r["feature"] for r in found if r["feature"].split()[0] in words[parts]]
+        return Lexicon(weights[parts], tuple(dict.fromkeys([*own, *learned])), (0.0, 0.0, 0.0, 0.0))
+
+    whole = lexicon((0, 1))
+    x = np.array([row for part in (0, 1) for row in _measured(rows.where(F.col("part") != part), lexicon((part,)))])
     return Lexicon(whole.weights, whole.exceptions, _logistic(x[:, :3], x[:, 3], x[:, 4]))
