@@ -182,7 +182,7 @@ def _packed(batches, tokens_of: Callable, limits: Limits, id_type: pa.DataType |
         kind[:] = [batch.column(0).type]
         for document, ids, loss in tokens_of(batch):
             put(packer.add(Piece(document, 0, ids, loss, len(ids))))
-            if len(rows) >= 5000:
+            if len(rows) >= 1000:
                 yield flush()
     put(packer.finish())
     if rows:
