@@ -80,10 +80,27 @@ def test_triangles(spark):
     assert rows(structure.triangles(graph)) == sorted(want)
 
 
+def test_neighbourhood_sizes(spark):
+    """Small ones exactly; a hub with two thousand others around it, two hops wide for all of them, within four standard errors."""
+    graph, ids, near, _ = random_graph(spark, 6)
+    level = {i: reached(near, [i]) for i in ids}
+    want = [(i, hop, sum(1 for v in level[i].values() if v <= hop)) for i in ids for hop in (1, 2, 3)]
+    assert rows(structure.neighbourhood_sizes(graph, 3)) == sorted(want)
+    star = ["hub", *[f"{i:04d}" for i in range(2000)], "alone"]
+    graph = graph_of(spark, star, [("hub", i, 1) for i in star[1:-1]] * 2)
+    got = {(r["id"], r["hop"]): r["nodes"] for r in structure.neighbourhood_sizes(graph, precision=11).collect()}
+    assert len(got) == 2 * len(star) and got["alone", 2] == 1 and got["0007", 1] == 2
+    assert all(abs(got[i, 2] - 2001) <= 4 * 1.04 / 2**5.5 * 2001 for i in star[:-1])
+    for wrong in ({"hops": 0}, {"precision": 3}):
+        with pytest.raises(ValueError):
+            structure.neighbourhood_sizes(graph, **wrong)
+
+
 def test_structure_of_nothing(spark):
     graph = Graph.from_rows(spark, [], [])
     assert rows(structure.components(graph)) == rows(structure.triangles(graph)) == rows(structure.pagerank(graph)) == []
     assert rows(structure.levels(graph, spark.createDataFrame([("q", "a")], "qid string, node_id string"))) == []
+    assert rows(structure.neighbourhood_sizes(graph)) == []
     alone = graph_of(spark, "ab", [])
     assert rows(structure.components(alone)) == [("a", "a"), ("b", "b")] and rows(structure.pagerank(alone)) == [("a", 0.5), ("b", 0.5)]
 

@@ -666,6 +666,23 @@ def triangles(spark, sf_dir):
     return stc.triangles(Graph(trade_graph(spark, sf_dir).nodes, edges)).withColumn("clustering", F.round("clustering", 9))
 
 
+@_query(f"""{G.replace("adj as (", "adj as materialized (")}, one as (select src as id, count(*) as n from adj group by src),
+two as (select x.src as id, count(distinct y.dst) as n from adj x join adj y on y.src = x.dst where x.src[1] in ('r', 'n') and y.dst <> x.src and (x.src, y.dst) not in (select (src, dst) from adj) group by x.src)
+select id, 1 as hop, 1 + coalesce(n, 0) as nodes, true as close from nodes left join one using (id)
+union all select id, 2, 1 + coalesce(one.n, 0) + coalesce(two.n, 0), true from nodes left join one using (id) left join two using (id) where id[1] in ('r', 'n')""")
+def neighbourhood_sizes(spark, sf_dir):
+    """Sizes by sketches for all nodes; close: within four standard errors of the exact count, for one hop of every node and two of regions and nations."""
+    graph = graph_of(spark, sf_dir)
+    about = stc.neighbourhood_sizes(graph).withColumnRenamed("nodes", "about")
+    one = graph.nodes.select("id").join(graph.degrees, "id", "left").select("id", (1 + F.coalesce("degree", F.lit(0))).alias("nodes"))
+    hubs = one.where(F.substring("id", 1, 1).isin("r", "n"))
+    far = tp.distance_two(graph, hubs.select(F.col("id").alias("qid"), F.col("id").alias("seed"))).groupBy(F.col("qid").alias("id")).agg(F.count(F.lit(1)).alias("far"))
+    two = hubs.join(far, "id", "left").select("id", F.lit(2).alias("hop"), (F.col("nodes") + F.coalesce("far", F.lit(0))).alias("nodes"))
+    exact = one.select("id", F.lit(1).alias("hop"), "nodes").unionByName(two)
+    near = F.abs(F.col("about") - F.col("nodes")) <= 4 * 1.04 / 2**6 * F.col("nodes")
+    return exact.join(about, ["id", "hop"], "left").select("id", "hop", "nodes", F.coalesce(near, F.lit(False)).alias("close"))
+
+
 # ---- time --------------------------------------------------------------------------------------------------------
 
 
