@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -100,8 +101,12 @@ def parameter_grid(graph: Graph, seeds: DataFrame, labels: DataFrame, depths: tu
     spark = graph.spark
     masses = hop_masses(graph, seeds, max(depths))
     cells = spark.createDataFrame([(d, float(x)) for d in depths for x in decays], "depth int, decay double")
-    weighted = masses.join(F.broadcast(cells), F.col("hop") <= F.col("depth"))
-    scored = weighted.groupBy("qid", "depth", "decay", "node_id").agg(F.sum(F.pow("decay", "hop") * F.col("mass")).alias("score"))
+    # a node's hops meet once, side by side; a configuration is then their weighted sum in place
+    mass = lambda hop: F.coalesce(F.sum(F.when(F.col("hop") == hop, F.col("mass"))), F.lit(0.0))
+    nodes = masses.groupBy("qid", "node_id").agg(F.min("hop").alias("nearest"), F.array(*[mass(h) for h in range(max(depths) + 1)]).alias("m"))
+    weighed = lambda d, x: reduce(lambda a, b: a + b, [F.lit(float(x) ** h) * F.col("m")[h] for h in range(d + 1)])
+    each = F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(float(x)).alias("decay"), weighed(d, x).alias("score")) for d in depths for x in decays])
+    scored = nodes.select("qid", "node_id", "nearest", F.inline(each)).where("nearest <= depth").drop("nearest")
     # the longest list once; shorter ones are its beginnings
     listed = ranked(scored, ["qid", "depth", "decay"], max(tops), F.col("node_id").asc())
     sizes = spark.createDataFrame([(k,) for k in tops], "top_k int")

@@ -112,7 +112,7 @@ class Graph:
     @cached_property
     def adjacency(self) -> DataFrame:
         """(src, dst): the simple graph in both directions."""
-        return self.simple_edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(self.simple_edges.select("b", "a"))
+        return self.simple_edges.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))))
 
     @cached_property
     def degrees(self) -> DataFrame:
