@@ -133,3 +133,23 @@ def test_unique_titles(spark):
 def test_canonical(spark):
     raw = spark.createDataFrame([("10", "9"), ("9", "10"), ("3", "3")], "x string, y string")
     assert rows(tp.canonical_edges(raw, "x", "y")) == [(9, 10)]
+
+
+def test_whole_walks_and_shared_neighbours(spark):
+    """Many starts share a neighbour; no end of a walk is left out where there is no limit."""
+    starts = [f"s{i}" for i in range(300)]
+    edges = [(s, "a") for s in starts] + [("a", "m"), ("m", "b"), ("a", "n"), ("n", "c"), ("n", "b2"), ("m", "b2")]
+    ids = sorted({x for e in edges for x in e})
+    graph = graph_of(spark, ids, [(x, y, 1) for x, y in edges])
+    near = {i: set() for i in ids}
+    for x, y in edges:
+        near[x].add(y), near[y].add(x)
+    pairs = spark.createDataFrame([(f"{s}-{t}", s, t) for s in [*starts[:5], "a"] for t in ("b", "b2", "c", "m")], "qid string, start string, target string")
+    assert rows(tp.unique_three_hop_path(graph, pairs)) == sorted((f"{s}-{t}", "a", r) for s in starts[:5] for t, r in (("b", "m"), ("c", "n")))
+    kinds = spark.createDataFrame([(i, i[0]) for i in ids], "id string, category string")
+    alike = tp.same_category_distance_two(graph, spark.createDataFrame([("q", "s0"), ("r", "b")], "qid string, seed string"), kinds)
+    assert rows(alike) == sorted([("q", s) for s in starts[1:]] + [("r", "b2")])
+    own = spark.createDataFrame([("q", "b"), ("r", "c")], "qid string, start string")
+    want = {(q, w) for q, s in (("q", "b"), ("r", "c")) for x in near[s] for y in near[x] if y != s for w in near[y] if w not in (s, x)}
+    assert len(want) > 500 and rows(tp.path_candidates(graph, own, limit=None)) == sorted(want)
+    assert all(sum(q == k for q, _ in rows(tp.path_candidates(graph, own))) <= 250 for k in ("q", "r"))
