@@ -153,3 +153,11 @@ def test_whole_walks_and_shared_neighbours(spark):
     want = {(q, w) for q, s in (("q", "b"), ("r", "c")) for x in near[s] for y in near[x] if y != s for w in near[y] if w not in (s, x)}
     assert len(want) > 500 and rows(tp.path_candidates(graph, own, limit=None)) == sorted(want)
     assert all(sum(q == k for q, _ in rows(tp.path_candidates(graph, own))) <= 250 for k in ("q", "r"))
+
+
+def test_ends_are_asked_without_adjacency(spark):
+    """No pairs are made for isolated nodes, and ends are dealt to all parts, few or many as they are."""
+    graph = Graph.from_rows(spark, [("a", "A", ""), ("b", "B", ""), ("c", "C", "")], [("a", "b", 1.0, ""), ("a", "b", 1.0, ""), ("c", "c", 1.0, ""), ("x", "a", 1.0, ""), ("b", "x", 1.0, "")])
+    assert rows(graph.isolated()) == [("c",)] and "adjacency" not in graph.__dict__
+    assert rows(graph.unknown_endpoints()) == [("x",)]
+    assert graph.ends(graph.edges).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
