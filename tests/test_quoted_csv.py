@@ -6,7 +6,10 @@ import random
 
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
+from wayfare.sources.files import write_csv
+from wayfare.sources.graph import ranked_by
 from wayfare.sources.quoted_csv import read_quoted_csv
 
 
@@ -68,3 +71,21 @@ def test_faults(spark, tmp_path):
         read_quoted_csv(spark, write("short.csv", "a,b\n1\n")).collect()
     assert rows(read_quoted_csv(spark, write("none.csv", "a,b\n")), "a", "b") == []
     assert rows(read_quoted_csv(spark, write("nulls.csv", 'a,b\n,""\nx,\n')), "a", "b", "_pos") == [("x", None, 1), (None, None, 0)]
+
+
+def test_ordered_csv_is_written_by_several_tasks(spark, tmp_path):
+    """One task sorted and held all rows before; ranks come without one too."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        own = spark.range(400).select((F.col("id") * 7 % 400).alias("k"), F.lit('a\n"b"').alias("v"))
+        write_csv(own, str(tmp_path / "c"), ["k"])
+        ranked = ranked_by(own.withColumn("k", F.col("k") * 3), "k", "nth")
+        assert rows(ranked.where("nth <> k / 3 + 1")) == [] and ranked.count() == 400 and ranked.columns == ["k", "v", "nth"]
+    finally:
+        spark.conf.set(name, before)
+    assert len(list((tmp_path / "c").glob("part-*"))) > 1
+    found = read_quoted_csv(spark, str(tmp_path / "c")).orderBy("_pos").collect()
+    assert [(int(r["k"]), r["v"]) for r in found] == [(k, 'a\n"b"') for k in range(400)]
+    assert rows(ranked_by(own.limit(0), "k", "nth")) == []
