@@ -152,3 +152,14 @@ def test_streamed_sessions(spark, tmp_path):
     assert got == [("a", at(0), at(19), 3, 11.0), ("a", at(55), at(70), 2, 48.0), ("b", at(5), at(15), 1, 4.0)]
     table = spark.read.schema(schema).parquet(str(tmp_path / "in"))
     assert sorted(tuple(r) for r in sessions(table, "u", "t", "v", gap="10 minutes").collect()) == [("a", at(0), at(19), 3, 11.0), ("a", at(55), at(70), 2, 48.0), ("b", at(1), at(15), 2, 103.0), ("b", at(200), at(210), 1, 64.0)]
+
+
+def test_components_rounds_keep_no_plans(spark):
+    """What a checkpoint knows of its rows doubled from round to round, until planning took all the time."""
+    ids = [f"v{i:02d}" for i in range(40)]
+    graph = Graph.from_rows(spark, [(i, i, "") for i in ids], [(a, b, 1.0, "") for a, b in zip(ids, ids[1:]) if b != "v20"])
+    found = structure.components(graph.keep("adjacency"))
+    graph.release()
+    assert {tuple(r) for r in found.collect()} == {(i, "v00" if i < "v20" else "v20") for i in ids}
+    # the nodes are rows of the session; all else comes of files
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
