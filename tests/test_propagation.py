@@ -152,3 +152,16 @@ def test_last_hop_of_large_frontiers(spark):
     table = spark.createDataFrame([("q0", 1, 0.4, 3), ("q2", 3, 0.75, 10), ("q4", 0, 0.5, 2)], "qid string, depth int, decay double, top_k int")
     got = {(r["qid"], r["rank"], r["node_id"]) for r in pr.propagate(graph, seeds, table, light=0).collect()}
     assert got == {(q, r["rank"], r["node_id"]) for q, *own in table.collect() for r in pr.propagate(graph, seeds.where(F.col("qid") == q), Parameters(*own)).collect()}
+
+
+def test_questions_of_the_same_seeds_walk_once(spark):
+    """Equal seeds, depth and decay are one walk, of which each question takes its own number of nodes; a hop's arcs are neither summed nor sorted."""
+    graph = graph_of(spark, "abc", [("a", "b", 1.0), ("a", "b", 2.0), ("b", "c", 1.0)])
+    own = seeds(spark, ("x", "a"), ("x", "b"), ("y", "b"), ("y", "a"), ("z", "a"))
+    table = spark.createDataFrame([("x", 2, 0.5, 1), ("y", 2, 0.5, 3), ("z", 2, 0.5, 3)], "qid string, depth int, decay double, top_k int")
+    asked, walks = pr.same_walks(own, table, ["qid"])
+    assert sorted((r["qid"], r["walk"]) for r in asked.collect()) == [("x", "x"), ("y", "x"), ("z", "z")] and walks.count() == 2
+    got = {(r["qid"], r["rank"]): (r["node_id"], r["score"]) for r in pr.propagate(graph, own, table).collect()}
+    assert len(got) == 7 and got["x", 1] == got["y", 1]
+    assert sum(score for (qid, _), (_, score) in got.items() if qid == "z") == pytest.approx(1.75)
+    assert graph.arcs.count() == 6 and graph.transition.count() == 4

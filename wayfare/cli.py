@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     args = arguments().parse_args(argv)
     fixed = configured(args, Parameters)
     spark = spark or SparkSession.builder.appName("wayfare").getOrCreate()
-    graph = Graph.from_csv(spark, args.nodes, args.edges).keep("transition", "titles")
+    graph = Graph.from_csv(spark, args.nodes, args.edges).keep("arcs", "totals", "titles")
     client = Http.from_environment()
     backend = configured(args, BiasConfig, "bias_") if args.backend == "biased" else None
     how = {"client": client, "backend": backend, "match_mode": args.match_mode, "threshold": args.match_threshold, "margin": args.match_margin}

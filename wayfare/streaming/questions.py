@@ -18,7 +18,7 @@ def question_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def answer_stream(graph: Graph, stream: DataFrame, out: str, checkpoint: str, strategy: str = "rules", trigger: dict | None = None, **options) -> StreamingQuery:
     """Appends results as JSON; a batch that is repeated after a failure replaces its own folder."""
-    graph.keep("transition", "titles")
+    graph.keep("arcs", "totals", "titles")
 
     def batch(df: DataFrame, number: int) -> None:
         done = strategies.run(graph, df, strategy, **options)
