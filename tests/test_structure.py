@@ -163,3 +163,13 @@ def test_components_rounds_keep_no_plans(spark):
     assert {tuple(r) for r in found.collect()} == {(i, "v00" if i < "v20" else "v20") for i in ids}
     # the nodes are rows of the session; all else comes of files
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_levels_of_more_questions_than_a_word(spark, monkeypatch):
+    """Questions go together as bits, a word's at a time, and nodes that a level reaches from several of them are one row."""
+    monkeypatch.setattr(structure, "BITS", 3)
+    graph = graph_of(spark, "abcde", [("a", "b", 1), ("b", "c", 1), ("c", "d", 1)])
+    own = spark.createDataFrame([(f"q{i}", x) for i, x in enumerate("abcdea")], "qid string, node_id string")
+    path = {x: {y: abs("abcd".index(x) - "abcd".index(y)) for y in "abcd"} for x in "abcd"} | {"e": {"e": 0}}
+    want = sorted((f"q{i}", y, n) for i, x in enumerate("abcdea") for y, n in path[x].items())
+    assert sorted((r["qid"], r["node_id"], r["level"]) for r in structure.levels(graph, own).collect()) == want
