@@ -183,3 +183,14 @@ def test_warc_ids_of_text(spark):
     pages = spark.createDataFrame([(i, "http://x", f"page {n}" * 30, "odd") for n, i in enumerate(ids)], "page_id string, url string, html string, path string")
     got = warc.read(warc.normalise(warc.write(pages))).collect()
     assert sorted(str(r["page_id"]) + str(r["page_id"] is None) for r in got) == sorted(str(i) + str(i is None) for i in ids)
+
+
+def test_vectors_are_merged_whatever_their_files_size(spark, monkeypatch):
+    """Numbers are small as files, so by these a table of many would be broadcast through the driver."""
+    rows = [(i, [1.0, 0.01 * (i % 7), 0.5], 1) for i in range(40)]
+    got = embedding_dedup.similar(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.where("n_links = 39 and component_id = 0").count() == 40
+    monkeypatch.setattr(shared.sided, "__defaults__", (3,))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    assert {tuple(r) for r in shared.components(edges, "test").collect()} == {(i, 0) for i in range(10)}
+    assert "Broadcast" not in shared.sided(shared.materialise(edges, "test")).join(edges, "a")._jdf.queryExecution().executedPlan().toString()

@@ -180,24 +180,25 @@ def similar(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     plain, names = own_keys(plain, "id", ["label", "vector"], "vector-rows")
     digested = materialise(plain.select("key", "label", "vector").mapInArrow(_digested, "key long, label string, size int, digest binary, vector binary"), "vectors")
+    # all joins are merged: tables of numbers are small as files and in shuffles, and would be broadcast however many rows they have
     same = ["label", "size", "digest"]
     classes = digested.where("digest is not null").groupBy(*same).agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("members"))
-    membership = materialise(digested.select("key", *same).join(classes, same, "left").select("key", F.coalesce("rep", "key").alias("rep"), F.coalesce("members", F.lit(1)).alias("members")), "vector-classes")
-    reps = digested.where("digest is not null").join(membership.where("key = rep").select("rep", "members"), F.col("key") == F.col("rep")).select("rep", "label", "size", "vector", "members")
+    membership = materialise(digested.select("key", *same).join(classes.hint("merge"), same, "left").select("key", F.coalesce("rep", "key").alias("rep"), F.coalesce("members", F.lit(1)).alias("members")), "vector-classes")
+    reps = digested.where("digest is not null").join(membership.where("key = rep").select("rep", "members").hint("merge"), F.col("key") == F.col("rep")).select("rep", "label", "size", "vector", "members")
     reps = materialise(reps, "vector-reps")
     celled = materialise(reps.select("rep", "label", "size", "vector").mapInArrow(lambda b: _celled(b, distance), "cell string, rep long, home boolean, block int"), "vector-cells")
     # the cell, not the chunks, has one size and block; a cell without a home row holds no pair
-    dealt = pair_blocks(celled, ["cell"], "rep", CHUNK, "max(home)").join(reps.select("rep", "size", "vector", "members"), "rep")
+    dealt = pair_blocks(celled.hint("merge"), ["cell"], "rep", CHUNK, "max(home)").join(reps.select("rep", "size", "vector", "members").hint("merge"), "rep")
     found = dealt.repartition("cell", "chunk_i", "chunk_j").groupBy("cell", "chunk_i", "chunk_j").applyInPandas(lambda f: _linked(f, distance, threshold), "rep long, others long, least long")
     found = materialise(found, "vector-links")
     counted = found.groupBy("rep").agg(F.sum("others").alias("others"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")), "vectors").select(F.col("v").alias("rep"), F.col("component").alias("first"))
     out = (
-        membership.join(counted, "rep", "left").join(joined, "rep", "left")
+        membership.join(counted.hint("merge"), "rep", "left").join(joined.hint("merge"), "rep", "left")
         .select("key", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("first", "rep").alias("first"))
     )
     if names is None:
         out = out.withColumnsRenamed({"key": "id", "first": "component_id"})
     else:
-        out = out.join(names, "key").join(names.select(F.col("key").alias("first"), F.col("id").alias("component_id")), "first").select("id", "n_links", "component_id")
+        out = out.join(names.hint("merge"), "key").join(names.select(F.col("key").alias("first"), F.col("id").alias("component_id")).hint("merge"), "first").select("id", "n_links", "component_id")
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
