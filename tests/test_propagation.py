@@ -165,3 +165,28 @@ def test_questions_of_the_same_seeds_walk_once(spark):
     assert len(got) == 7 and got["x", 1] == got["y", 1]
     assert sum(score for (qid, _), (_, score) in got.items() if qid == "z") == pytest.approx(1.75)
     assert graph.arcs.count() == 6 and graph.transition.count() == 4
+
+
+def test_only_nodes_that_can_be_among_the_best_are_ranked(spark):
+    scores = spark.range(4000).select(F.concat(F.lit("q"), F.col("id") % 2).alias("qid"), F.col("id").cast("string").alias("node_id"), (F.floor(F.col("id") / 8) / 500).alias("score"))
+    few = pr.leading(scores, ["qid"], 3)
+    listed = lambda df: rows(pr.ranked(df, ["qid"], 3, F.col("node_id").asc()))
+    assert listed(few) == listed(scores) and few.count() < 100
+    assert pr.leading(scores.where("node_id < '2'"), ["qid", "node_id"], 3).count() == scores.where("node_id < '2'").count()
+
+
+def test_questions_of_long_walks_are_columns(spark):
+    """A hop has a row an arc for up to 16 questions, and all scores are those of each question alone; the setting of the written table is given back."""
+    graph = graph_of(spark, "012345", TREE)
+    own = seeds(spark, *[(f"q{i:02}", str(i % 6)) for i in range(20)], ("q03", "5"))
+    names, starts = pr.together(pr.valid_seeds(graph, own), [], 16)
+    assert sorted(r["count"] for r in names.groupBy("qid").count().collect()) == [4, 16] and starts.count() == 21
+    got = rows(pr.propagate_biased(graph, own, {"x": (0.25, 0.75)}, Parameters(3, 0.4, 4)).withColumn("score", F.round("score", 12)), "qid", "rank", "node_id", "score")
+    for qid in ("q00", "q03", "q19"):
+        alone = pr.propagate_biased(graph, own.where(F.col("qid") == qid), {"x": (0.25, 0.75)}, Parameters(3, 0.4, 4)).withColumn("score", F.round("score", 12))
+        assert [r for r in got if r[0] == qid] == rows(alone, "qid", "rank", "node_id", "score")
+    cells = own.select("qid").distinct().crossJoin(spark.createDataFrame([(1, 0.5), (3, 0.75)], "depth int, decay double"))
+    want = pr.hop_masses(graph, own, 3).join(cells, "qid").where("hop <= depth").groupBy("qid", "depth", "decay", "node_id").agg(F.sum(F.pow("decay", "hop") * F.col("mass")).alias("score"))
+    same = lambda df: rows(df.withColumn("score", F.round("score", 12)), "qid", "depth", "decay", "node_id", "score")
+    assert same(pr.weighted_best(graph, own, 3, cells, 50)) == same(want)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
