@@ -396,3 +396,20 @@ def test_study_reports(spark, graph):
 
     two = study.answer_quality(graph, q, made.where("condition = 'C1'").select("qid", "context"), Echo())
     assert {r["condition"]: r["entity_recall"] for r in two["means"].collect()} == {"C0": 0.0, "C1": 0.25} and two["blind"].count() == 2
+
+
+def test_pairs_for_comparison_meet_once(spark):
+    """Two edges meet in their middle once; a pair's middles are its labels, and adjacent pairs are left out."""
+    import random
+
+    rng = random.Random(3)
+    ids = [f"n{i}" for i in range(30)]
+    graph = graph_of(spark, ids, [(rng.choice(ids), rng.choice(ids), 1) for _ in range(70)])
+    found = prepare.candidates(graph, graph.nodes.select("id", F.lit("x").alias("category"))).where("question_type = 'comparison'")
+    near: dict = {}
+    for a, b in (tuple(r) for r in graph.adjacency.collect()):
+        near.setdefault(a, set()).add(b)
+    both = {(a, b): sorted(near[a] & near[b]) for a in near for b in near if a < b and b not in near[a] and 2 <= len(near[a]) <= 30 and 2 <= len(near[b]) <= 30}
+    want = {k: v for k, v in both.items() if 2 <= len(v) <= 10}
+    assert want and {tuple(r["seeds"]): r["relevant"] for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 6
