@@ -86,6 +86,8 @@ def test_neighbourhood_sizes(spark):
     level = {i: reached(near, [i]) for i in ids}
     want = [(i, hop, sum(1 for v in level[i].values() if v <= hop)) for i in ids for hop in (1, 2, 3)]
     assert rows(structure.neighbourhood_sizes(graph, 3)) == sorted(want)
+    few = spark.createDataFrame([(i,) for i in ids[::3]], "id string")
+    assert rows(structure.neighbourhood_sizes(graph, 3, last=few)) == sorted(x for x in want if x[1] < 3 or x[0] in ids[::3])
     star = ["hub", *[f"{i:04d}" for i in range(2000)], "alone"]
     graph = graph_of(spark, star, [("hub", i, 1) for i in star[1:-1]] * 2)
     got = {(r["id"], r["hop"]): r["nodes"] for r in structure.neighbourhood_sizes(graph, precision=11).collect()}
