@@ -161,3 +161,19 @@ def test_ends_are_asked_without_adjacency(spark):
     assert rows(graph.isolated()) == [("c",)] and "adjacency" not in graph.__dict__
     assert rows(graph.unknown_endpoints()) == [("x",)]
     assert graph.ends(graph.edges).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pairs_behind_an_only_neighbour_are_not_moved(spark):
+    import random
+
+    rng = random.Random(3)
+    ids = [f"v{i}" for i in range(40)]
+    ends = [(x, rng.choice(ids[:6])) for x in ids[6:]] + [(x, rng.choice(ids[:6])) for x in ids[6:16]] + [("v0", "v0")]
+    graph, kind = graph_of(spark, ids, [(a, b, 1) for a, b in ends]), {x: str(i % 2) for i, x in enumerate(ids)}
+    near = {x: {b for a, b in ends if a == x != b} | {a for a, b in ends if b == x != a} for x in ids}
+    seeds = spark.createDataFrame([(x, x) for x in ids] * 2, "qid string, seed string")
+    found = tp.same_category_distance_two(graph, seeds, spark.createDataFrame(list(kind.items()), "id string, category string"))
+    want = sorted((x, z) for x in ids for z in ids if z != x and kind[z] == kind[x] and z not in near[x] and near[x] & near[z])
+    assert rows(found) == want
+    # before, all pairs met what is near in one join at the top
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
