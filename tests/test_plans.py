@@ -168,6 +168,10 @@ def test_generate(spark):
         prepare.require_disjoint(q, q)
     with pytest.raises(RuntimeError, match="created only"):
         prepare.generate(graph, kinds, 30)
+    # slices of starts and the number of those decided first change nothing
+    assert rows(prepare.path_walks(graph, 1, starts=7)) == rows(prepare.path_walks(graph, 1))
+    assert rows(prepare.path_walks(graph, 1, 9, starts=7)) == rows(prepare.path_walks(graph, 1).orderBy("at").limit(9))
+    assert rows(prepare.generate(graph, kinds, 1, seed=1, first=1)) == rows(q)
     again = prepare.rephrase_paths(q, graph, "pages", "links")
     assert again.where("question like 'To get from%'").count() == 1
 
