@@ -190,3 +190,20 @@ def test_questions_of_long_walks_are_columns(spark):
     same = lambda df: rows(df.withColumn("score", F.round("score", 12)), "qid", "depth", "decay", "node_id", "score")
     assert same(pr.weighted_best(graph, own, 3, cells, 50)) == same(want)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_scores_that_are_asked_for_are_those_of_all(spark):
+    graph = graph_of(spark, "012345", TREE)
+    own, few = seeds(spark, ("1", "5"), ("2", "1"), ("2", "4")), seeds(spark, ("1", "4"), ("2", "0"), ("2", "none"))
+    for depth in (2, 3):
+        for epsilon in (None, 0.05):
+            score = lambda wanted: rows(pr.biased_scores(graph, own, PAIRS, Parameters(depth, 0.3, 10), epsilon=epsilon, wanted=wanted))  # noqa: E731, B023
+            assert score(few) == [r for r in score(None) if (r[0], r[2]) in {("1", "4"), ("2", "0")}]
+
+
+def test_biased_arcs_are_not_dealt_by_target(spark):
+    graph = graph_of(spark, "012345", [*TREE, ("0", "0", 1)])
+    near = {x: {b for a, b, *_ in TREE if a == x} | {a for a, b, *_ in TREE if b == x} for x in "012345"}
+    assert rows(graph.biased) == sorted((a, b, len(near[a]), len(near[b])) for a in near for b in near[a])
+    joins = [x for x in graph.biased._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert len(joins) == 2 and not any("dst#" in x for x in joins)
